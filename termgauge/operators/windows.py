@@ -1,6 +1,6 @@
 """Token windows: fixed-width cut-outs of a text around a token.
 
-A corpus has the columns ``doc_id, text, meta``. Its token array is built once per row and
+A corpus has a column ``text`` and any others, such as ``doc_id`` and ``meta``. Its token array is built once per row and
 every token position reads its neighbours from it by index, so no operator here shuffles.
 """
 
@@ -20,6 +20,10 @@ def token_positions(corpus: DataFrame, *keep: str) -> DataFrame:
     return rows.select("*", F.posexplode_outer("tokens").alias("pos", "token")).where("token IS NOT NULL")
 
 
+def _other_columns(corpus: DataFrame) -> list[str]:
+    return [c for c in corpus.columns if c != "text"]
+
+
 def _window(window_size: int) -> Column:
     """2w-1 tokens around ``pos``, padded beyond both ends of the text."""
     pad = F.array_repeat(F.lit(tx.PADDING), window_size - 1)
@@ -30,22 +34,24 @@ def _window(window_size: int) -> Column:
 
 
 def text_windows(corpus: DataFrame, window_size: int = 5) -> DataFrame:
-    """The window of every token: ``doc_id, meta, pos, middle, window``."""
-    return token_positions(corpus, "doc_id", "meta").select(
-        "doc_id", "meta", "pos", F.col("token").alias("middle"), _window(window_size).alias("window")
+    """The window of every token: the corpus columns but ``text``, ``pos, middle, window``."""
+    keep = _other_columns(corpus)
+    return token_positions(corpus, *keep).select(
+        *keep, "pos", F.col("token").alias("middle"), _window(window_size).alias("window")
     )
 
 
 def surrounding_search(
     corpus: DataFrame, window_size: int, match: Callable[[Column], Column]
 ) -> DataFrame:
-    """Windows whose centre token matches: ``doc_id, meta, pos, match, window``.
+    """Windows whose centre token matches: the corpus columns but ``text``, ``pos, match, window``.
 
     ``match`` maps a token column to the matched text, NULL where there is no match.
     """
-    found = token_positions(corpus, "doc_id", "meta").withColumn("match", F.lower(match(F.col("token"))))
+    keep = _other_columns(corpus)
+    found = token_positions(corpus, *keep).withColumn("match", F.lower(match(F.col("token"))))
     return found.where("match IS NOT NULL").select(
-        "doc_id", "meta", "pos", "match", _window(window_size).alias("window")
+        *keep, "pos", "match", _window(window_size).alias("window")
     )
 
 
@@ -60,7 +66,7 @@ def number_windows(corpus: DataFrame, window_size: int = 5, digit_limit: int = 6
 def keyword_windows(
     corpus: DataFrame, window_size: int = 5, keywords: tx.Keywords = tx.DEFAULT_KEYWORDS
 ) -> DataFrame:
-    """Windows around keywords: ``doc_id, meta, pos, match`` (the keyword) and ``window``."""
+    """Windows around keywords, with the keyword in ``match``."""
     return surrounding_search(corpus, window_size, keywords.match)
 
 
@@ -72,21 +78,29 @@ def number_keyword_patterns(
     corpus: DataFrame, keywords: tuple[str, ...] = PATTERN_KEYWORDS
 ) -> DataFrame:
     """Spans ``number keyword[s] number number``, ``number keyword[s] number`` and
-    ``number keyword[s] token number``: ``doc_id, span, keyword, alternative``.
+    ``number keyword[s] token number``: the corpus columns but ``text``, ``span, keyword,
+    alternative``.
 
     Spans may overlap. At one position the first of the three forms wins.
     """
-    head = rf"(?:^|\s)\d+\s+(?:{'|'.join(keywords)})s?\s+"
-    forms = [head + r"\d+\s+\d+(?:\s|$)", head + r"\d+(?:\s|$)", head + r"\S+\s+\d+(?:\s|$)"]
+    blank, number, other = tx.WS, r"\p{Nd}+", tx.NOT_WS + "+"
+    gap, end = blank + "+", f"(?:{blank}|$)"
+    word = "|".join(keywords)
+    head = f"(?:^|{blank}){number}{gap}(?:{word})s?{gap}"
+    forms = [
+        head + number + gap + number + end,
+        head + number + end,
+        head + other + gap + number + end,
+    ]
     spans = F.regexp_extract_all("text", F.lit(f"(?i)(?=({'|'.join(forms)}))"), F.lit(1))
-    rows = corpus.select("doc_id", F.explode_outer(spans).alias("span")).where("span IS NOT NULL")
-    word = rf"(?i)^\s?\d+\s+({'|'.join(keywords)})s?\s"
+    keep = _other_columns(corpus)
+    rows = corpus.select(*keep, F.explode_outer(spans).alias("span")).where("span IS NOT NULL")
     return rows.select(
-        "doc_id",
+        *keep,
         "span",
-        F.regexp_extract("span", word, 1).alias("keyword"),
-        F.when(F.col("span").rlike("(?i)^" + forms[0] + r"\z"), 1)
-        .when(F.col("span").rlike("(?i)^" + forms[1] + r"\z"), 2)
+        F.regexp_extract("span", f"(?i)({word})s?{gap}", 1).alias("keyword"),
+        F.when(F.col("span").rlike(f"(?i)^{forms[0]}$"), 1)
+        .when(F.col("span").rlike(f"(?i)^{forms[1]}$"), 2)
         .otherwise(3)
         .alias("alternative"),
     )

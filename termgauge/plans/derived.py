@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termgauge.functions import text as tx
-from termgauge.operators import counting
+from termgauge.operators import counting, lookup
+from termgauge.sources.readers import FrequencyTables
 from termgauge.session import materialise
 
 # ---------------------------------------------------------------- corpus
@@ -46,14 +47,17 @@ WORD_RULE = """CASE word
       THEN translate(word, 'abcdefghijklmnopqrstuvwxyz', '01234567890123456789012345') ELSE word END END"""
 
 
-def line_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def write_lines(lineitem: DataFrame) -> DataFrame:
     """One short text per line item: ``doc_id, text, meta``."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
-        f"{LINE_ID} AS doc_id", "l_partkey AS p", *[f"{e} AS {c}" for c, e in LINE_FIELDS.items()]
-    )
+    fields = [f"{e} AS {c}" for c, e in LINE_FIELDS.items()]
+    rows = lineitem.selectExpr(f"{LINE_ID} AS doc_id", "l_partkey AS p", *fields)
     return rows.selectExpr("doc_id", f"{LINE_TEXT} AS text", f"{LINE_META} AS meta")
 
 
+def line_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_lines(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
 def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` with numbers and keywords: ``doc_id, text, meta``.
 
@@ -183,3 +187,20 @@ class Tables:
         return self._once(
             f"words{num_count}", lambda: counting.word_num_occurrence(self.corpus, num_count)
         )
+
+    @property
+    def frequencies(self) -> FrequencyTables:
+        return FrequencyTables(self.numbers, self.words)
+
+    @property
+    def keys(self) -> DataFrame:
+        """``key_accuracy`` of all graded answers for all key types."""
+
+        def build() -> DataFrame:
+            parts = [lookup.key_accuracy(self.graded, self.frequencies.all, k) for k in lookup.KEY_TYPES]
+            rows = parts[0]
+            for part in parts[1:]:
+                rows = rows.unionByName(part)
+            return rows
+
+        return self._once("keys", build)
