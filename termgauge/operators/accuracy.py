@@ -187,4 +187,6 @@ def spearman_corr(keys: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
 
 def pearson_log_corr(keys: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
     """Correlation of accuracy and the logarithm of the frequency over the keys."""
-    return keys.groupBy(*by).agg(F.corr("accuracy", F.ln("frequency")).alias("pearson"))
+    log_f = F.ln("frequency")
+    scale = F.stddev_pop("accuracy") * F.stddev_pop(log_f)
+    return keys.groupBy(*by).agg(F.try_divide(F.covar_pop("accuracy", log_f), scale).alias("pearson"))

@@ -174,7 +174,7 @@ class Tables:
 
     @property
     def graded(self) -> DataFrame:
-        return graded(self.spark, self.sf_dir)
+        return self._once("graded", lambda: self._spread(graded(self.spark, self.sf_dir)))
 
     def numbers(self, num_count: int) -> DataFrame:
         """Counts of number k-tuples: ``n1..nk, frequency``."""
