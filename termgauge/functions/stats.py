@@ -52,6 +52,6 @@ def value_bucket(value: Column) -> Column:
     )
 
 
-def lerp(a: Column, b: Column, t: Column) -> Column:
-    """Linear interpolation, taken from the nearer end."""
-    return F.when(t < 0.5, a + (b - a) * t).otherwise(b - (b - a) * (1 - t))
+def lerp_sql(a: str, b: str, t: str) -> str:
+    """SQL for the linear interpolation between ``a`` and ``b``, taken from the nearer end."""
+    return f"CASE WHEN {t} < 0.5D THEN {a} + ({b} - {a}) * {t} ELSE {b} - ({b} - {a}) * (1 - {t}) END"

@@ -51,26 +51,21 @@ def frequency_quantiles(keys: DataFrame, q: int = 10, by: Sequence[str] = CELL)
     one raised by 1 so that the largest frequency falls below it."""
     levels = keys.groupBy(*by, "frequency").agg(F.count(F.lit(1)).alias("keys"))
     rows = cumulative(levels, by, "frequency", "keys")
+    # SQL text, because the same few terms repeat for every edge.
     shares = [i * (1.0 / q) for i in range(q)] + [1.0]
-    places = [(F.col("total") - 1) * F.lit(share) for share in shares]
+    places = [f"((total - 1) * {share!r}D)" for share in shares]
 
-    def value_at(place: Column) -> Column:
-        # Largest value whose rank span holds the place; exactly one row does.
-        inside = (F.col("below") <= place) & (place < F.col("below") + F.col("keys"))
-        return F.max(F.when(inside, F.col("frequency")))
+    def value_at(place: str) -> str:
+        # Exactly one level spans the rank.
+        return f"max(CASE WHEN below <= {place} AND {place} < below + keys THEN frequency END)"
 
     picked = rows.groupBy(*by, "total").agg(
-        *[value_at(F.floor(p)).alias(f"lo{i}") for i, p in enumerate(places)],
-        *[
-            value_at(F.least(F.floor(p) + 1, F.col("total") - 1)).alias(f"hi{i}")
-            for i, p in enumerate(places)
-        ],
+        *[F.expr(f"{value_at(f'floor({p})')} AS lo{i}") for i, p in enumerate(places)],
+        *[F.expr(f"{value_at(f'least(floor({p}) + 1, total - 1)')} AS hi{i}") for i, p in enumerate(places)],
     )
-    edges = [
-        stats.lerp(F.col(f"lo{i}"), F.col(f"hi{i}"), p - F.floor(p)) + (1.0 if i == q else 0.0)
-        for i, p in enumerate(places)
-    ]
-    return picked.select(*by, F.array(*edges).alias("edges"))
+    edges = [stats.lerp_sql(f"lo{i}", f"hi{i}", f"({p} - floor({p}))") for i, p in enumerate(places)]
+    edges[-1] += " + 1.0D"
+    return picked.selectExpr(*by, f"array({', '.join(edges)}) AS edges")
 
 
 def bin_table(keys: DataFrame, q: int = 10, by: Sequence[str] = CELL) -> DataFrame:
@@ -82,33 +77,36 @@ def bin_table(keys: DataFrame, q: int = 10, by: Sequence[str] = CELL) -> DataFra
     """
     by = list(by)
     edges = frequency_quantiles(keys, q, by)
-    levels = _levels(keys, by).join(edges, by)
-    binned = levels.withColumn("bin", F.expr("size(filter(edges, e -> e <= frequency))"))
-    n, mean = F.sum("keys"), F.sum("s1") / F.sum("keys")
-    variance = F.greatest(F.sum("s2") - F.sum("s1") * F.sum("s1") / n, F.lit(0.0)) / (n - 1)
+    binned = _levels(keys, by).join(edges, by)
+    binned = binned.withColumn("bin", F.expr("size(filter(edges, e -> e <= frequency))"))
     summed = binned.groupBy(*by, "bin").agg(
-        n.alias("keys"),
-        mean.alias("accuracy"),
-        F.when(n > 1, F.sqrt(variance) / F.sqrt(n)).alias("sem"),
+        F.sum("keys").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.any_value("edges").alias("edges")
     )
-    summed = summed.withColumn("h", F.col("sem") * F.expr(stats.t_975_sql("(keys - 1)")))
-    bins = edges.select(*by, "edges", F.explode(F.sequence(F.lit(1), F.lit(q))).alias("bin"))
-    rows = bins.join(summed, [*by, "bin"], "left")
-    first = F.min(F.when(F.col("keys").isNotNull(), F.col("bin"))).over(Window.partitionBy(*by))
-    leading = F.col("bin") < F.col("first")
-    low, high = F.get("edges", F.col("bin") - 1), F.get("edges", F.col("bin"))
-    t = (F.col("bin") - 1) / F.lit(float(max(q - 1, 1)))
-    return rows.withColumn("first", first).select(
+    stats_of_bin = F.expr("""struct(bin, n, s1 / n AS mean,
+        CASE WHEN n > 1 THEN sqrt(greatest(s2 - s1 * s1 / n, 0.0D) / (n - 1)) / sqrt(n) END AS sem)""")
+    # At most q filled bins per cell; the empty ones are added from the sequence.
+    cells = summed.groupBy(*by).agg(F.any_value("edges").alias("edges"), F.collect_list(stats_of_bin).alias("filled"))
+    rows = cells.select(*by, "edges", "filled", F.explode(F.sequence(F.lit(1), F.lit(q))).alias("bin"))
+    rows = rows.selectExpr(
         *by,
         "bin",
-        F.coalesce("keys", F.lit(0)).alias("keys"),
-        F.when(leading, 0.0).otherwise(F.col("accuracy")).alias("accuracy"),
-        F.when(leading, 0.0).otherwise(F.col("h")).alias("h"),
-        low.alias("low"),
-        high.alias("high"),
-        (high - low).alias("width"),
-        F.sqrt(low * high).alias("mid"),
-        F.exp((1 - t) * F.ln(low) + t * F.ln(high)).alias("dilated"),
+        "get(filter(filled, s -> s.bin = bin), 0) AS found",
+        "bin < array_min(filled.bin) AS leading",
+        "get(edges, bin - 1) AS low",
+        "get(edges, bin) AS high",
+    ).selectExpr(*by, "bin", "leading", "low", "high", "found.n", "found.mean", "found.sem")
+    t = f"((bin - 1) / {float(max(q - 1, 1))!r}D)"
+    return rows.selectExpr(
+        *by,
+        "bin",
+        "coalesce(n, 0) AS keys",
+        "CASE WHEN leading THEN 0.0D ELSE mean END AS accuracy",
+        f"CASE WHEN leading THEN 0.0D ELSE sem * {stats.t_975_sql('(n - 1)')} END AS h",
+        "low",
+        "high",
+        "high - low AS width",
+        "sqrt(low * high) AS mid",
+        f"exp((1 - {t}) * ln(low) + {t} * ln(high)) AS dilated",
     )
 
 
@@ -178,11 +176,11 @@ def spearman_corr(keys: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
     ranked = points.join(_mean_ranks(points, by, "frequency"), [*by, "frequency"]).join(
         _mean_ranks(points, by, "accuracy").drop("total"), [*by, "accuracy"]
     )
-    middle = (F.col("total") + 1) / 2
-    u, v = F.col("frequency_rank") - middle, F.col("accuracy_rank") - middle
-    weighted = lambda product: F.sum(F.col("n") * product)
-    scale = F.sqrt(weighted(u * u)) * F.sqrt(weighted(v * v))
-    return ranked.groupBy(*by).agg((weighted(u * v) / F.nullif(scale, F.lit(0.0))).alias("spearman"))
+    centred = ranked.selectExpr(
+        *by, "n", "frequency_rank - (total + 1) / 2 AS u", "accuracy_rank - (total + 1) / 2 AS v"
+    )
+    corr = "try_divide(sum(n * u * v), sqrt(sum(n * u * u)) * sqrt(sum(n * v * v)))"
+    return centred.groupBy(*by).agg(F.expr(corr).alias("spearman"))
 
 
 def pearson_log_corr(keys: DataFrame, by: Sequence[str] = CELL) -> DataFrame:

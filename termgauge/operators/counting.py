@@ -29,7 +29,8 @@ def number_anchors(corpus: DataFrame, digit_limit: int = 6) -> DataFrame:
 
 def window_anchors(windows: DataFrame) -> DataFrame:
     """The middle number of every window record (``text`` holds the window)."""
-    rows = windows.select(tx.tokenize(F.col("text")).alias("tokens"))
+    # Exploding a one-element array keeps later filters from splitting the text once more.
+    rows = windows.select(F.explode_outer(F.array(tx.tokenize(F.col("text")))).alias("tokens"))
     rows = rows.withColumn("pos", F.expr("CAST(size(tokens) DIV 2 AS INT)"))
     return rows.withColumn("token", F.get("tokens", F.col("pos")))
 

@@ -45,7 +45,7 @@ def newton_fit(
     no finite optimum without a penalty on the intercept; coef and intercept are NULL there.
     """
     by = list(by)
-    l0, l1 = (float(p) for p in penalty)
+    l0, l1 = (f"{float(p)!r}D" for p in penalty)
     counts = materialise(counts, "sufficient-counts")
     cells = counts.groupBy(*by).agg(
         F.sum("answers").alias("answers"),
@@ -53,66 +53,54 @@ def newton_fit(
         F.min("t").alias("t_min"),
         F.max("t").alias("t_max"),
     )
-    mixed = (F.col("correct") > 0) & (F.col("correct") < F.col("answers"))
-    cells = materialise(cells.withColumn("fits", mixed | F.lit(l1 > 0)), "cells")
-    share = (F.col("correct") + 0.5) / (F.col("answers") + 1.0)
-    state = cells.where("fits").select(
-        *by, F.lit(0.0).alias("coef"), F.ln(share / (1 - share)).alias("intercept"), "t_min", "t_max"
+    cells = materialise(cells, "cells")
+    # Start at the overall log odds.
+    state = cells.where(f"{l1} > 0 OR (correct > 0 AND correct < answers)").selectExpr(
+        *by,
+        "0.0D AS coef",
+        "ln((correct + 0.5D) / (answers - correct + 0.5D)) AS intercept",
+        "t_min",
+        "t_max",
     )
-    p = 1 / (1 + F.exp(-(F.col("coef") * F.col("t") + F.col("intercept"))))
-    w = F.col("answers") * F.col("p") * (1 - F.col("p"))
-    residual = F.col("answers") * F.col("p") - F.col("correct")
-    t = F.col("t")
+    fixed = [*by, "coef", "intercept", "t_min", "t_max"]
     for _ in range(max_iter):
-        sums = (
-            counts.join(state, by)
-            .withColumn("p", p)
-            .groupBy(*by, "coef", "intercept", "t_min", "t_max")
-            .agg(
-                F.sum(residual * t).alias("g0"),
-                F.sum(residual).alias("g1"),
-                F.sum(w * t * t).alias("h00"),
-                F.sum(w * t).alias("h01"),
-                F.sum(w).alias("h11"),
-            )
-            .withColumns(
-                {
-                    "g0": F.col("g0") + l0 * F.col("coef"),
-                    "g1": F.col("g1") + l1 * F.col("intercept"),
-                    "h00": F.col("h00") + l0,
-                    "h11": F.col("h11") + l1,
-                }
-            )
+        rows = counts.join(state, by)
+        rows = rows.selectExpr("*", "1 / (1 + exp(-(coef * t + intercept))) AS p")
+        rows = rows.selectExpr("*", "answers * p - correct AS r", "answers * p * (1 - p) AS w")
+        sums = rows.groupBy(*fixed).agg(
+            F.expr(f"sum(r * t) + {l0} * coef AS g0"),
+            F.expr(f"sum(r) + {l1} * intercept AS g1"),
+            F.expr(f"sum(w * t * t) + {l0} AS h00"),
+            F.expr("sum(w * t) AS h01"),
+            F.expr(f"sum(w) + {l1} AS h11"),
         )
-        det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-        sums = sums.withColumn("det", F.nullif(det, F.lit(0.0)))
-        step0 = (F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1")) / F.col("det")
-        step1 = (F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0")) / F.col("det")
-        sums = sums.withColumns({"step0": step0, "step1": step1})
+        steps = sums.selectExpr(
+            "*",
+            "(h11 * g0 - h01 * g1) / nullif(h00 * h11 - h01 * h01, 0.0D) AS step0",
+            "(h00 * g1 - h01 * g0) / nullif(h00 * h11 - h01 * h01, 0.0D) AS step1",
+        ).selectExpr("*", "greatest(abs(step0 * t_min + step1), abs(step0 * t_max + step1)) AS moved")
         # No step moves the log odds at either end of the data by more than 4.
-        moved = F.greatest(
-            F.abs(F.col("step0") * F.col("t_min") + F.col("step1")),
-            F.abs(F.col("step0") * F.col("t_max") + F.col("step1")),
-        )
-        sums = sums.withColumn("damping", F.least(F.lit(1.0), 4.0 / F.greatest(moved, F.lit(1e-300))))
-        state = sums.select(
-            *by,
-            (F.col("coef") - F.col("damping") * F.col("step0")).alias("coef"),
-            (F.col("intercept") - F.col("damping") * F.col("step1")).alias("intercept"),
-            "t_min",
-            "t_max",
-            "h00",
-            "h01",
-            "h11",
-            moved.alias("moved"),
+        steps = steps.selectExpr("*", "least(1.0D, 4.0D / greatest(moved, 1e-300D)) AS damping")
+        written = materialise(
+            steps.selectExpr(
+                *by,
+                "coef - damping * step0 AS coef",
+                "intercept - damping * step1 AS intercept",
+                "t_min",
+                "t_max",
+                "h00",
+                "h01",
+                "h11",
+                "moved",
+            ),
+            "newton-state",
         )
-        written = materialise(state, "newton-state")
         worst = written.agg(F.max("moved")).first()[0]
-        state = written.select(*by, "coef", "intercept", "t_min", "t_max")
+        state = written.select(*fixed)
         if worst is None or worst < tolerance:
             break
     fitted = written.select(*by, "coef", "intercept", "h00", "h01", "h11")
-    return cells.drop("fits", "correct").join(fitted, by, "left")
+    return cells.drop("correct").join(fitted, by, "left")
 
 
 def logistic_fit(keys: DataFrame, by: Sequence[str] = CELL) -> DataFrame:

@@ -17,11 +17,11 @@ TIME_FACTORIES = {f"{unit.capitalize()}1": unit for unit in dims.UNITS}
 OPERAND_RANGES = {"mult": (0, 99), "plus": (0, 99), "compare": (1, 100), "concat": (1, 50)}
 
 
-def _rows(terms: DataFrame, factory: str, key, x, y, z, word=None, operator=None) -> DataFrame:
+def _rows(terms: DataFrame, factory: str | Column, key, x, y, z, word=None, operator=None) -> DataFrame:
     if word is None:
         operator, word = (F.lit(v) for v in dims.FACTORIES[factory])
     return terms.select(
-        F.lit(factory).alias("factory_type"),
+        (factory if isinstance(factory, Column) else F.lit(factory)).alias("factory_type"),
         key.cast("string").alias("key"),
         F.col("frequency").cast("bigint").alias("frequency"),
         x.cast("string").alias("x"),
@@ -89,13 +89,16 @@ def unit_dim_join(terms: DataFrame) -> DataFrame:
     return terms.join(units, F.col("keyword") == F.col("unit")).drop("unit")
 
 
-def time_unit(terms: DataFrame, factory: str) -> DataFrame:
-    """``factory`` is Minute1 to Decade1; terms of other units are left out."""
-    rows = unit_dim_join(terms.where(F.col("keyword") == TIME_FACTORIES[factory]))
+def time_unit(terms: DataFrame, factory: str | None = None) -> DataFrame:
+    """``factory`` is Minute1 to Decade1, terms of other units are left out; by default all
+    units at once."""
+    if factory is not None:
+        terms = terms.where(F.col("keyword") == TIME_FACTORIES[factory])
     key = _tuple_text(F.col("n1"), F.col("keyword"))
     z = tx.to_int(F.col("n1")) * F.col("multiplier")
+    own_factory = F.concat(F.initcap("keyword"), F.lit("1"))
     return _rows(
-        rows, factory, key, F.col("n1"), F.col("multiplier"), z, F.col("keyword"), F.lit("*")
+        unit_dim_join(terms), own_factory, key, F.col("n1"), F.col("multiplier"), z, F.col("keyword"), F.lit("*")
     )
 
 

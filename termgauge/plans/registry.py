@@ -277,12 +277,7 @@ def unit_terms(t: Tables) -> DataFrame:
 
 
 def time_rows(t: Tables) -> DataFrame:
-    rows = unit_terms(t)
-    parts = [questions.time_unit(rows, factory) for factory in questions.TIME_FACTORIES]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return questions.time_unit(unit_terms(t))
 
 
 for _factory in ("Num1Mult", "Num1Plus", "Num1concat#", "Num1mode10#", "Num1Less"):
