@@ -9,7 +9,7 @@ in one pass over that table and only then walks the chain, which reads one numbe
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -127,6 +127,7 @@ def logistic_curve(fit: DataFrame, by: Sequence[str] = CELL, points: int = 10_00
 # ---------------------------------------------------------------- Bayesian fit
 
 PRIOR_PRECISION = 0.001  # fixed value, of both coefficients
+LEVELS_PER_TASK = 20_000
 _SPREAD = 5.0  # degrees of freedom of the proposals
 
 
@@ -159,54 +160,42 @@ def bayes_logistic(
     and normal priors: ``by, draw, beta, alpha, t_min, t_max``.
 
     A Metropolis chain per cell, started at the mode. Proposals do not depend on the state of
-    the chain, so the log likelihood of all of them is summed over the partitions of the count
-    table first; the chain then reads ``draws`` numbers per cell. Note that beta has the
-    opposite sign of ``coef``.
+    the chain, so the log likelihood of all of them is computed over the parts of the count
+    table first; the chain then reads ``draws`` numbers per cell and part. Note that beta has
+    the opposite sign of ``coef``.
     """
     by = list(by)
     counts = materialise(sufficient_counts(keys, F.ln(frequency), by), "bayes-counts")
-    fit = newton_fit(counts, by, (PRIOR_PRECISION, PRIOR_PRECISION))
-    fit = materialise(fit.drop("answers"), "bayes-mode")
+    fit = newton_fit(counts, by, (PRIOR_PRECISION, PRIOR_PRECISION)).drop("answers")
+    levels = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("levels"))
+    fit = materialise(fit.join(levels, by), "bayes-mode")
     cell_fields = [fit.schema[c] for c in by]
 
-    def log_likelihood(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows come sorted by cell, so only one cell is held at a time.
-        current = proposed = sums = None
-
-        def finished() -> pd.DataFrame:
-            named = dict(zip(by, current))
-            return pd.DataFrame({**named, "draw": np.arange(draws, dtype=np.int64), "ll": sums})
-
-        for batch in batches:
-            for cell, part in batch.groupby(by, sort=False):
-                if cell != current:
-                    if current is not None:
-                        yield finished()
-                    rng = np.random.default_rng(_cell_seed(cell, seed))
-                    current, sums = cell, np.zeros(draws)
-                    proposed = _proposals(part.iloc[0], rng, draws)[0]
-                for t, n, k in zip(part.t, part.answers, part.correct):
-                    eta = proposed[:, 0] * t + proposed[:, 1]
-                    sums += k * eta - n * np.logaddexp(0.0, eta)
-        if current is not None:
-            yield finished()
-
-    partial_schema = T.StructType(
-        [*cell_fields, T.StructField("draw", T.LongType()), T.StructField("ll", T.DoubleType())]
-    )
-    rows = counts.join(fit, by).sortWithinPartitions(*by)
-    partial = rows.mapInPandas(log_likelihood, partial_schema)
-    likelihood = partial.groupBy(*by, "draw").agg(F.sum("ll").alias("ll"))
+    def log_likelihood(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        cell = tuple(first[c] for c in by)
+        proposed, _ = _proposals(first, np.random.default_rng(_cell_seed(cell, seed)), draws)
+        ll = np.zeros(draws)
+        for t, n, k in zip(rows.t, rows.answers, rows.correct):
+            eta = proposed[:, 0] * t + proposed[:, 1]
+            ll += k * eta - n * np.logaddexp(0.0, eta)
+        return pd.DataFrame({**dict(zip(by, cell)), "ll": [ll]})
+
+    # A cell with many distinct frequencies is cut into parts of about LEVELS_PER_TASK.
+    parts = F.ceil(F.col("levels") / LEVELS_PER_TASK)
+    rows = counts.join(fit, by).withColumn("part", F.pmod(F.xxhash64("t"), parts))
+    partial_schema = T.StructType([*cell_fields, T.StructField("ll", T.ArrayType(T.DoubleType()))])
+    partial = rows.groupBy(*by, "part").applyInPandas(log_likelihood, partial_schema)
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
         cell = tuple(first[c] for c in by)
         rng = np.random.default_rng(_cell_seed(cell, seed))
         proposed, density = _proposals(first, rng, draws)
-        ll = rows.sort_values("draw").ll.to_numpy()
-        weight = ll - PRIOR_PRECISION / 2 * (proposed**2).sum(axis=1) - density
-        log_u = np.log(rng.random(draws))
-        state = np.empty(draws, dtype=np.int64)
+        ll = np.sum([np.asarray(part) for part in rows.ll], axis=0)
+        weight = (ll - PRIOR_PRECISION / 2 * (proposed**2).sum(axis=1) - density).tolist()
+        log_u = np.log(rng.random(draws)).tolist()
+        state = [0] * draws
         here = 0
         for i in range(draws):
             if log_u[i] < weight[i] - weight[here]:
@@ -215,7 +204,7 @@ def bayes_logistic(
         kept = proposed[state[burn::thin]]
         return pd.DataFrame(
             {
-                **{c: first[c] for c in by},
+                **dict(zip(by, cell)),
                 "draw": np.arange(len(kept), dtype=np.int64),
                 "beta": -kept[:, 0],
                 "alpha": -kept[:, 1],
@@ -228,7 +217,7 @@ def bayes_logistic(
         [*cell_fields, T.StructField("draw", T.LongType())]
         + [T.StructField(c, T.DoubleType()) for c in ("beta", "alpha", "t_min", "t_max")]
     )
-    return likelihood.join(fit, by).groupBy(*by).applyInPandas(walk, schema)
+    return partial.join(fit, by).groupBy(*by).applyInPandas(walk, schema)
 
 
 def posterior_band(samples: DataFrame, by: Sequence[str] = CELL, points: int = 100) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from termgauge.functions import text as tx
 from termgauge.operators.questions import question_numbers
+from termgauge.session import materialise
 
 ROW_ID = ("seed", "factory_type", "question", "key")
 
@@ -106,7 +107,11 @@ def testcases(
     faithful: bool = True,
     title: str | None = None,
 ) -> DataFrame:
-    """The whole experiment for all seeds: split, leakage filter, prompt."""
-    seeded = multi_seed(points, seeds)
+    """The whole experiment for all seeds: split, leakage filter, prompt.
+
+    The question table and the shots are written first, since several steps read them.
+    """
+    seeded = multi_seed(materialise(points, "points"), seeds)
     train, test = split_shots_grouped(seeded, shots, groups) if groups else split_shots(seeded, shots)
+    train = materialise(train, "shots")
     return render_prompt(leakage_filter(test, train, faithful), train, title=title)

@@ -320,7 +320,7 @@ SELECT {CELL}, score, key_i, key_j, log_gap, a_i, a_j, rank FROM (
 
 NOT_ROUND = "len(list_filter(parts, lambda p: p < 10 OR p % 10 = 0)) = 0"
 for _kt in ("x", "xy", "xz"):
-    CTES[f"pts_{_kt}"] = f"SELECT * FROM keys_{_kt} WHERE word IN ('mult', 'plus', 'compareless') AND {NOT_ROUND}"
+    CTES[f"pts_{_kt}"] = f"SELECT * FROM keys_{_kt} WHERE {NOT_ROUND}"
     CTES[f"far_{_kt}"] = farthest(_kt, 10 if _kt == "xz" else 100).replace("pts ", f"pts_{_kt} ")
 
 
@@ -483,7 +483,7 @@ QUERIES |= {
       count(*) AS total, round(avg(is_correct), 6) AS accuracy FROM results GROUP BY 1, 2, 3""",
     "key_accuracy": f"SELECT word, model, shots, key, {_r('frequency')}, answers, correct, {_r('accuracy mean_x')} FROM keys_xy",
     "key_accuracy_filtered": f"""SELECT word, model, shots, key, {_r('frequency')}, answers, correct, {_r('accuracy mean_x')}
-      FROM ({key_accuracy('xyz', "(SELECT * FROM both_ways WHERE word IN ('mult', 'plus') AND x >= 11 AND y >= 11 AND z >= 11)")})""",
+      FROM ({key_accuracy('xyz', "(SELECT * FROM both_ways WHERE x >= 11 AND y >= 11 AND z >= 11)")})""",
     "mean_by_frequency_key": """SELECT word, model, shots, key, round(avg(x), 6) AS mean_x, round(avg(is_correct), 6) AS accuracy,
       round(avg(frequency), 6) AS mean_frequency FROM graded GROUP BY 1, 2, 3, 4""",
     "overall_accuracy": f"SELECT {CELL}, answers, {_r('accuracy')} FROM overall",
@@ -526,7 +526,7 @@ for _by in ("shots", "models", "both"):
         "both": f"'k=' || shots || ', LM=' || {_case('model', dims.MODEL_LABELS)}",
     }[_by]
     QUERIES[f"interpolation_series_by_{_by}"] = f"""SELECT {CELL}, point, {_r('frequency accuracy h')}, {_label} AS label
-      FROM curve WHERE word IN ('mult', 'plus') AND key_type = 'x'"""
+      FROM curve WHERE key_type = 'x'"""
 
 
 def statement(query: str) -> str:

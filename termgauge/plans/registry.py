@@ -49,7 +49,7 @@ def n_rows(name: str = "n") -> Column:
 
 # ---------------------------------------------------------------- text
 
-tokens_of = lambda t: t.corpus.select(F.explode(tx.tokenize(F.col("text"))).alias("token"))
+tokens_of = lambda t: windows.token_positions(t.corpus).select("token")
 
 
 @query("tokenize")
@@ -354,7 +354,8 @@ def compare_points(t: Tables) -> DataFrame:
 
 
 def grouped_split(t: Tables, shots: int = 5):
-    return prompts.split_shots_grouped(prompts.multi_seed(compare_points(t)), shots, COMPARE)
+    train, test = prompts.split_shots_grouped(prompts.multi_seed(compare_points(t)), shots, COMPARE)
+    return materialise(train, "shots"), test
 
 
 def mult_testcases(t: Tables) -> DataFrame:
@@ -492,13 +493,7 @@ def _(t):
 
 @query("key_accuracy_filtered")
 def _(t):
-    rows = lookup.key_accuracy(
-        t.graded.where("word IN ('mult', 'plus')"),
-        t.frequencies.all,
-        "xyz",
-        use_filter=True,
-        make_symmetry=True,
-    )
+    rows = lookup.key_accuracy(t.graded, t.frequencies.all, "xyz", use_filter=True, make_symmetry=True)
     return rounded(rows.drop("parts", "key_type"))
 
 
@@ -525,39 +520,48 @@ query("spearman_corr")(lambda t: rounded(acc.spearman_corr(t.keys)))
 query("pearson_log_corr")(lambda t: rounded(acc.pearson_log_corr(t.keys)))
 
 
-def mult_keys(t: Tables) -> DataFrame:
-    return t.keys.where("word IN ('mult', 'plus') AND model = 'gptj' AND key_type = 'x'")
+query("logistic_fit")(lambda t: rounded(models.logistic_fit(t.keys)))
 
 
-query("logistic_fit")(lambda t: rounded(models.logistic_fit(t.keys)))
-query("logistic_curve")(lambda t: rounded(models.logistic_curve(models.logistic_fit(mult_keys(t)))))
-query("bayes_logistic")(
-    lambda t: models.bayes_logistic(t.keys.where("word = 'mult' AND model = 'gptj' AND key_type = 'xz'"))
-)
-query("posterior_band")(
-    lambda t: models.posterior_band(
-        models.bayes_logistic(
-            t.keys.where("word = 'mult' AND model = 'gptj' AND key_type = 'xz'"), draws=24_000, burn=20_000
-        )
+@query("logistic_curve")
+def _(t):
+    curve = models.logistic_curve(models.logistic_fit(t.keys))
+    summary = curve.groupBy(*acc.CELL).agg(
+        n_rows("points"),
+        F.min("frequency").alias("lowest"),
+        F.max("frequency").alias("highest"),
+        F.avg("probability").alias("mean_probability"),
     )
-)
+    return rounded(summary)
 
 
-def farthest_pairs(t: Tables, key_type: str) -> DataFrame:
-    keys = t.keys.where(F.col("key_type") == key_type)
-    size = len(lookup.KEY_TYPES[key_type])
-    rows = farthest.farthest_points(keys.where("word IN ('mult', 'plus', 'compareless')"), size)
-    return rows.withColumn("rank", F.col("rank").cast("bigint"))
+@query("bayes_logistic")
+def _(t):
+    samples = models.bayes_logistic(t.keys.where("key_type = 'xz'"))
+    return samples.groupBy(*acc.CELL).agg(
+        n_rows("samples"),
+        F.avg("beta").alias("beta"),
+        F.stddev("beta").alias("beta_sd"),
+        F.avg("alpha").alias("alpha"),
+        F.stddev("alpha").alias("alpha_sd"),
+    )
 
 
-def _comparable(rows: DataFrame) -> DataFrame:
-    score = F.format_string("%.8e", "score")
-    return rounded(rows.withColumn("score", score))
+@query("posterior_band")
+def _(t):
+    samples = models.bayes_logistic(t.keys.where("key_type = 'xz'"), draws=6_000, burn=4_000, thin=4)
+    return models.posterior_band(samples)
+
+
+def farthest_pairs(t: Tables, key_type: str, n: int = 100) -> DataFrame:
+    keys = t.keys.where(F.col("key_type") == key_type)
+    rows = farthest.farthest_points(keys, len(lookup.KEY_TYPES[key_type]), n)
+    return rows.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 query("farthest_points")(lambda t: rounded(farthest_pairs(t, "xy").drop("rank")))
 query("farthest_points_x")(lambda t: rounded(farthest_pairs(t, "x").drop("rank")))
-query("top_pairs")(lambda t: rounded(farthest_pairs(t, "xz").where("rank <= 10").drop("score")))
+query("top_pairs")(lambda t: rounded(farthest_pairs(t, "xz", 10).drop("score")))
 
 
 # ---------------------------------------------------------------- reports
@@ -574,15 +578,15 @@ query("experiment_summary")(lambda t: rounded(reports.experiment_summary(t.keys)
 
 @query("freq_accuracy_series")
 def _(t):
-    return rounded(reports.freq_accuracy_series(mult_keys(t), points=1_000))
+    return rounded(reports.freq_accuracy_series(t.keys, points=100))
 
 
 for _by in ("shots", "models", "both"):
 
     @query(f"logistic_series_by_{_by}")
     def _(t, by=_by):
-        return rounded(reports.logistic_series_by(t.keys, by, words=["mult", "plus"], points=1_000))
+        return rounded(reports.logistic_series_by(t.keys, by, points=100))
 
     @query(f"interpolation_series_by_{_by}")
     def _(t, by=_by):
-        return rounded(reports.interpolation_series_by(t.keys, by, words=["mult", "plus"]))
+        return rounded(reports.interpolation_series_by(t.keys, by))
