@@ -76,18 +76,19 @@ def farthest_points(
         *by, "key", "parts", F.col("frequency").alias("f"), F.col("accuracy").alias("a")
     )
 
-    # Blocks: equal cuts of the range of each key number.
+    # Blocks: every key number is cut at approximate quantiles of its cell. The cuts decide how
+    # much is pruned, not what is found; points are written with their block, so that all steps
+    # see the same ones.
     cuts = max(1, int(BLOCKS ** (1.0 / size) + 1e-9))
     part = lambda c: F.get("parts", F.lit(c))
-    ranges = points.groupBy(*by).agg(
-        *[F.min(part(c)).alias(f"first{c}") for c in range(size)],
-        *[F.max(part(c)).alias(f"last{c}") for c in range(size)],
+    shares = [i / cuts for i in range(1, cuts)] or [0.5]
+    quantiles = points.groupBy(*by).agg(
+        *[F.percentile_approx(part(c), shares, 1000).alias(f"cuts{c}") for c in range(size)]
     )
-    block = F.lit(0)
+    block = "0"
     for c in range(size):
-        width = F.ceil((F.col(f"last{c}") - F.col(f"first{c}") + 1) / F.lit(float(cuts)))
-        block = block * cuts + F.floor((part(c) - F.col(f"first{c}")) / width)
-    points = points.join(ranges, by).select(*points.columns, block.cast("int").alias("block"))
+        block = f"({block}) * {len(shares) + 1} + size(filter(cuts{c}, e -> e < parts[{c}]))"
+    points = points.join(quantiles, by).select(*points.columns, F.expr(f"CAST({block} AS INT)").alias("block"))
     points = materialise(points, "farthest-points")
 
     extremes = [("f", "f"), ("a", "a"), *[(f"k{c}", part(c)) for c in range(size)]]
