@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termgauge.session import materialise
+
 
 def hot_keys(rows: DataFrame, keys: list[str], share: float = 0.001) -> DataFrame:
     """Keys with more than ``share`` of all rows: at most ``1 / share`` of them."""
@@ -17,11 +19,11 @@ def left_lookup(rows: DataFrame, table: DataFrame, keys: list[str], share: float
     """``rows`` LEFT JOIN ``table`` on ``keys``, where ``table`` has one row per key.
 
     Rows of hot keys never move: their part of the table, at most ``1 / share`` rows, is
-    broadcast. The other rows are shuffled, and no key among them is heavy. Key columns must
-    not be NULL.
+    written once and broadcast. The other rows are shuffled, and no key among them is heavy.
+    Key columns must not be NULL.
     """
-    hot = F.broadcast(hot_keys(rows, keys, share))
-    hot_table = hot.join(table.join(hot, keys, "left_semi"), keys, "left")
+    hot = materialise(hot_keys(rows, keys, share), "hot-keys")
+    hot_table = materialise(hot.join(table.join(F.broadcast(hot), keys, "left_semi"), keys, "left"), "hot-rows")
     hot_rows = rows.join(F.broadcast(hot_table), keys)
-    other_rows = rows.join(hot, keys, "left_anti").join(table, keys, "left")
+    other_rows = rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys, "left")
     return hot_rows.unionByName(other_rows)

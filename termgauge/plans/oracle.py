@@ -331,11 +331,11 @@ def _case(column: str, table: dict[str, str], default: str = "NULL") -> str:
 def gap_report(tasks: dict[str, str], key_types: tuple[str, ...], fields: tuple[str, ...], factor: str = "", ratios=()) -> str:
     words = ", ".join(f"'{w}'" for w in tasks)
     value = lambda f, kt: f"max({f}) FILTER (key_type = '{kt}')"
-    columns = [f"round({value(f, kt)}{factor}, 6) + 0.0 AS {f}_{kt}" for kt in key_types for f in fields]
+    columns = [f"round({value(f, kt)}{factor} + 1e-9, 6) + 0.0 AS {f}_{kt}" for kt in key_types for f in fields]
     base = f"nullif({value('accuracy', 'x')}, 0)"
-    columns += [f"round({value('gap', kt)} / {base}, 6) + 0.0 AS ratio_{kt}" for kt in ratios]
+    columns += [f"round({value('gap', kt)} / {base} + 1e-9, 6) + 0.0 AS ratio_{kt}" for kt in ratios]
     return f"""
-SELECT {_case('word', tasks)} AS task, model, shots, round({value('accuracy', 'x')}{factor}, 6) AS accuracy, {', '.join(columns)}
+SELECT {_case('word', tasks)} AS task, model, shots, round({value('accuracy', 'x')}{factor} + 1e-9, 6) AS accuracy, {', '.join(columns)}
 FROM gaps JOIN overall USING ({CELL}) WHERE model = 'gptj' AND word IN ({words}) GROUP BY word, model, shots"""
 
 
@@ -348,7 +348,7 @@ SHORT_MODE = _case("word", {w: dims.MODE_LABELS[w] for w in ("mult", "plus")}, "
 
 
 def _r(columns: str) -> str:
-    return ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in columns.split())
+    return ", ".join(f"round({c} + 1e-9, 6) + 0.0 AS {c}" for c in columns.split())
 
 
 QUERIES |= {
@@ -478,17 +478,17 @@ QUERIES |= {
       WHERE CAST(mean_x AS INT) IN (72, 71, 23, 24)""",
     # accuracy
     "accuracy_by_key": """SELECT seed, key, frequency, CAST(sum(is_correct) AS BIGINT) AS correct, count(*) AS total,
-      round(avg(is_correct), 6) AS accuracy FROM graded GROUP BY 1, 2, 3""",
+      round(avg(is_correct) + 1e-9, 6) AS accuracy FROM graded GROUP BY 1, 2, 3""",
     "accuracy_by_key_of_testcases": """SELECT seed, key, frequency, CAST(sum(is_correct) AS BIGINT) AS correct,
-      count(*) AS total, round(avg(is_correct), 6) AS accuracy FROM results GROUP BY 1, 2, 3""",
+      count(*) AS total, round(avg(is_correct) + 1e-9, 6) AS accuracy FROM results GROUP BY 1, 2, 3""",
     "key_accuracy": f"SELECT word, model, shots, key, {_r('frequency')}, answers, correct, {_r('accuracy mean_x')} FROM keys_xy",
     "key_accuracy_filtered": f"""SELECT word, model, shots, key, {_r('frequency')}, answers, correct, {_r('accuracy mean_x')}
       FROM ({key_accuracy('xyz', "(SELECT * FROM both_ways WHERE x >= 11 AND y >= 11 AND z >= 11)")})""",
-    "mean_by_frequency_key": """SELECT word, model, shots, key, round(avg(x), 6) AS mean_x, round(avg(is_correct), 6) AS accuracy,
-      round(avg(frequency), 6) AS mean_frequency FROM graded GROUP BY 1, 2, 3, 4""",
+    "mean_by_frequency_key": """SELECT word, model, shots, key, round(avg(x) + 1e-9, 6) AS mean_x, round(avg(is_correct) + 1e-9, 6) AS accuracy,
+      round(avg(frequency) + 1e-9, 6) AS mean_frequency FROM graded GROUP BY 1, 2, 3, 4""",
     "overall_accuracy": f"SELECT {CELL}, answers, {_r('accuracy')} FROM overall",
     "frequency_quantiles": f"""SELECT {CELL}, CAST(unnest(range(0, {Q + 1})) AS INT) AS place,
-      round(unnest(edges), 6) AS edge FROM edges""",
+      round(unnest(edges) + 1e-9, 6) AS edge FROM edges""",
     "bin_accuracy": f"SELECT {CELL}, bin, keys, {_r('accuracy')} FROM bins",
     "bin_confidence": f"SELECT {CELL}, bin, {_r('h')} FROM bins",
     "bin_geometry": f"SELECT {CELL}, bin, {_r('low high width mid dilated')} FROM bins",
@@ -508,7 +508,7 @@ QUERIES |= {
     ),
     "gap_report_percent": gap_report(dims.ABSTRACT_TASKS, ("x", "xy", "xz"), ("gap",), " * 100"),
     "model_shot_error_bars": f"""SELECT word, model, shots, {_case('model', dims.MODEL_LABELS)} AS model_label, {_r('accuracy')},
-      round(accuracy - q_first, 6) AS error_lower, round(q_last - accuracy, 6) AS error_upper
+      round(accuracy - q_first + 1e-9, 6) AS error_lower, round(q_last - accuracy + 1e-9, 6) AS error_upper
       FROM gaps JOIN overall USING ({CELL}) WHERE key_type = 'x'""",
     "labels": f"""SELECT DISTINCT word, model, {_case('word', dims.MODE_LABELS, "'Time-Coversion-From-' || word")} AS mode,
       {SHORT_MODE} AS summary_mode, {_case('model', dims.MODEL_LABELS)} AS size, {_case('model', dims.MODEL_NAMES)} AS model_name

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from termgauge.functions import dimensions as dims
 from termgauge.operators import accuracy as acc
 from termgauge.operators import lookup, models
+from termgauge.session import materialise
 
 EXPERIMENT = ("word", "model", "shots")
 
@@ -120,7 +121,7 @@ def freq_accuracy_series(keys: DataFrame, q: int = 10, points: int = 10_000) ->
     high``. Series: bars (low and high are the edges), errors, interpolation, scatter, logistic,
     and the single values spearman and accuracy."""
     cell = list(acc.CELL)
-    bins = acc.bin_table(keys, q)
+    bins = materialise(acc.bin_table(keys, q), "bins")
     none = F.lit(None).cast("double")
 
     def series(rows, name, point, frequency, value, low=none, high=none):
