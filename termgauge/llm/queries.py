@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termgauge.llm import chat, language, packing, warc
+from termgauge.llm import chat, jaccard, language, packing, suffix, warc
 from termgauge.session import new_path
 
 
@@ -92,6 +92,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.drop("ids")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     dictionaries = language.fit(documents.where(remainder("doc_id", 5) != 0))
@@ -99,11 +103,17 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(rows, dictionaries, only=["doc_id", "held_out"])
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_warc": op3_warc,
     "op4_pack": op4_pack,
+    "op6_jaccard": op6_jaccard,
     "op8_language": op8_language,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_warc": OP3_SQL}
