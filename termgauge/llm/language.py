@@ -148,3 +148,11 @@ def classify(
             )
 
     return rows.mapInArrow(run, T.StructType(fields))
+
+
+def accepted(documents: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN) -> DataFrame:
+    """The rows of ``documents`` that are not rejected, with their own columns."""
+    names = documents.columns
+    inner = documents.select(*[F.col(f"`{c}`").alias(f"given_{c}") for c in names])
+    found = classify(inner, dictionaries, f"given_{text}", margin).where(~F.col("rejected"))
+    return found.select(*[F.col(f"`given_{c}`").alias(c) for c in names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termgauge.llm import chat, jaccard, language, packing, suffix, warc
+from termgauge.llm import chat, decontam, jaccard, language, licenses, packing, quality, suffix, toxicity, warc
 from termgauge.session import new_path
 
 
@@ -93,7 +93,7 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,12 +107,42 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeated(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def labelled(documents: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """text and label of the documents that have one."""
+    return documents.select("doc_id", "text").join(labels.select("doc_id", name), "doc_id").select("text", name)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    field = quality.fit_field(labelled(documents, table(spark, sf_dir, "labels"), "quality"))
+    return quality.judge(documents, field)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    known = labelled(documents.where(remainder("doc_id", 4) != 2), table(spark, sf_dir, "labels"), "toxic")
+    rows = documents.select("doc_id", "text", (remainder("doc_id", 4) == 2).alias("held_out"))
+    return toxicity.score(rows, toxicity.fit(known), ["doc_id", "held_out"])
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_license_scan": op2_license_scan,
     "op3_warc": op3_warc,
     "op4_pack": op4_pack,
+    "op5_quality": op5_quality,
     "op6_jaccard": op6_jaccard,
+    "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
+    "op9_decontaminate": op9_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 

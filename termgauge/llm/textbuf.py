@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 17
 U = np.uint64
 
 
@@ -36,6 +36,7 @@ def _table(lower: bool) -> np.ndarray:
 GAP = np.zeros(256, bool)
 GAP[list(b" \t\n\v\f\r")] = True
 TABLES = {False: _table(False), True: _table(True)}
+RAW = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
 BASE = U(0x2545F4914F6CDD1D)
 
 
@@ -89,11 +90,13 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A hash for each word; ``lower`` reads A-Z as a-z."""
+def word_hashes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, raw: bool = False
+) -> np.ndarray:
+    """A hash for each word; ``lower`` reads A-Z as a-z. With ``raw``, for any spans that are not empty."""
     global _POWERS
     out = np.zeros(len(starts), U)
-    table, a = TABLES[lower], 0
+    table, a = RAW if raw else TABLES[lower], 0
     while a < len(starts):  # pieces of bounded size, also within one very long text
         b = max(a + 1, int(np.searchsorted(starts, starts[a] + CHUNK)))
         base, end = starts[a], ends[b - 1]
@@ -101,7 +104,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         within = np.arange(end - base) - np.repeat(at, np.diff(at, append=end - base))
         if (longest := int(within.max()) + 1) > len(_POWERS):
             _POWERS = _powers(2 * longest)
-        out[a:b] = np.add.reduceat(table[data[base:end]] * _POWERS[within], at)
+        values = table[data[base:end]] * _POWERS[within]
+        if raw:
+            values[within >= np.repeat(ends[a:b] - starts[a:b], np.diff(at, append=end - base))] = 0
+        out[a:b] = np.add.reduceat(values, at)
         a = b
     return mix(out ^ (ends - starts).astype(U))
 

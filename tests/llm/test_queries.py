@@ -1,0 +1,75 @@
+"""The registered queries over the smallest tables, against SQL or a brute-force version."""
+
+import os
+
+import duckdb
+import pytest
+from test_jaccard import brute as jaccard_brute
+from test_quality import brute as quality_brute
+from test_suffix import brute as suffix_brute
+
+from termgauge.llm import queries
+
+SF_DIR = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in "documents pages benchmark labels conversations".split():
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
+    return con
+
+
+@pytest.fixture(scope="module")
+def docs(duck):
+    return duck.execute("SELECT doc_id, text FROM documents").fetchall()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, duck, name):
+    got = queries.QUERIES[name](spark, SF_DIR)
+    want = duck.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in want.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(str, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_op6(spark, docs):
+    rows = sorted((tuple(r) for r in queries.op6_jaccard(spark, SF_DIR).collect()), key=str)
+    assert rows == jaccard_brute(docs)
+
+
+def test_op10(spark, docs):
+    rows = sorted((tuple(r) for r in queries.op10_suffix_dedup(spark, SF_DIR).collect()), key=str)
+    assert rows == suffix_brute(docs)
+
+
+def test_op5(spark, docs):
+    got = {r.doc_id: r for r in queries.op5_quality(spark, SF_DIR).collect()}
+    for i, text in docs:
+        r, want = got[i], quality_brute(text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r.base_failed and r.kept)
+
+
+@pytest.mark.parametrize("name, columns", [("op7_toxicity", {"doc_id", "held_out", "score", "predicted"}), ("op8_language", {"doc_id", "held_out", "lang_pred", "score"})])
+def test_models(spark, docs, name, columns):
+    out = queries.QUERIES[name](spark, SF_DIR)
+    rows = out.collect()
+    assert columns <= set(out.columns) and sorted(r.doc_id for r in rows) == sorted(i for i, _ in docs)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_accuracy(spark, duck):
+    rows = [(r.doc_id, r.held_out, r.lang_pred) for r in queries.op8_language(spark, "/root/testdata/sf0.01").collect()]
+    lang = dict(duckdb.sql("SELECT doc_id, lang FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    held = [lang[i] == p for i, h, p in rows if h]
+    assert sum(held) / len(held) > 0.95
+
+
+def test_matches(spark, docs):
+    assert {r.doc_id for r in queries.op9_decontaminate(spark, SF_DIR).collect()} <= {i for i, _ in docs}
+    found = {r.doc_id for r in queries.op2_license_scan(spark, SF_DIR).collect()}
+    assert {i for i, t in docs if "Released under the MIT License." in t} <= found
