@@ -40,6 +40,7 @@ NO_WORD_KEYS = (
     "concat",
     "plushashtag",
     "multhashtag",
+    "mode10hashtag",
     "compareless",
     "comparemore",
     "comparemoreless",

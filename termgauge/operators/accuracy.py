@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termgauge.functions import stats
+from termgauge.session import materialise
 
 CELL = ("word", "model", "shots", "key_type")
 
@@ -173,6 +174,7 @@ def spearman_corr(keys: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
     """Rank correlation of accuracy and frequency over the keys, ties at their mean rank."""
     by = list(by)
     points = keys.groupBy(*by, "frequency", "accuracy").agg(F.count(F.lit(1)).alias("n"))
+    points = materialise(points, "spearman-points")  # read by three steps
     ranked = points.join(_mean_ranks(points, by, "frequency"), [*by, "frequency"]).join(
         _mean_ranks(points, by, "accuracy").drop("total"), [*by, "accuracy"]
     )

@@ -1,14 +1,23 @@
 """Pairs of close keys that differ most in frequency and accuracy.
 
 The score of a pair is ``(f_i - f_j)^3 (a_i - a_j) / (product of key gaps)^2``, where the gap of
-two equal key numbers is 0.01. Only the best pairs are wanted, so keys are grouped into blocks
-of neighbouring numbers, of which there are at most a few hundred per cell, and a pair of blocks
-is opened only if its upper bound reaches the score of the ``n``-th best pair known so far.
+two equal key numbers is 0.01. Only the best pairs of a cell are wanted:
+
+1. The most frequent keys of a cell meet all its keys. The ``n``-th best of these pairs is a
+   threshold that no pair of the result may stay below.
+2. A pair scores above zero only if one key is higher in frequency and accuracy. The higher key
+   alone bounds the score by ``(f - f_min)^3 (a - a_min) / gaps^2``, so its partner lies within a
+   distance that follows from the threshold: small for most keys, large for a few. Keys are
+   joined on a grid whose width fits that distance, once for every set of equal key numbers.
+3. A cell whose threshold is unknown or not above zero has fewer than ``n`` pairs that score
+   above zero among those, so all its pairs are compared. The same holds for scorers of the
+   caller's, for which there is no bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +27,8 @@ from termgauge.operators.lookup import is_round_key
 from termgauge.session import materialise
 
 EQUAL_GAP = 0.01  # fixed value
-BLOCKS = 256  # most blocks per cell
-FIRST_BLOCKS = 64  # block pairs opened to find a first threshold
+HIGHEST = 16  # most frequent keys of a cell that give the first threshold
+WIDEST = 40  # grid level that no key number leaves
 
 
 def _gap(i: Column, j: Column) -> Column:
@@ -42,118 +51,144 @@ def acc_score(i: Column, j: Column) -> Column:
     return i - j
 
 
-def _score(size: int) -> Column:
-    return (
-        freq_score(F.col("f_i"), F.col("f_j"))
-        * acc_score(F.col("a_i"), F.col("a_j"))
-        / index_score(F.col("parts_i"), F.col("parts_j"), size)
-    )
-
-
 def _best(pairs: DataFrame, by: Sequence[str], n: int) -> DataFrame:
-    rank = F.row_number().over(
-        Window.partitionBy(*by).orderBy(F.desc("score"), "key_i", "key_j")
-    )
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "key_i", "key_j"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.withColumnsRenamed({c: f"{c}_{side}" for c in ("key", "parts", "f", "a")})
+
+
+def _before(size: int) -> Column:
+    """Whether key i comes first: as a number for single keys, else as printed."""
+    if size == 1:
+        return F.get("parts_i", F.lit(0)) < F.get("parts_j", F.lit(0))
+    return F.col("key_i") < F.col("key_j")
+
+
+def _ordered(pairs: DataFrame, size: int, by: Sequence[str]) -> DataFrame:
+    """Pairs with their first key as i; pairs of keys that are the same are left out."""
+    before = _before(size)
+    after = F.get("parts_i", F.lit(0)) > F.get("parts_j", F.lit(0)) if size == 1 else F.col("key_i") > F.col("key_j")
+    sides = {
+        f"{c}_{side}": F.when(before, F.col(f"{c}_{side}")).otherwise(F.col(f"{c}_{other}"))
+        for c in ("key", "parts", "f", "a")
+        for side, other in (("i", "j"), ("j", "i"))
+    }
+    return pairs.where(before | after).select(*by, *[e.alias(c) for c, e in sides.items()])
+
+
+def first_pairs(points: DataFrame, size: int, by: Sequence[str]) -> DataFrame:
+    """Every key with the most frequent keys of its cell, each pair once."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("f"), F.desc("a"), "key"))
+    high = points.withColumn("place", place).where(F.col("place") <= HIGHEST)
+    high = _side(high, "i")
+    ranks = high.select(*by, F.col("key_i").alias("key"), F.col("place").alias("own"))
+    low = _side(points.join(ranks, [*by, "key"], "left"), "j")
+    pairs = high.join(low, list(by)).where("own IS NULL OR place < own")
+    return _ordered(pairs, size, by)
+
+
+def close_pairs(points: DataFrame, thresholds: DataFrame, size: int, by: Sequence[str]) -> DataFrame:
+    """Pairs of the cells of ``thresholds`` (above zero) that may reach the threshold, and others near them."""
+    least = points.groupBy(*by).agg(F.min("f").alias("f_min"), F.min("a").alias("a_min"))
+    bound = F.pow(F.col("f") - F.col("f_min"), 3) * (F.col("a") - F.col("a_min"))
+    # The margin covers rounding.
+    reach = F.sqrt(bound / F.col("threshold")) * (1 + 1e-9)
+    tall = points.join(least, list(by)).join(thresholds, list(by)).withColumn("reach", reach).where("reach > 0")
+
+    part = lambda c: F.get("parts", F.lit(c))
+    equal_sets = [set(e) for k in range(size + (size > 1)) for e in combinations(range(size), k)]
+    faces = []
+    for equal in equal_sets:
+        rest = [c for c in range(size) if c not in equal]
+        own = [F.when(F.lit(c in equal), part(c)) for c in range(size)]
+        faces.append(
+            F.struct(
+                F.lit(sum(1 << c for c in equal)).alias("face"),
+                F.array(*own).alias("same"),
+                (part(rest[0]) if rest else F.lit(0).cast("bigint")).alias("x"),
+                F.lit((1 / EQUAL_GAP) ** len(equal)).alias("times"),
+                F.lit(not rest).alias("whole"),
+            )
+        )
+    faced = lambda rows: rows.withColumn("s", F.explode(F.array(*faces))).select(*rows.columns, "s.*")
+
+    # Other gaps are 1 at least, so the first of them is at most the reach.
+    width = F.greatest(F.col("reach") * F.col("times"), F.lit(1.0))
+    level = F.when(F.col("whole"), 0).otherwise(F.least(F.ceil(F.log2(width)), F.lit(WIDEST))).cast("int")
+    high = faced(tall).where(F.col("whole") | (F.col("reach") * F.col("times") >= 1)).withColumn("level", level)
+    cell = lambda offset: F.expr("x DIV shiftleft(1L, level)") + offset  # noqa: E731  key numbers are not negative
+    around = F.when(F.col("whole") | (F.col("level") == WIDEST), F.array(F.lit(0).cast("bigint")))
+    high = high.withColumn("box", F.explode(around.otherwise(F.array(cell(-1), cell(0), cell(1)))))
+    levels = high.select(*by, "face", "level").distinct()
+    one = F.when(F.col("whole") | (F.col("level") == WIDEST), F.lit(0).cast("bigint")).otherwise(cell(0))
+    low = faced(points).join(levels, [*by, "face"]).withColumn("box", one)
+
+    keys = [*by, "face", "same", "level", "box"]
+    high = _side(high.select(*keys, "key", "parts", "f", "a", "threshold"), "i")
+    low = _side(low.select(*keys, "key", "parts", "f", "a"), "j")
+    pairs = high.join(low, keys)
+    differs = [
+        ((F.col("face").bitwiseAND(1 << c) != 0) | (F.get("parts_i", F.lit(c)) != F.get("parts_j", F.lit(c))))
+        for c in range(size)
+    ]
+    wanted = (F.col("f_i") > F.col("f_j")) & (F.col("a_i") > F.col("a_j"))
+    for d in differs:
+        wanted = wanted & d
+    return _ordered(pairs.where(wanted), size, by)
+
+
+def all_pairs(points: DataFrame, cells: DataFrame, size: int, by: Sequence[str]) -> DataFrame:
+    """All pairs of the given cells."""
+    some = points.join(cells.select(*by), list(by), "left_semi")
+    pairs = _side(some, "i").join(_side(some, "j"), list(by))
+    return pairs.where(_before(size))
+
+
 def farthest_points(
     keys: DataFrame,
     size: int,
     n: int = 100,
     by: Sequence[str] = CELL,
     index_filter: Callable[[Column], Column] | None = None,
+    index_score: Callable[[Column, Column, int], Column] = index_score,
+    freq_score: Callable[[Column, Column], Column] = freq_score,
+    acc_score: Callable[[Column, Column], Column] = acc_score,
 ) -> DataFrame:
     """The ``n`` best pairs per cell: ``by, rank, score, key_i, key_j, log_gap, a_i, a_j``.
 
     ``keys`` comes from ``key_accuracy`` with ``size`` numbers per key. ``index_filter`` maps the
     key numbers to a condition; by default keys with a one-digit or round number are left out.
-    A pair is ordered by its key: as a number for single keys, else as printed.
+    A pair is ordered by its key: as a number for single keys, else as printed. The scorers map the
+    two keys' numbers, frequencies and accuracies to the parts of the score.
     """
     by = list(by)
     allowed = index_filter(F.col("parts")) if index_filter else ~is_round_key(F.col("parts"))
     points = keys.where(allowed).select(
         *by, "key", "parts", F.col("frequency").alias("f"), F.col("accuracy").alias("a")
     )
-
-    # Blocks: every key number is cut at approximate quantiles of its cell. The cuts decide how
-    # much is pruned, not what is found; points are written with their block, so that all steps
-    # see the same ones.
-    cuts = max(1, int(BLOCKS ** (1.0 / size) + 1e-9))
-    part = lambda c: F.get("parts", F.lit(c))
-    shares = [i / cuts for i in range(1, cuts)] or [0.5]
-    quantiles = points.groupBy(*by).agg(
-        *[F.percentile_approx(part(c), shares, 1000).alias(f"cuts{c}") for c in range(size)]
-    )
-    block = "0"
-    for c in range(size):
-        block = f"({block}) * {len(shares) + 1} + size(filter(cuts{c}, e -> e < parts[{c}]))"
-    points = points.join(quantiles, by).select(*points.columns, F.expr(f"CAST({block} AS INT)").alias("block"))
     points = materialise(points, "farthest-points")
-
-    extremes = [("f", "f"), ("a", "a"), *[(f"k{c}", part(c)) for c in range(size)]]
-    blocks = points.groupBy(*by, "block").agg(
-        *[F.min(e).alias(f"{name}_min") for name, e in extremes],
-        *[F.max(e).alias(f"{name}_max") for name, e in extremes],
-    )
-    renamed = lambda rows, side: rows.withColumnsRenamed(
-        {c: f"{c}_{side}" for c in rows.columns if c not in by}
-    )
-    pairs = renamed(blocks, "i").join(renamed(blocks, "j"), by).where("block_i <= block_j")
-    pairs = materialise(pairs.select(*by, "block_i", "block_j", _bound(size).alias("bound")), "blocks")
-
-    part_of = lambda side: F.get(f"parts_{side}", F.lit(0))
-
-    def opened(block_pairs: DataFrame) -> DataFrame:
-        wanted = block_pairs.select(*by, "block_i", "block_j")
-        rows = wanted.join(renamed(points, "i"), [*by, "block_i"]).join(
-            renamed(points, "j"), [*by, "block_j"]
-        )
-        smaller = (part_of("i") < part_of("j")) if size == 1 else (F.col("key_i") < F.col("key_j"))
-        # Within one block each pair comes up twice, across blocks once.
-        once = (F.col("block_i") != F.col("block_j")) | smaller
-        swap = ~smaller
-        rows = rows.where(once & (F.col("key_i") != F.col("key_j")))
-        sides = {
-            f"{c}_{side}": F.when(swap, F.col(f"{c}_{other}")).otherwise(F.col(f"{c}_{side}"))
-            for c in ("key", "parts", "f", "a")
-            for side, other in (("i", "j"), ("j", "i"))
-        }
-        rows = rows.select(*by, *[e.alias(c) for c, e in sides.items()])
-        return rows.withColumn("score", _score(size))
-
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("bound"), "block_i", "block_j"))
-    first = pairs.withColumn("place", place).where(F.col("place") <= FIRST_BLOCKS)
-    threshold = (
-        _best(opened(first), by, n)
-        .groupBy(*by)
-        .agg(F.min("score").alias("threshold"), F.count(F.lit(1)).alias("known"))
-        .where(F.col("known") == n)
-        .drop("known")
-    )
-    # The margin covers rounding in the bound.
-    reach = F.col("bound") + F.abs("bound") * 1e-9 >= F.col("threshold")
-    survivors = pairs.join(threshold, by, "left").where(F.col("threshold").isNull() | reach)
+    cells = points.select(*by).distinct()
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        gaps = index_score(F.col("parts_i"), F.col("parts_j"), size)
+        own = freq_score(F.col("f_i"), F.col("f_j")) * acc_score(F.col("a_i"), F.col("a_j")) / gaps
+        return pairs.withColumn("score", own)
+
+    if (index_score, freq_score, acc_score) != SCORERS:
+        found = _best(scored(all_pairs(points, cells, size, by)), by, n)
+    else:
+        known = _best(scored(first_pairs(points, size, by)), by, n).groupBy(*by)
+        known = known.agg(F.min("score").alias("threshold"), F.count(F.lit(1)).alias("known"))
+        known = materialise(known.where((F.col("known") == n) & (F.col("threshold") > 0)).drop("known"), "thresholds")
+        open_cells = cells.join(known, by, "left_anti")
+        close = scored(close_pairs(points, known, size, by)).join(known, by)
+        close = close.where(F.col("score") >= F.col("threshold")).drop("threshold")
+        found = _best(close.unionByName(scored(all_pairs(points, open_cells, size, by)), allowMissingColumns=True), by, n)
     log_gap = F.abs(F.log10("f_i") - F.log10("f_j")).alias("log_gap")
-    return _best(opened(survivors), by, n).select(
-        *by, "rank", "score", "key_i", "key_j", log_gap, "a_i", "a_j"
-    )
+    return found.select(*by, "rank", "score", "key_i", "key_j", log_gap, "a_i", "a_j")
 
 
-def _bound(size: int) -> Column:
-    """No pair of keys from the two blocks scores higher."""
-
-    def one_way(high: str, low: str) -> Column:
-        df = F.col(f"f_max_{high}") - F.col(f"f_min_{low}")
-        da = F.col(f"a_max_{high}") - F.col(f"a_min_{low}")
-        # Positive scores need both differences positive or both negative.
-        return F.when((df > 0) & (da > 0), df * df * df * da).otherwise(0.0)
-
-    smallest = F.lit(1.0)
-    for c in range(size):
-        apart = F.greatest(
-            F.col(f"k{c}_min_i") - F.col(f"k{c}_max_j"), F.col(f"k{c}_min_j") - F.col(f"k{c}_max_i")
-        )
-        smallest = smallest * F.when(apart > 0, apart.cast("double")).otherwise(EQUAL_GAP)
-    best = F.greatest(one_way("i", "j"), one_way("j", "i"))
-    return best / (smallest * smallest)
+SCORERS = (index_score, freq_score, acc_score)

@@ -38,17 +38,31 @@ def frequency_table(numbers: DataFrame, words: DataFrame | None = None) -> DataF
     return plain if words is None else plain.unionByName(words)
 
 
+def in_order(operands: Sequence[Column]) -> list[Column]:
+    """One to three values, smallest first, without a comparator that is called row by row."""
+    if len(operands) == 1:
+        return list(operands)
+    low, high = F.least(*operands), F.greatest(*operands)
+    if len(operands) == 2:
+        return [low, high]
+    a, b, c = operands
+    return [low, F.greatest(F.least(a, b), F.least(F.greatest(a, b), c)), high]
+
+
+def keyword_of(word: Column) -> Column:
+    """The unit word of an experiment, empty for experiments without one; other words are an error."""
+    unknown = F.concat(F.lit("unknown experiment word: "), F.coalesce(word, F.lit("NULL")))
+    known = F.when(word.isin(list(dims.NO_WORD_KEYS)), F.lit("")).when(word.isin(list(dims.UNITS)), word)
+    return known.otherwise(F.raise_error(unknown).cast("string"))
+
+
 def with_key(graded: DataFrame, key_type: str) -> DataFrame:
     """Adds the key columns ``n1..nk`` (operands as strings, in string order) and ``keyword``
     (the unit word, empty for experiments without one)."""
     names = number_columns(key_type)
-    operands = [F.col(c).cast("string") for c in KEY_TYPES[key_type]]
-    ordered = F.array_sort(F.array(*operands))
-    plain = F.col("word").isin(list(dims.NO_WORD_KEYS))
+    operands = in_order([F.col(c).cast("string") for c in KEY_TYPES[key_type]])
     return graded.select(
-        "*",
-        *[F.get(ordered, F.lit(i)).alias(name) for i, name in enumerate(names)],
-        F.when(plain, "").otherwise(F.col("word")).alias("keyword"),
+        "*", *[o.alias(name) for o, name in zip(operands, names)], keyword_of(F.col("word")).alias("keyword")
     )
 
 
@@ -90,14 +104,20 @@ def lookup_pair_frequency(graded: DataFrame, pair_counts: DataFrame) -> DataFram
     """Every graded answer with the frequency of the pair (x, z), stored in either order.
 
     If both orders are stored the sorted one counts. Adds ``pair_key``, ``pair_frequency`` and
-    ``found`` as above.
+    ``found`` as above. The distinct pairs of the answers look both orders up in the count table,
+    which is not regrouped; the answers then look up their pair.
     """
-    stored = pair_counts.groupBy(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).agg(
-        F.max_by(F.struct("n1", "n2", "frequency"), F.col("n1") <= F.col("n2")).alias("pair")
-    )
     x, z = F.col("x").cast("string"), F.col("z").cast("string")
     rows = graded.select("*", F.least(x, z).alias("a"), F.greatest(x, z).alias("b"))
-    rows = left_lookup(rows, stored, ["a", "b"])
+    asked = rows.select("a", "b").distinct()
+    orders = [F.struct("a", "b", F.lit(True).alias("sorted")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(False).alias("sorted"))]
+    tried = asked.select(F.col("a").alias("a0"), F.col("b").alias("b0"), F.explode(F.array(*orders)).alias("o"))
+    tried = tried.where("o.sorted OR a0 <> b0").select("a0", "b0", "o.sorted", F.col("o.a").alias("n1"), F.col("o.b").alias("n2"))
+    stored = tried.join(pair_counts.select("n1", "n2", "frequency"), ["n1", "n2"])
+    found = stored.groupBy(F.col("a0").alias("a"), F.col("b0").alias("b")).agg(
+        F.max_by(F.struct("n1", "n2", "frequency"), F.col("sorted")).alias("pair")
+    )
+    rows = left_lookup(rows, found, ["a", "b"])
     key = F.concat(
         F.lit("('"), F.coalesce("pair.n1", "a"), F.lit("', '"), F.coalesce("pair.n2", "b"), F.lit("')")
     )

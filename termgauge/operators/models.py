@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termgauge.operators.accuracy import CELL
-from termgauge.session import materialise
+from termgauge.session import discard, materialise, written
 
 
 def sufficient_counts(keys: DataFrame, t: Column, by: Sequence[str] = CELL) -> DataFrame:
@@ -41,7 +41,8 @@ def newton_fit(
 
     ``penalty`` weighs the squares of coef and intercept (halved) in the negative log
     likelihood. Returns per cell ``coef, intercept``, the Hessian ``h00, h01, h11`` at the
-    optimum, ``answers``, ``t_min, t_max``. Cells whose answers are all right or all wrong have
+    optimum, ``answers``, ``t_min, t_max`` and ``converged``: whether the last step moved the log
+    odds by less than ``tolerance``. Cells whose answers are all right or all wrong have
     no finite optimum without a penalty on the intercept; coef and intercept are NULL there.
     """
     by = list(by)
@@ -63,6 +64,7 @@ def newton_fit(
         "t_max",
     )
     fixed = [*by, "coef", "intercept", "t_min", "t_max"]
+    before = None
     for _ in range(max_iter):
         rows = counts.join(state, by)
         rows = rows.selectExpr("*", "1 / (1 + exp(-(coef * t + intercept))) AS p")
@@ -81,7 +83,7 @@ def newton_fit(
         ).selectExpr("*", "greatest(abs(step0 * t_min + step1), abs(step0 * t_max + step1)) AS moved")
         # No step moves the log odds at either end of the data by more than 4.
         steps = steps.selectExpr("*", "least(1.0D, 4.0D / greatest(moved, 1e-300D)) AS damping")
-        written = materialise(
+        solved, path = written(
             steps.selectExpr(
                 *by,
                 "coef - damping * step0 AS coef",
@@ -95,19 +97,22 @@ def newton_fit(
             ),
             "newton-state",
         )
-        worst = written.agg(F.max("moved")).first()[0]
-        state = written.select(*fixed)
+        worst = solved.agg(F.max("moved")).first()[0]
+        state = solved.select(*fixed)
+        if before:
+            discard(counts.sparkSession, before)
+        before = path
         if worst is None or worst < tolerance:
             break
-    fitted = written.select(*by, "coef", "intercept", "h00", "h01", "h11")
+    fitted = solved.select(*by, "coef", "intercept", "h00", "h01", "h11", (F.col("moved") < tolerance).alias("converged"))
     return cells.drop("correct").join(fitted, by, "left")
 
 
 def logistic_fit(keys: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
     """L2-penalised (C = 1) logistic regression of is_correct on log10 of the frequency:
-    ``by, coef, intercept, answers, t_min, t_max``."""
+    ``by, coef, intercept, answers, t_min, t_max, converged`` (NULL where there is no fit)."""
     fit = newton_fit(sufficient_counts(keys, F.log10("frequency"), by), by)
-    return fit.select(*by, "coef", "intercept", "answers", "t_min", "t_max")
+    return fit.select(*by, "coef", "intercept", "answers", "t_min", "t_max", "converged")
 
 
 def _grid(first: Column, last: Column, points: int) -> tuple[Column, Column]:
@@ -147,6 +152,91 @@ def _proposals(row, rng: np.random.Generator, draws: int) -> tuple[np.ndarray, n
     return np.array([row.coef, row.intercept]) + z @ root.T, density
 
 
+class _Chains:
+    """What the tasks of a fit share: the cell columns, the draws, and the seed."""
+
+    def __init__(self, by: list[str], draws: int, burn: int, thin: int, seed: int):
+        self.by, self.draws, self.burn, self.thin, self.seed = by, draws, burn, thin, seed
+
+    def cell(self, rows: pd.DataFrame) -> tuple:
+        return tuple(rows.iloc[0][c] for c in self.by)
+
+    def log_likelihood(self, rows: pd.DataFrame) -> np.ndarray:
+        """Of all proposals, over some levels of a cell."""
+        rng = np.random.default_rng(_cell_seed(self.cell(rows), self.seed))
+        proposed, _ = _proposals(rows.iloc[0], rng, self.draws)
+        ll = np.zeros(self.draws)
+        for t, n, k in zip(rows.t, rows.answers, rows.correct):
+            eta = proposed[:, 0] * t + proposed[:, 1]
+            ll += k * eta - n * np.logaddexp(0.0, eta)
+        return ll
+
+    def walk(self, rows: pd.DataFrame, ll: np.ndarray) -> np.ndarray:
+        """The kept states of the chain: coef and intercept."""
+        rng = np.random.default_rng(_cell_seed(self.cell(rows), self.seed))
+        proposed, density = _proposals(rows.iloc[0], rng, self.draws)
+        weight = (ll - PRIOR_PRECISION / 2 * (proposed**2).sum(axis=1) - density).tolist()
+        log_u = np.log(rng.random(self.draws)).tolist()
+        state = [0] * self.draws
+        here = 0
+        for i in range(self.draws):
+            if log_u[i] < weight[i] - weight[here]:
+                here = i
+            state[i] = here
+        return proposed[state[self.burn :: self.thin]]
+
+
+def _likelihoods(keys: DataFrame, by: list[str], chains: _Chains, frequency: str) -> DataFrame:
+    """Per cell the mode, its Hessian, and the log likelihood of every proposal, as one array.
+
+    A cell with many distinct frequencies is cut into parts of about LEVELS_PER_TASK, whose arrays
+    are summed place by place, so a task holds the arrays of one part or the sum.
+    """
+    counts = materialise(sufficient_counts(keys, F.ln(frequency), by), "bayes-counts")
+    fit = newton_fit(counts, by, (PRIOR_PRECISION, PRIOR_PRECISION)).drop("answers", "converged")
+    levels = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("levels"))
+    fit = materialise(fit.join(levels, by), "bayes-mode")
+    cell_fields = [fit.schema[c] for c in by]
+
+    def part_sums(rows: pd.DataFrame) -> pd.DataFrame:
+        ll = chains.log_likelihood(rows)
+        blocks = range(0, len(ll), DRAWS_PER_ROW)
+        return pd.DataFrame(
+            {
+                **{c: [v] * len(blocks) for c, v in zip(by, chains.cell(rows))},
+                "block": list(blocks),
+                "ll": [ll[lo : lo + DRAWS_PER_ROW] for lo in blocks],
+            }
+        )
+
+    parts = F.ceil(F.col("levels") / LEVELS_PER_TASK)
+    rows = counts.join(fit, by).withColumn("part", F.pmod(F.xxhash64("t"), parts))
+    schema = T.StructType([*cell_fields, T.StructField("block", T.LongType()), T.StructField("ll", T.ArrayType(T.DoubleType()))])
+    partial = rows.groupBy(*by, "part").applyInPandas(part_sums, schema)
+    numbered = partial.select(*by, "block", F.posexplode("ll").alias("place", "value"))
+    summed = numbered.groupBy(*by, "block", "place").agg(F.sum("value").alias("value"))
+    # One part is the common case and needs no sum; its arrays go on as they are.
+    single = partial.join(fit.where(F.col("levels") <= LEVELS_PER_TASK).select(*by), by, "left_semi")
+    several = summed.join(fit.where(F.col("levels") > LEVELS_PER_TASK).select(*by), by, "left_semi")
+    listed = several.groupBy(*by, "block").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("ll"))
+    return single.unionByName(listed.withColumn("ll", F.col("ll.value"))).join(fit, by)
+
+
+DRAWS_PER_ROW = 10_000
+
+
+def _per_cell(keys: DataFrame, by: list[str], chains: _Chains, frequency: str, result, fields: list[T.StructField]):
+    rows = _likelihoods(keys, by, chains, frequency)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("block")
+        kept = chains.walk(group, np.concatenate([np.asarray(x) for x in group.ll]))
+        return pd.DataFrame({**dict(zip(by, chains.cell(group))), **result(group.iloc[0], kept)})
+
+    schema = T.StructType([*[rows.schema[c] for c in by], *fields])
+    return rows.groupBy(*by).applyInPandas(run, schema)
+
+
 def bayes_logistic(
     keys: DataFrame,
     by: Sequence[str] = CELL,
@@ -161,63 +251,60 @@ def bayes_logistic(
 
     A Metropolis chain per cell, started at the mode. Proposals do not depend on the state of
     the chain, so the log likelihood of all of them is computed over the parts of the count
-    table first; the chain then reads ``draws`` numbers per cell and part. Note that beta has
-    the opposite sign of ``coef``.
+    table first; the chain then reads ``draws`` numbers per cell. Note that beta has the opposite
+    sign of ``coef``.
     """
-    by = list(by)
-    counts = materialise(sufficient_counts(keys, F.ln(frequency), by), "bayes-counts")
-    fit = newton_fit(counts, by, (PRIOR_PRECISION, PRIOR_PRECISION)).drop("answers")
-    levels = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("levels"))
-    fit = materialise(fit.join(levels, by), "bayes-mode")
-    cell_fields = [fit.schema[c] for c in by]
 
-    def log_likelihood(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
-        cell = tuple(first[c] for c in by)
-        proposed, _ = _proposals(first, np.random.default_rng(_cell_seed(cell, seed)), draws)
-        ll = np.zeros(draws)
-        for t, n, k in zip(rows.t, rows.answers, rows.correct):
-            eta = proposed[:, 0] * t + proposed[:, 1]
-            ll += k * eta - n * np.logaddexp(0.0, eta)
-        return pd.DataFrame({**dict(zip(by, cell)), "ll": [ll]})
+    def samples(first, kept: np.ndarray) -> dict:
+        return {
+            "draw": np.arange(len(kept), dtype=np.int64),
+            "beta": -kept[:, 0],
+            "alpha": -kept[:, 1],
+            "t_min": first.t_min,
+            "t_max": first.t_max,
+        }
 
-    # A cell with many distinct frequencies is cut into parts of about LEVELS_PER_TASK.
-    parts = F.ceil(F.col("levels") / LEVELS_PER_TASK)
-    rows = counts.join(fit, by).withColumn("part", F.pmod(F.xxhash64("t"), parts))
-    partial_schema = T.StructType([*cell_fields, T.StructField("ll", T.ArrayType(T.DoubleType()))])
-    partial = rows.groupBy(*by, "part").applyInPandas(log_likelihood, partial_schema)
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
-        cell = tuple(first[c] for c in by)
-        rng = np.random.default_rng(_cell_seed(cell, seed))
-        proposed, density = _proposals(first, rng, draws)
-        ll = np.sum([np.asarray(part) for part in rows.ll], axis=0)
-        weight = (ll - PRIOR_PRECISION / 2 * (proposed**2).sum(axis=1) - density).tolist()
-        log_u = np.log(rng.random(draws)).tolist()
-        state = [0] * draws
-        here = 0
-        for i in range(draws):
-            if log_u[i] < weight[i] - weight[here]:
-                here = i
-            state[i] = here
-        kept = proposed[state[burn::thin]]
-        return pd.DataFrame(
-            {
-                **dict(zip(by, cell)),
-                "draw": np.arange(len(kept), dtype=np.int64),
-                "beta": -kept[:, 0],
-                "alpha": -kept[:, 1],
-                "t_min": first.t_min,
-                "t_max": first.t_max,
-            }
-        )
+    fields = [T.StructField("draw", T.LongType())]
+    fields += [T.StructField(c, T.DoubleType()) for c in ("beta", "alpha", "t_min", "t_max")]
+    return _per_cell(keys, list(by), _Chains(list(by), draws, burn, thin, seed), frequency, samples, fields)
 
-    schema = T.StructType(
-        [*cell_fields, T.StructField("draw", T.LongType())]
-        + [T.StructField(c, T.DoubleType()) for c in ("beta", "alpha", "t_min", "t_max")]
-    )
-    return partial.join(fit, by).groupBy(*by).applyInPandas(walk, schema)
+
+def bayes_band(
+    keys: DataFrame,
+    by: Sequence[str] = CELL,
+    draws: int = 120_000,
+    burn: int = 100_000,
+    thin: int = 2,
+    seed: int = 0,
+    frequency: str = "frequency",
+    points: int = 100,
+) -> DataFrame:
+    """``posterior_band`` of ``bayes_logistic``, evaluated where the chain was walked: the samples
+    of a cell, bounded by the draws, do not leave their task."""
+
+    def band(first, kept: np.ndarray) -> dict:
+        t = np.linspace(first.t_min - 5, first.t_max + 5, points)
+        p = 1 / (1 + np.exp(-np.clip(kept[:, :1] * t + kept[:, 1:], -700, 700)))
+        p.sort(axis=0)
+        n = len(p)
+
+        def quantile(share: float) -> np.ndarray:
+            place = n * share + (0.4 + 0.2 * share)
+            k = int(np.floor(min(max(place, 1.0), max(n - 1, 1))))
+            part = min(max(place - k, 0.0), 1.0)
+            return (1 - part) * p[k - 1] + part * p[min(k, n - 1)]
+
+        return {
+            "point": np.arange(points, dtype=np.int32),
+            "frequency": np.exp(t),
+            "mean": p.mean(axis=0),
+            "low": quantile(0.025),
+            "high": quantile(0.975),
+        }
+
+    fields = [T.StructField("point", T.IntegerType())]
+    fields += [T.StructField(c, T.DoubleType()) for c in ("frequency", "mean", "low", "high")]
+    return _per_cell(keys, list(by), _Chains(list(by), draws, burn, thin, seed), frequency, band, fields)
 
 
 def posterior_band(samples: DataFrame, by: Sequence[str] = CELL, points: int = 100) -> DataFrame:

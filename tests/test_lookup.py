@@ -123,3 +123,20 @@ def test_key_accuracy(graded, tables, rows_of):
     assert rows_of(lookup.overall_accuracy(got, ["word"])) == [("comparemoreless", 1, 0.0), ("mult", 3, 2 / 3)]
     points = lookup.important_points(lookup.key_accuracy(graded, tables, "x"), [9])
     assert rows_of(points, "word", "label") == [("day", "9"), ("minute", "9"), ("mult", "9")]
+
+
+def test_every_experiment_word_has_its_keyword(spark, tables):
+    rows = spark.createDataFrame([("mode10hashtag", "gptj", 2, 9, 10, 9, 1), ("day", "gptj", 2, 9, 24, 216, 1)], GRADED)
+    found = {r.word: r.lookup_frequency for r in lookup.lookup_frequency(rows, tables(1), "x").collect()}
+    assert found == {"mode10hashtag": 7, "day": 8}
+    assert lookup.key_accuracy(rows, tables, "x").count() == 2
+    with pytest.raises(Exception, match="unknown experiment word: fortnight"):
+        bad = spark.createDataFrame([("fortnight", "gptj", 2, 9, 10, 9, 1)], GRADED)
+        lookup.lookup_frequency(bad, tables(1), "x").collect()
+
+
+def test_operands_in_string_order(spark):
+    rows = [(a, b, c) for a in (5, 10, 9) for b in (5, 10, 9) for c in (5, 10, 9)]
+    df = spark.createDataFrame([("mult", *r) for r in rows], "word string, x long, y long, z long")
+    for r in lookup.with_key(df, "xyz").collect():
+        assert [r.n1, r.n2, r.n3] == sorted(map(str, (r.x, r.y, r.z)))

@@ -104,3 +104,30 @@ def test_bayes(spark, keys):
         place = n * share + 0.4 + 0.2 * share
         at = int(place)
         assert np.allclose(band[name], ordered[at - 1] + (place - at) * (ordered[at] - ordered[at - 1]))
+
+
+def test_band_where_the_chain_is_walked(keys):
+    wanted = keys.where("cell IN ('rising', 'falling')")
+    how = {"by": CELL, "draws": 3_000, "burn": 1_000, "thin": 2}
+    want = models.posterior_band(models.bayes_logistic(wanted, **how), CELL).orderBy("cell", "point").toPandas()
+    got = models.bayes_band(wanted, **how).orderBy("cell", "point").toPandas()
+    assert len(got) == 200 and list(got.cell) == list(want.cell)
+    for name in ("frequency", "mean", "low", "high"):
+        assert np.allclose(got[name], want[name])
+
+
+def test_likelihoods_of_parts_are_summed(keys, monkeypatch):
+    wanted = keys.where("cell = 'rising'")
+    how = {"by": CELL, "draws": 2_000, "burn": 500, "thin": 2}
+    whole = models.bayes_logistic(wanted, **how).orderBy("draw").toPandas()
+    monkeypatch.setattr(models, "LEVELS_PER_TASK", 40)
+    parts = models.bayes_logistic(wanted, **how).orderBy("draw").toPandas()
+    assert np.allclose(whole.beta.mean(), parts.beta.mean(), rtol=1e-6)
+
+
+def test_fits_tell_whether_they_converged(keys):
+    fit = {r.cell: r.converged for r in models.logistic_fit(keys, CELL).collect()}
+    assert fit["rising"] and fit["steep"] and fit["all right"] is None
+    counts = models.sufficient_counts(keys, F.log10("frequency"), CELL)
+    short = {r.cell: r.converged for r in models.newton_fit(counts, CELL, max_iter=1).collect()}
+    assert short["steep"] is False

@@ -10,7 +10,9 @@ import __spark_entry__ as entry
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-SLOW = {"bayes_logistic"}  # 120,000 draws; the sampler has its own test
+
+# Too few keys at this scale.
+EMPTY = {"key_accuracy_filtered", "farthest_points_xyz", "farthest_points_yz"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
 
@@ -40,10 +42,10 @@ def test_query_matches_sql(spark, duck, name):
     got = entry.queries()[name](spark, SF_DIR).toArrow()
     want = duck.execute(entry.oracle_sql()[name]).to_arrow_table()
     assert comparable(got) == comparable(want)
-    assert got.num_rows > 0 or name == "key_accuracy_filtered"
+    assert got.num_rows > 0 or name in EMPTY
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_other_queries_run(spark, name):
     assert entry.queries()[name](spark, SF_DIR).count() > 0
 

@@ -25,16 +25,16 @@ def test_json_corpus_and_windows(spark, tmp_path, rows_of):
 def test_printed_counts(spark, tmp_path, rows_of):
     lines = ["('24', 123)", "('05', 4)", ""]
     (tmp_path / "a").write_text("\n".join(lines))
-    assert rows_of(readers.read_counts(spark, str(tmp_path / "a"))) == [("05", 4), ("24", 123)]
+    assert rows_of(readers.read_counts(spark, str(tmp_path / "a"), format="text")) == [("05", 4), ("24", 123)]
     (tmp_path / "b").write_text("(('12', '7'), 45)\n")
-    assert rows_of(readers.read_counts(spark, str(tmp_path / "b"), 2)) == [("12", "7", 45)]
+    assert rows_of(readers.read_counts(spark, str(tmp_path / "b"), 2, format="text")) == [("12", "7", 45)]
     (tmp_path / "c").write_text("(('5', 'minute'), 9)\n(('5', '*'), 2)\n(('6', '+'), 3)\n(('6', '-'), 1)\n")
-    counts = readers.read_counts(spark, str(tmp_path / "c"), 1, keyword=True)
+    counts = readers.read_counts(spark, str(tmp_path / "c"), 1, keyword=True, format="text")
     assert rows_of(counts) == [("5", "*", 2), ("5", "minute", 9), ("6", "+", 3), ("6", "-", 1)]
-    top = readers.read_frequency(spark, str(tmp_path / "c"), 2, 1, keyword=True)
+    top = readers.read_frequency(spark, str(tmp_path / "c"), 2, 1, keyword=True, format="text")
     assert [r.frequency for r in top.collect()] == [9, 3]
     writers.write_count_lines(counts, str(tmp_path / "again"))
-    assert rows_of(readers.read_counts(spark, str(tmp_path / "again"), 1, keyword=True)) == rows_of(counts)
+    assert rows_of(readers.read_counts(spark, str(tmp_path / "again"), 1, keyword=True, format="text")) == rows_of(counts)
     out = tmp_path / "by_keyword"
     writers.write_counts_by_keyword(counts, str(out))
     names = {p.name for p in out.iterdir() if p.is_dir()}
@@ -125,3 +125,33 @@ def test_shared_dir(spark):
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         assert session.shared_dir(spark).startswith(configured)
+
+
+@pytest.mark.parametrize("line", ["('24', x)", "('24', 1", "nonsense", "(('1', '2'), 3)", "('1', 3) trailing"])
+def test_a_count_that_cannot_be_read_is_an_error(spark, tmp_path, line):
+    (tmp_path / "a").write_text(f"('1', 2)\n{line}\n")
+    with pytest.raises(Exception, match="not a count"):
+        readers.read_counts(spark, str(tmp_path / "a"), format="text").collect()
+
+
+def test_quotes_of_counts(spark, tmp_path, rows_of):
+    (tmp_path / "a").write_text("(\"24\", 1)\n  \n('it', 2)\n")
+    assert rows_of(readers.read_counts(spark, str(tmp_path / "a"), format="text")) == [("24", 1), ("it", 2)]
+
+
+def test_broken_json_is_an_error(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"text": "1 plus 2", "meta": "m"}\n{"text": "3 plus\n')
+    for read in (readers.read_corpus, readers.read_windows):
+        with pytest.raises(Exception, match="(?i)malformed|parse"):
+            read(spark, str(tmp_path / "a.jsonl")).collect()
+    with pytest.raises(ValueError, match="format"):
+        readers.read_corpus(spark, str(tmp_path / "a.jsonl"), format="csv")
+
+
+def test_numbers_of_results_that_cannot_be_read(spark, tmp_path):
+    head = "generated_answer,is_correct,testcase.data_point.frequency_data.x"
+    for line, told in (("7,True,five", "no number"), ("7,perhaps,5", "no truth value")):
+        path = tmp_path / f"{told}.csv"
+        path.write_text(f"{head}\n{line}\n")
+        with pytest.raises(Exception, match=told):
+            readers.read_results(spark, str(path), multi_line=False).collect()
