@@ -106,7 +106,7 @@ class Index:
         shared[hits + 1] = 1
         shared = np.cumsum(shared)
         for m, places in wanted.items():
-            at = np.array(sorted(places))
+            at = np.array(sorted(places), np.int64)
             # Of m shingles on either side, s * 2m / (1 + s) are common at least where similarity is s.
             enough = (1 + SIMILARITY) * (shared[at + m] - shared[at]) >= SIMILARITY * 2 * m - 1e-9
             at = at[enough]

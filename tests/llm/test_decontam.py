@@ -54,7 +54,7 @@ def test_all_windows(docs_of, items_of):
     pick = random.Random(1)
     items = [(i, " ".join(f"w{pick.randrange(300)}" for _ in range(n))) for i, n in enumerate([1, 3, 5, 6, 9, 15, 40, 60, 60, 90])]
     items += [(20, "rep a b c d " * 6), (21, items[6][1])]
-    docs = planted(pick, items, 150) + [(900, "rep a b c d " * 8), (901, ""), (902, items[7][1].upper())]
+    docs = planted(pick, items, 150) + [(900, "rep a b c d " * 8), (901, ""), (902, items[7][1].upper()), (903, " ".join(items[8][1].split()[:20]))]
     got = decontam.find(docs_of([t for _, t in docs], [d for d, _ in docs]), items_of([(*x, "x") for x in items]))
     want = brute(docs, items)
     rows = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in got.collect()}
