@@ -93,7 +93,9 @@ def write_archives(
         F.octet_length(body).cast("bigint").alias("payload_bytes"),
         F.sha1(body.cast("binary")).alias("payload_digest"),
     )
-    joined = rows.join(again, ["page_id", "payload_digest"], "left")
+    again = again.withColumnsRenamed({"page_id": "_page", "payload_digest": "_digest"})
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest"))
+    joined = rows.join(again, same, "left")
     records = joined.select(_record(F.col("body")).alias("value"))
     writer = records.write.option("lineSep", END).option("compression", "gzip")
     writer.option("maxRecordsPerFile", records_per_file).text(path)
