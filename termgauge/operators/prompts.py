@@ -41,7 +41,8 @@ def _split(points: DataFrame, quota: Column, at_most: int) -> tuple[DataFrame, D
     # before the shuffle, so no task sorts a whole group.
     first = ordered.withColumn("place", rank).where(F.col("place") <= at_most)
     train = first.where(F.col("place") <= quota).drop("place")
-    test = ordered.join(F.broadcast(train.select(*ROW_ID)), list(ROW_ID), "left_anti")
+    # Shots grow with seeds and factories: whether they are broadcast is left to their measured size.
+    test = ordered.join(train.select(*ROW_ID), list(ROW_ID), "left_anti")
     return train, test.select(*train.columns)
 
 
@@ -72,7 +73,7 @@ def leakage_filter(test: DataFrame, train: DataFrame, faithful: bool = True) ->
     """
     shots = train.select("seed", _number_set(faithful).alias("numbers")).distinct()
     rows = test.withColumn("numbers", _number_set(faithful))
-    return rows.join(F.broadcast(shots), ["seed", "numbers"], "left_anti").select(*test.columns)
+    return rows.join(shots, ["seed", "numbers"], "left_anti").select(*test.columns)
 
 
 def render_prompt(
@@ -96,6 +97,7 @@ def render_prompt(
         "question",
         F.lit(f"\n{answer_prefix}"),
     )
+    # One row for each seed, without which all prompts of a seed would meet in one task.
     return test.join(F.broadcast(shots), "seed", "left").withColumn("body", body).drop("shots")
 
 
