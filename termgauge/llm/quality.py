@@ -22,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termgauge.llm import textbuf
+from termgauge.llm.sample import labelled_texts
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -206,13 +207,11 @@ def fit(lines: list[np.ndarray], labels: list[int], rounds: int = 40, rate: floa
     return field
 
 
-def fit_field(labelled: DataFrame, text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> Field:
+def fit_field(
+    documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text"
+) -> Field:
     """A field fitted on at most ``per_class`` texts of either label."""
-    rows = labelled.where(F.col(f"`{label}`").isin(0, 1) & F.col(f"`{text}`").isNotNull())
-    rows = rows.select(F.col(f"`{label}`").cast("int").alias("label"), F.col(f"`{text}`").alias("text"))
-    rows = rows.withColumn("rank", F.xxhash64("text"))
-    first = Window.partitionBy("label").orderBy("rank", "text")
-    chosen = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_class).select("label", "n", "text")
+    chosen = labelled_texts(documents, labels, label, {0: per_class, 1: per_class}, key, text)
 
     def features(batches):
         for batch in batches:
@@ -225,6 +224,7 @@ def fit_field(labelled: DataFrame, text: str = "text", label: str = "quality", p
             columns = [pa.array(labels, pa.int32()), pa.array(ns, pa.int32()), pa.array(flat, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["label", "n", "x"])
 
+    chosen = chosen.select("label", "n", "text")
     sample = sorted(chosen.mapInArrow(features, "label int, n int, x array<double>").collect(), key=lambda r: (r.label, r.n))
     lines = [np.array(r.x).reshape(-1, len(FEATURES)) for r in sample]
     return fit(lines, [r.label for r in sample])

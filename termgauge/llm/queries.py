@@ -111,22 +111,17 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-def labelled(documents: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-    """text and label of the documents that have one."""
-    return documents.select("doc_id", "text").join(labels.select("doc_id", name), "doc_id").select("text", name)
-
-
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    field = quality.fit_field(labelled(documents, table(spark, sf_dir, "labels"), "quality"))
+    field = quality.fit_field(documents, table(spark, sf_dir, "labels"))
     return quality.judge(documents, field)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    known = labelled(documents.where(remainder("doc_id", 4) != 2), table(spark, sf_dir, "labels"), "toxic")
+    known = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
     rows = documents.select("doc_id", "text", (remainder("doc_id", 4) == 2).alias("held_out"))
-    return toxicity.score(rows, toxicity.fit(known), ["doc_id", "held_out"])
+    return toxicity.score(rows, toxicity.fit(documents, known), ["doc_id", "held_out"])
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

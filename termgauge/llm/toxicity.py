@@ -28,10 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termgauge.llm import textbuf
+from termgauge.llm.sample import labelled_texts
 
 P, DECAY = 4, 0.6
 PER_CLASS = 600
@@ -282,13 +283,12 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     return model
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Model:
+def fit(
+    documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text"
+) -> Model:
     """A model of at most ``per_class`` toxic and twice as many clean labelled texts."""
-    rows = labelled.where(F.col(f"`{label}`").isin(0, 1) & F.col(f"`{text}`").isNotNull())
-    rows = rows.select(F.col(f"`{label}`").cast("int").alias("label"), F.left(F.col(f"`{text}`"), F.lit(FIT_CHARS)).alias("text"))
-    rows = rows.withColumn("rank", F.xxhash64("text"))
-    first = Window.partitionBy("label").orderBy("rank", "text")
-    chosen = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_class * (2 - F.col("label")))
+    chosen = labelled_texts(documents, labels, label, {0: 2 * per_class, 1: per_class}, key, text)
+    chosen = chosen.withColumn("text", F.left("text", F.lit(FIT_CHARS)))
     sample = sorted((r.label, r.n, r.text) for r in chosen.select("label", "n", "text").collect())
     return train([t for _, _, t in sample], [c for c, _, _ in sample])
 

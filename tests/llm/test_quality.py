@@ -86,8 +86,9 @@ def test_fit_and_judge(spark, docs_of):
     words = [f"word{i}" for i in range(900)]
     good = ["\n".join(" ".join(pick.sample(words, 12)) for _ in range(4)) for _ in range(60)]
     bad = ["\n".join(" ".join(w + "###" for w in pick.sample(words, 12)) for _ in range(4)) for _ in range(60)]
-    rows = [(t, 1) for t in good[:40]] + [(t, 0) for t in bad[:40]] + [(None, 1), ("x", None)]
-    field = quality.fit_field(spark.createDataFrame(rows, "text string, quality int"))
+    known = good[:40] + bad[:40] + [None, "x", "y"]
+    labels = [(i, int(i < 40)) for i in range(80)] + [(80, 1), (81, None), (None, 1), (5, 1), (999, 0)]
+    field = quality.fit_field(docs_of(known), spark.createDataFrame(labels, "doc_id long, quality int"))
     mixed = "\n".join(good[50].split("\n") + bad[50].split("\n")[:1])
     texts = good[40:] + bad[40:] + [mixed, None, "", "too few words", "a b c d e f g h " * 30]
     out = {r.doc_id: r for r in quality.judge(docs_of(texts), field).collect()}
@@ -97,7 +98,7 @@ def test_fit_and_judge(spark, docs_of):
 
 
 def test_without_labels_and_rows(spark, docs_of):
-    field = quality.fit_field(spark.createDataFrame([], "text string, quality int"))
+    field = quality.fit_field(docs_of(["x"]), spark.createDataFrame([], "doc_id long, quality int"))
     text = " ".join(f"w{i}" for i in range(30))
     out = quality.judge(docs_of([text, text], [None, None]), field)
     assert [(r.doc_id, r.kept) for r in out.collect()] == [(None, True)] * 2

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from termgauge.llm import toxicity as tx
+from termgauge.llm.sample import labelled_texts
 
 INSULTS = ["blorgo", "snivvel"]
 STEMS = ["krat", "vumpi"]
@@ -84,5 +85,16 @@ def test_score_rows(model, docs_of):
 
 
 def test_without_labels(spark, docs_of):
-    model = tx.fit(spark.createDataFrame([("x", 0), (None, 1), ("y", None)], "text string, toxic int"))
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, None)], "doc_id long, toxic int")
+    model = tx.fit(docs_of(["x", None, "y"]), labels)
     assert [r.score for r in tx.score(docs_of(["blorgo"]), model, ["doc_id"]).collect()] == [0.0]
+
+
+def test_sample_is_bounded(spark, docs_of):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1)], "doc_id long, toxic int")
+    texts = [f"t{i}" for i in range(60)] + ["again"] * 5
+    rows = labelled_texts(docs_of(texts, [*range(60), *[3] * 5]), labels, "toxic", {0: 7, 1: 20}).collect()
+    assert sorted(r.label for r in rows) == [0] * 7 + [1] * 20
+    assert sorted((r.label, r.n) for r in rows) == [(0, i) for i in range(1, 8)] + [(1, i) for i in range(1, 21)]
+    whole = labelled_texts(docs_of(texts, [*range(60), *[3] * 5]), labels, "toxic", {0: 100, 1: 100}).collect()
+    assert sorted(r.text for r in whole) == sorted(["again" if i == 3 else f"t{i}" for i in range(60)])
