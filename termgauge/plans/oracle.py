@@ -587,6 +587,26 @@ for _by in ("shots", "models", "both"):
       FROM curve WHERE key_type = 'x'"""
 
 
+# From corpus to report: experiments with two and eight shots, three models, two tasks.
+_cases = []
+for _word in ("mult", "plus"):
+    for _shots in (2, 8):
+        experiment(f"{_word}_{_shots}", f"{_word}_points", str(_shots))
+        _cases.append(f"SELECT seed, CAST({_shots} AS INT) AS shots, '{_word}' AS word, frequency, x, y, z FROM {_word}_{_shots}_cases")
+CTES["exp_answers"] = f"""
+SELECT seed, shots, model, word, x, y, z, CAST((x * 7 + y * 13 + seed * 5 + shots * 3 + length(model) * 11) % 100
+  < 30 + shots * 2 + length(CAST(frequency AS VARCHAR)) * 5 AS INT) AS is_correct
+FROM (SELECT seed, shots, word, frequency, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(z AS BIGINT) AS z,
+        unnest(['gptjsmall', 'gptjlarge', 'gptj']) AS model FROM ({' UNION ALL '.join(_cases)}))"""
+CTES["exp_keys"] = " UNION ALL ".join(key_accuracy(kt, "exp_answers") for kt in ("x", "xy", "xz"))
+for _name in ("edges", "bins", "gaps", "overall"):
+    CTES[f"exp_{_name}"] = re.sub(r"\b(FROM|JOIN) (keys|edges|bins|gaps|overall)\b", r"\1 exp_\2", CTES[_name])
+QUERIES["experiment_report"] = re.sub(
+    r"\b(FROM|JOIN) (gaps|overall)\b",
+    r"\1 exp_\2",
+    gap_report(dims.ARITHMETIC_TASKS, ("x", "xy", "xz"), ("q_first", "q_last", "gap"), ratios=("x", "xy")),
+)
+
 # Fits: Newton steps over the answers summed per frequency; twenty of them settle every cell.
 STEPS = 20
 CTES["suff"] = f"""

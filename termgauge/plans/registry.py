@@ -656,3 +656,35 @@ for _by in ("shots", "models", "both"):
     @query(f"interpolation_series_by_{_by}")
     def _(t, by=_by):
         return rounded(reports.interpolation_series_by(t.keys, by))
+
+
+# ---------------------------------------------------------------- from corpus to report
+
+EXPERIMENTS = {"mult": "Num1Mult", "plus": "Num1Plus"}
+
+
+def experiment_answers(t: Tables) -> DataFrame:
+    """Graded answers of whole experiments: top terms, questions, seeds, shots, leakage filter,
+    prompts, completions by rule for three models, grades."""
+    parts = []
+    for word, factory in EXPERIMENTS.items():
+        points = questions.datapoints(questions.operand_expand(terms(t), factory))
+        for shots in (2, 8):
+            cases = prompts.testcases(points, shots=shots)
+            parts.append(cases.select("*", F.lit(shots).alias("shots"), F.lit(word).alias("experiment")))
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    rows = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in derived.MODELS])))
+    x, y, z = (F.col(c).cast("bigint") for c in ("x", "y", "z"))
+    lot = (x * 7 + y * 13 + F.col("seed") * 5 + F.col("shots") * 3 + F.length("model") * 11) % 100
+    known = lot < 30 + F.col("shots") * 2 + F.length(F.col("frequency").cast("string")) * 5
+    given = F.concat(F.lit(" "), F.when(known, z).otherwise(z + 1).cast("string"), F.lit(" Q: next"))
+    graded = grading.grade_completions(rows.withColumn("full_text", F.concat("body", given)))
+    return graded.select("seed", "shots", "model", F.col("experiment").alias("word"), x.alias("x"), y.alias("y"), z.alias("z"), "is_correct")
+
+
+@query("experiment_report")
+def _(t):
+    answers = materialise(experiment_answers(t), "experiment-answers")
+    keys = [lookup.key_accuracy(answers, t.frequencies.all, k) for k in ("x", "xy", "xz")]
+    keys = materialise(functools.reduce(DataFrame.unionByName, keys), "experiment-keys")
+    return rounded(reports.gap_report_full(keys, dims.ARITHMETIC_TASKS))
