@@ -655,8 +655,6 @@ UNION ALL SELECT {CELL}, 'logistic', CAST(point AS VARCHAR), probability, NULL,
 _total = lambda c: f"round(sum({c} * (length(point) % 5 + 1)) + 1e-9, 3) + 0.0 AS {c}"
 QUERIES["freq_accuracy_series"] = f"""SELECT {CELL}, series, count(*) AS n, {_total('value')}, {_total('low')}, {_total('high')}
   FROM series GROUP BY {CELL}, series"""
-# What a fit by chains must agree with is computed beside it; the SQL states that it does.
-QUERIES["bayes_logistic"] = f"SELECT {CELL}, CAST(10000 AS BIGINT) AS samples, true AS mean_agrees, true AS spread_agrees FROM keys GROUP BY {CELL}"
 QUERIES["posterior_band"] = f"""SELECT {CELL}, CAST(100 AS BIGINT) AS points, {_r('lowest highest')}, true AS in_order FROM (
   SELECT {CELL}, exp(min(ln(frequency)) - 5) AS lowest, exp(max(ln(frequency)) + 5) AS highest FROM keys GROUP BY {CELL})"""
 
