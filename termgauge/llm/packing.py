@@ -25,49 +25,88 @@ from termgauge.session import new_path
 
 LENGTH = 1024
 END_ID = 0
-CACHED = 1 << 20
+CACHED = 600_000
 
 _encoders: dict[str, Encoder] = {}
 
 
+# The byte-level pre-tokeniser's pattern, and the letters that it writes for bytes (fixed values).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_letters() -> dict[int, int]:
+    """Printing bytes stand for themselves; the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+
+
 class Encoder:
-    """Ids of texts as little-endian 16-bit or 32-bit bytes, with the ids of parts kept.
+    """Ids of texts as little-endian 16-bit or 32-bit bytes.
 
-    The pre-tokeniser never joins what stands before a blank that a printing character follows
-    with what stands after it, so the parts between such blanks have ids of their own. Parts that
-    were met before are looked up; at most ``CACHED`` of them are kept.
+    A byte-level pre-tokeniser never joins what stands before a blank that a printing character
+    follows with what stands after it, so the parts between such blanks have ids of their own, and
+    so have the words that the pattern finds in a part. Parts and words that were met before are
+    looked up, at most ``CACHED`` of either; the model of the tokenizer is asked for the others.
+    Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
+        import json
         import re
 
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        before = told.get("pre_tokenizer") or {}
+        self.by_parts = (
+            before.get("type") == "ByteLevel"
+            and before.get("use_regex", True)
+            and not before.get("add_prefix_space")
+            and told.get("normalizer") is None
+            and told["model"].get("type") == "BPE"
+        )
         self.split = re.compile(r" (?=\S)").split
         self.odd = re.compile(r" (?:\s|$)").search
+        self.find = regex.compile(PATTERN).findall
+        self.letters = byte_letters()
         self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        written = word.encode().decode("latin-1").translate(self.letters)
+        ids = np.array([t.id for t in self.tokenizer.model.tokenize(written)], self.kind).tobytes()
+        if len(self.words) >= CACHED:
+            self.words.clear()
+        self.words[word] = ids
+        return ids
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        rows = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(row.ids, self.kind).tobytes() for row in rows]
+    def _part(self, part: str) -> bytes:
+        words = self.words
+        return b"".join([words.get(w) or self._word(w) for w in self.find(part)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without an end id."""
-        parts = []
+        if not self.by_parts:
+            rows = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+            return [np.array(row.ids, self.kind).tobytes() for row in rows]
+        out = []
         for text in texts:
             found = self.split(text) if self.odd(text) else text.split(" ")
-            parts.append(found)
-        fresh = {p for found in parts for p in found[1:]}.difference(self.kept)
-        if len(self.kept) + len(fresh) > CACHED:
-            self.kept.clear()
-            fresh = {p for found in parts for p in found[1:]}
-        fresh = list(fresh)
-        self.kept.update(zip(fresh, self.ids([" " + p for p in fresh])))
-        heads = self.ids([found[0] for found in parts])
-        return [head + b"".join(map(self.kept.__getitem__, found[1:])) for head, found in zip(heads, parts)]
+            kept = self.kept
+            for part in set(found[1:]).difference(kept):
+                if len(kept) >= CACHED:
+                    kept.clear()
+                    kept.update((p, self._part(" " + p)) for p in set(found[1:]))
+                    break
+                kept[part] = self._part(" " + part)
+            out.append(self._part(found[0]) + b"".join(map(kept.__getitem__, found[1:])))
+        return out
 
 
 def encoder(path: str) -> Encoder:
