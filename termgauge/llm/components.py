@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termgauge.session import materialise
+from termgauge.session import discard, written
 
 ROUNDS = 100
 
@@ -24,7 +24,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     folder; what goes over the driver is a count and a checksum.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e = materialise(e, label)
+    e, path = written(e, label)
     seen = _key(e)
     for _ in range(ROUNDS):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -38,8 +38,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         small = large.join(first, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(first.select("a", F.col("m").alias("b"))).where("a <> b")
         small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        e = materialise(small, label)
+        e, fresh = written(small, label)
         now = _key(e)
+        discard(edges.sparkSession, path)
+        path = fresh
         if now == seen:
             break
         seen = now

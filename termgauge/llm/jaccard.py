@@ -12,7 +12,8 @@
    small, or everything below is connected already. Of each bucket only a star of each connected
    group goes on, never all pairs.
 4. The connected groups of all stars contain every linked group. Within each, the same traversal
-   compares the whole sets and gives stars of true links, whose components are the result.
+   runs over exact bitmaps, with a bit for every shingle that two or more of the group's sets hold,
+   and gives stars of true links, whose components are the result.
 
 Buckets and groups of more than ``BLOCK`` classes are cut into blocks by size and hash, and a task
 holds two blocks at most, so no task grows with a group. Nothing but a table of at most ``SLOTS``
@@ -28,12 +29,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termgauge.llm import textbuf
 from termgauge.llm.components import components
 from termgauge.llm.grouping import block_pairs, groups
+from termgauge.llm.squeeze import expanded, squeezed
 from termgauge.operators.skew import left_lookup
 from termgauge.session import materialise
 
@@ -71,23 +74,26 @@ def signature(hashes: np.ndarray) -> bytes:
 
 # ------------------------------------------------------------------ sets and prefixes
 
+SIZED = "doc_id bigint, text_hash bigint, n bigint, fp bigint, sig binary, slot bigint, sets bigint"
+SIZED_NAMES = [x.split()[0] for x in SIZED.split(", ")]
+
 
 def _sizes(k: int):
     def run(batches):
         slots = np.zeros(SLOTS, np.int64)
         for batch in batches:
             n, fp = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            sig: list[bytes | None] = [None] * batch.num_rows
             for row, own in shingle_sets(batch.column(1), k):
-                n[row], fp[row] = len(own), fingerprint(own)
+                n[row], fp[row], sig[row] = len(own), fingerprint(own), signature(own)
                 slots += np.bincount((own >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(fp), none, none], ["doc_id", "n", "fp", "slot", "sets"]
-            )
+            columns = [batch.column(0), batch.column(2), pa.array(n), pa.array(fp), pa.array(sig, pa.binary()), none, none]
+            yield pa.RecordBatch.from_arrays(columns, SIZED_NAMES)
         at = np.flatnonzero(slots)
         none = pa.nulls(len(at), pa.int64())
-        columns = [none, none, none, pa.array(at), pa.array(slots[at])]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "fp", "slot", "sets"])
+        columns = [none, none, none, none, pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(slots[at])]
+        yield pa.RecordBatch.from_arrays(columns, SIZED_NAMES)
 
     return run
 
@@ -108,13 +114,20 @@ def _prefixes(k: int, percent: int, hot: np.ndarray):
                 tokens.append(own.view(np.int64))
                 fps.append(np.full(len(own), fp))
                 sizes.append(np.full(len(own), n))
+                if len(tokens) == 1000:
+                    yield _prefix_rows(tokens, fps, sizes)
+                    tokens, fps, sizes = [], [], []
             if tokens:
-                columns = [pa.array(np.concatenate(x)) for x in (tokens, fps, sizes)]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "id", "n"])
+                yield _prefix_rows(tokens, fps, sizes)
 
     return run
 
 
+def _prefix_rows(tokens, fps, sizes):
+    columns = [pa.array(np.concatenate(x)) for x in (tokens, fps, sizes)]
+    return pa.RecordBatch.from_arrays(columns, ["token", "id", "n"])
+
+
 def _buckets(percent: int):
     """From rows sorted by token, size and id: bucket, id, n of the runs of compatible sizes."""
 
@@ -148,14 +161,24 @@ def _buckets(percent: int):
     return run
 
 
-def _sets(k: int):
+MEMBER = "key bigint, pair bigint, side int, id bigint, n bigint, hashes binary"
+
+
+def _members(k: int):
+    """From rows of a group with their squeezed text: the whole set, if the text is of the row's class."""
+    names = [x.split()[0] for x in MEMBER.split(", ")]
+
     def run(batches):
-        for batch in batches:
-            found = [(fingerprint(own), len(own), own.tobytes(), signature(own)) for _, own in shingle_sets(batch.column(0), k)]
-            for lo in range(0, len(found), 1000):
-                columns = list(zip(*found[lo : lo + 1000]))
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["id", "n", "hashes", "sig"])
+        expand = zstandard.ZstdDecompressor().decompress
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                texts = pa.array([expand(x) for x in batch.column(5).to_pylist()], pa.binary())
+                ids = batch.column(3).to_numpy()
+                found = [(row, own.tobytes()) for row, own in shingle_sets(texts, k) if fingerprint(own) == ids[row]]
+                rows = pa.array([row for row, _ in found], pa.int64())
+                columns = [batch.column(i).take(rows) for i in range(5)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x for _, x in found], pa.binary())], names)
 
     return run
 
@@ -205,20 +228,23 @@ class Node:
 
 
 class Tree:
-    """Members sorted by size, ``LEAF`` to a leaf, ``FANOUT`` nodes to a node."""
+    """Members sorted by size, ``LEAF`` to a leaf, ``FANOUT`` nodes to a node.
+
+    ``rows`` holds the members' bitmaps. If they are ``exact``, a bit stands for one shingle and
+    shingles without a bit are in one member only; else several shingles may share a bit.
+    """
 
-    def __init__(self, members: np.ndarray, sizes: np.ndarray, sigs: list[bytes]):
-        self.members, self.sizes = members, sizes
+    def __init__(self, members: np.ndarray, sizes: np.ndarray, rows: list[np.ndarray], exact: bool = False):
+        self.members, self.sizes, self.exact = members, sizes, exact
         self.leaves = []
         nodes = []
         for lo in range(0, len(members), LEAF):
             hi = min(len(members), lo + LEAF)
-            own = [np.frombuffer(s, np.uint64) for s in sigs[lo:hi]]
-            words = min(len(x) for x in own)
-            matrix = np.stack([fold(x, words) for x in own])
+            words = min(len(x) for x in rows[lo:hi])
+            matrix = np.stack([fold(x, words) for x in rows[lo:hi]])
             self.leaves.append(matrix)
             n = sizes[lo:hi]
-            slack = int((n - np.bitwise_count(matrix).sum(1, dtype=np.int64)).max())
+            slack = 0 if exact else int((n - np.bitwise_count(matrix).sum(1, dtype=np.int64)).max())
             nodes.append(Node(lo, hi, np.bitwise_or.reduce(matrix), int(n[0]), int(n[-1]), slack, None))
         while len(nodes) > 1:
             upper = []
@@ -232,6 +258,22 @@ class Tree:
         self.top = nodes[0]
 
 
+def shared_bitmaps(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Bitmaps of the hashes that two or more sets hold: their overlaps are exact."""
+    hashes, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(counts > 1) - 1
+    words = max(1, -(-int((counts > 1).sum()) // 64))
+    out, lo = [], 0
+    for own in sets:
+        mine = at[lo : lo + len(own)]
+        lo += len(own)
+        bits = place[mine[counts[mine] > 1]]
+        row = np.zeros(words * 64, np.uint8)
+        row[bits] = 1
+        out.append(np.packbits(row, bitorder="little").view(np.uint64))
+    return out
+
+
 def _possible(p: Node, q: Node, percent: int) -> bool:
     low, high = (p, q) if p.small <= q.small else (q, p)
     if 100 * low.large < percent * high.small:
@@ -244,8 +286,8 @@ def _possible(p: Node, q: Node, percent: int) -> bool:
     return (100 + percent) * overlap >= percent * (p.small + q.small)
 
 
-def traverse(a: Tree, b: Tree, forest: Forest, percent: int, verify=None) -> None:
-    """Connect members of two trees (or of one with itself) that can be, or are, linked."""
+def traverse(a: Tree, b: Tree, forest: Forest, percent: int) -> None:
+    """Connect members of two trees (or of one with itself) that can be linked; with exact bitmaps, that are."""
     stack = [(a.top, b.top)]
     while stack:
         p, q = stack.pop()
@@ -253,10 +295,10 @@ def traverse(a: Tree, b: Tree, forest: Forest, percent: int, verify=None) -> Non
             if not _possible(p, q, percent):
                 continue
         mine, other = a.members[p.lo : p.hi], b.members[q.lo : q.hi]
-        roots = np.array([forest.root(i) for i in (mine[0], mine[-1], other[0], other[-1])])
-        if (roots == roots[0]).all():
-            settled = forest.settle()
-            if (settled[mine] == roots[0]).all() and (settled[other] == roots[0]).all():
+        roots = {forest.root(i) for i in (mine[0], mine[-1], other[0], other[-1])}
+        if len(roots) == 1:
+            settled, root = forest.settle(), roots.pop()
+            if (settled[mine] == root).all() and (settled[other] == root).all():
                 continue
         if p.below and (not q.below or p.hi - p.lo >= q.hi - q.lo):
             if p is q and a is b:
@@ -267,25 +309,29 @@ def traverse(a: Tree, b: Tree, forest: Forest, percent: int, verify=None) -> Non
         elif q.below:
             stack += [(p, x) for x in q.below]
         else:
-            _leaves(a, b, p, q, forest, percent, verify)
+            _leaves(a, b, p, q, forest, percent)
 
 
-def _leaves(a: Tree, b: Tree, p: Node, q: Node, forest: Forest, percent: int, verify) -> None:
+def _leaves(a: Tree, b: Tree, p: Node, q: Node, forest: Forest, percent: int) -> None:
     x, y = a.leaves[p.lo // LEAF], b.leaves[q.lo // LEAF]
     words = min(x.shape[1], y.shape[1])
     x, y = fold(x, words), fold(y, words)
     n, m = a.sizes[p.lo : p.hi, None], b.sizes[None, q.lo : q.hi]
-    common = np.bitwise_count(x[:, None, :] & y[None, :, :]).sum(2, dtype=np.int64)
-    extra_x = n[:, 0] - np.bitwise_count(x).sum(1, dtype=np.int64)
-    extra_y = m[0] - np.bitwise_count(y).sum(1, dtype=np.int64)
-    overlap = np.minimum(np.minimum(n, m), common + np.minimum(extra_x[:, None], extra_y[None, :]))
+    overlap = np.zeros((len(x), len(y)), np.int64)
+    for lo in range(0, words, 64):
+        overlap += np.bitwise_count(x[:, None, lo : lo + 64] & y[None, :, lo : lo + 64]).sum(2, dtype=np.int64)
+    if not a.exact:
+        extra_x = n[:, 0] - np.bitwise_count(x).sum(1, dtype=np.int64)
+        extra_y = m[0] - np.bitwise_count(y).sum(1, dtype=np.int64)
+        overlap = np.minimum(np.minimum(n, m), overlap + np.minimum(extra_x[:, None], extra_y[None, :]))
     able = ((100 + percent) * overlap >= percent * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    settled = forest.settle()
+    mine, other = a.members[p.lo : p.hi], b.members[q.lo : q.hi]
+    able &= settled[mine][:, None] != settled[other][None, :]
     if p is q and a is b:
         able &= np.tri(len(n), m.shape[1], -1, dtype=bool).T
     for i, j in zip(*np.nonzero(able)):
-        u, v = int(a.members[p.lo + i]), int(b.members[q.lo + j])
-        if forest.root(u) != forest.root(v) and (verify is None or verify(u, v)):
-            forest.join(u, v)
+        forest.join(int(mine[i]), int(other[j]))
 
 
 def _stars(percent: int, exact: bool):
@@ -297,27 +343,18 @@ def _stars(percent: int, exact: bool):
             side = table.column(2).to_numpy()
             ids, n = table.column(3).to_numpy(), table.column(4).to_numpy()
             order = np.lexsort((ids, n))
-            sigs = table.column(5).take(pa.array(order)).to_pylist()
             side, ids, n = side[order], ids[order], n[order]
-            verify = None
+            kept = table.column(5).take(pa.array(order)).to_pylist()
+            rows = [np.frombuffer(x, np.uint64) for x in kept]
             if exact:
-                sets = [np.frombuffer(x, np.uint64) for x in table.column(6).take(pa.array(order)).to_pylist()]
-
-                def verify(u, v, sets=sets):
-                    x, y = sets[u], sets[v]
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    overlap = int((y[at] == x).sum())
-                    return 100 * overlap >= percent * (len(x) + len(y) - overlap)
-
+                rows = shared_bitmaps(rows)
             forest = Forest(len(ids))
             whole = np.arange(len(ids))
-            trees = [
-                Tree(own, n[own], [sigs[i] for i in own]) for own in (whole[side == s] for s in (0, 1, 2)) if len(own)
-            ]
+            trees = [Tree(own, n[own], [rows[i] for i in own], exact) for own in (whole[side == s] for s in (0, 1, 2)) if len(own)]
             if len(trees) == 2:
-                traverse(trees[0], trees[1], forest, percent, verify)
+                traverse(trees[0], trees[1], forest, percent)
             elif side[0] == 2:
-                traverse(trees[0], trees[0], forest, percent, verify)
+                traverse(trees[0], trees[0], forest, percent)
             up = forest.settle()
             at = np.flatnonzero(up != whole)
             if len(at):
@@ -343,37 +380,36 @@ def _edges(left, right):
 def jaccard_groups(
     documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``documents``.
+    """doc_id, text_hash, n_shingles, component_id for every row of ``documents``.
 
-    Two texts are linked if 100 * intersection >= ``percent`` * union of their ``k``-word shingles.
+    ``text_hash`` is xxhash64 of the text. Two texts are linked if 100 * intersection >= ``percent`` * union of their ``k``-word shingles.
     """
     ratio = percent / 100
     rows = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sized = materialise(
-        rows.mapInArrow(_sizes(k), "doc_id bigint, n bigint, fp bigint, slot bigint, sets bigint"), "jaccard-sizes"
-    )
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+    sized = materialise(hashed.mapInArrow(_sizes(k), SIZED), "jaccard-sizes")
     hot = _hot_slots(sized)
-    docs = sized.where("n IS NOT NULL").select("doc_id", "n", "fp")
-    classes = docs.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"))
+    docs = sized.where("n IS NOT NULL").select("doc_id", "text_hash", "n", "fp")
+    classes = sized.where("n > 0").groupBy("fp").agg(
+        F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("sig").alias("sig")
+    )
+    classes = materialise(classes, "jaccard-classes")
 
     prefixes = rows.select("text").mapInArrow(_prefixes(k, percent, hot), "token bigint, id bigint, n bigint")
     met = prefixes.repartition("token").sortWithinPartitions("token", "n", "id")
     buckets = materialise(met.mapInArrow(_buckets(percent), "key bigint, id bigint, n bigint").distinct(), "jaccard-buckets")
 
-    ids = buckets.select(F.col("id").alias("fp")).distinct()
-    wanted = classes.join(ids, "fp", "left_semi").select(F.col("first").alias("wanted"))
-    some = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
-    sets = some.mapInArrow(_sets(k), "id bigint, n bigint, hashes binary, sig binary")
-    sets = materialise(sets.dropDuplicates(["id"]), "jaccard-sets")
-
-    signed = block_pairs(buckets, BLOCK, ratio).join(sets.select("id", "sig"), "id")
+    signed = block_pairs(buckets, BLOCK, ratio).join(classes.select(F.col("fp").alias("id"), "sig"), "id")
     stars = _run_stars(signed.select("key", "pair", "side", "id", "n", "sig"), percent, False)
     able = components(stars, "jaccard-able")
 
-    grouped = able.select(F.col("root").alias("key"), "id").join(sets.select("id", "n"), "id")
+    grouped = able.select(F.col("root").alias("key"), "id").join(classes.select(F.col("fp").alias("id"), "n"), "id")
     paired = block_pairs(grouped.select("key", "n", "id"), BLOCK, ratio)
-    whole = paired.join(sets.select("id", "sig", "hashes"), "id")
-    links = _run_stars(whole.select("key", "pair", "side", "id", "n", "sig", "hashes"), percent, True)
+    wanted = paired.join(classes.select(F.col("fp").alias("id"), "first"), "id")
+    texts = squeezed(rows.where("text IS NOT NULL").select("doc_id", "text"))
+    whole = wanted.join(texts, wanted["first"].eqNullSafe(texts["doc_id"]))
+    whole = whole.select("key", "pair", "side", "id", "n", "text").mapInArrow(_members(k), MEMBER)
+    links = _run_stars(whole, percent, True)
     linked = components(links, "jaccard-links")
 
     named = linked.join(classes, linked["id"] == classes["fp"])
@@ -382,7 +418,26 @@ def jaccard_groups(
     answer = classes.join(answer, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     found = left_lookup(docs, materialise(answer, "jaccard-answer"), ["fp"])
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return found.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each_group(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """The rows of ``documents`` without all but the first of each group, by key and hash of the text.
+
+    Rows that are equal in key and text count once. Texts without words are linked with nothing.
+    """
+    groups_of = jaccard_groups(documents, key, text, k, percent)
+    group = F.struct("component_id", F.when(F.col("component_id").isNull() | (F.col("n_shingles") == 0), F.col("text_hash")))
+    firsts = groups_of.groupBy(group.alias("group")).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    firsts = firsts.select(F.col("first.doc_id").alias("_key"), F.col("first.text_hash").alias("_hash")).distinct()
+    own = documents.withColumns({"_own": F.col(f"`{key}`").cast("bigint"), "_text": F.xxhash64(F.col(f"`{text}`"))})
+    own = squeezed(own, text)
+    kept = own.join(firsts, own["_own"].eqNullSafe(firsts["_key"]) & (own["_text"] == firsts["_hash"]), "left_semi")
+    once = Window.partitionBy("_own", "_text").orderBy(F.lit(0))
+    kept = kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_own", "_text", "_n")
+    return expanded(kept, text)
 
 
 def _run_stars(rows: DataFrame, percent: int, exact: bool) -> DataFrame:

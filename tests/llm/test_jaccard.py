@@ -113,16 +113,25 @@ def test_bounds_never_lose_a_link():
         sigs.append(jaccard.signature(own))
     n = np.array([len(s) for s in sets])
     order = np.argsort(n)
-    tree = jaccard.Tree(np.arange(80), n[order], [sigs[i] for i in order])
+    tree = jaccard.Tree(np.arange(80), n[order], [np.frombuffer(sigs[i], np.uint64) for i in order])
     forest = jaccard.Forest(80)
     jaccard.traverse(tree, tree, forest, 85)
     up = forest.settle()
+    exact = jaccard.Forest(80)
+    rows = jaccard.shared_bitmaps([sets[i] for i in order])
+    same = jaccard.Tree(np.arange(80), n[order], rows, True)
+    jaccard.traverse(same, same, exact, 85)
+    linked = list(range(80))
+    root = lambda i: i if linked[i] == i else root(linked[i])
     for i in range(80):
         for j in range(i):
             a, b = sets[order[i]], sets[order[j]]
             both = len(np.intersect1d(a, b))
             if 100 * both >= 85 * (len(a) + len(b) - both):
                 assert up[i] == up[j]
+                x, y = root(i), root(j)
+                linked[max(x, y)] = min(x, y)
+    assert exact.settle().tolist() == [root(i) for i in range(80)]
 
 
 def test_components(spark):
