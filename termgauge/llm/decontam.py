@@ -1,10 +1,11 @@
 """Benchmark items found in documents: SimHash of item-sized windows, then exact similarity.
 
 The shingles of an item (``WORDS`` words, letters A-Z lower-cased) are counted; the counts are their
-weights. A window is as many shingles of a document as an item has. A window without any shingle of
-an item of its size has similarity 0 to all of them, and one with too few shingles of any item is
-below the limit, so only windows around shared shingles are looked at; none is lost by that. Their fingerprints come from running sums of the
-shingles' bits. ``BLOCKS`` blocks of a fingerprint are looked up: two fingerprints that differ in
+weights. A window is as many shingles of a document as an item has; a document that has fewer is one
+window as a whole, if it has ``SIMILARITY`` times as many at least (with fewer it cannot be similar).
+A window without any shingle of an item has similarity 0 to it, and one with too few shingles of any
+item is below the limit, so only windows around shared shingles are looked at; none is lost by that.
+Their fingerprints come from running sums of the shingles' bits. ``BLOCKS`` blocks of a fingerprint are looked up: two fingerprints that differ in
 at most ``RADIUS`` bits differ in at most ``RADIUS // BLOCKS`` bits of some block, and all values
 that near are tried, so no pair within the radius is missed. For what is found the weighted Jaccard
 similarity (sum of smaller counts by sum of larger counts) decides exactly.
@@ -15,8 +16,8 @@ shuffled to be compared, so hot documents and passages cost no more than others.
 
 An item of fewer than ``WORDS`` words is one shingle of all its words. Defined results: NULL, empty
 and blank documents and items match nothing; repeated rows each have their matches; equal items
-all match; of the windows that are most similar to an item the first is given; an empty table gives
-no rows; other columns are ignored, whatever their names.
+all match; of the windows that are most similar to an item the first is given, with the number of
+its own words; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -96,38 +97,41 @@ class Index:
         return {a for a in able if int(np.bitwise_count(self.items[a][3] ^ fingerprint).sum()) <= RADIUS}
 
     def matches(self, k: int, hashes: np.ndarray, hits: np.ndarray):
-        """item, first shingle, similarity of the most similar window of each matched item."""
+        """item, first shingle, shingles, similarity of the most similar window of each matched item."""
         best: dict[int, tuple[float, int]] = {}
         wanted: dict[int, set[int]] = defaultdict(set)
         for p in hits.tolist():
             for m in self.owners[k][int(hashes[p])]:
-                wanted[m].update(range(max(0, p - m + 1), min(p, len(hashes) - m) + 1))
+                size = min(m, len(hashes))
+                if size >= SIMILARITY * m - 1e-9:
+                    wanted[m].update(range(max(0, p - size + 1), min(p, len(hashes) - size) + 1))
         shared = np.zeros(len(hashes) + 1, np.int64)
         shared[hits + 1] = 1
         shared = np.cumsum(shared)
         for m, places in wanted.items():
             at = np.array(sorted(places), np.int64)
-            # Of m shingles on either side, s * 2m / (1 + s) are common at least where similarity is s.
-            enough = (1 + SIMILARITY) * (shared[at + m] - shared[at]) >= SIMILARITY * 2 * m - 1e-9
+            size = min(m, len(hashes))
+            # Of m and size shingles, s * (m + size) / (1 + s) are common at least where similarity is s.
+            enough = (1 + SIMILARITY) * (shared[at + size] - shared[at]) >= SIMILARITY * (m + size) - 1e-9
             at = at[enough]
-            for run in np.split(at, np.flatnonzero(np.diff(at) > m) + 1):
+            for run in np.split(at, np.flatnonzero(np.diff(at) > size) + 1):
                 if not len(run):
                     continue
                 lo = int(run[0])
-                total = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(signs(hashes[lo : run[-1] + m]), axis=0)])
-                prints = fingerprints(total[run - lo + m] - total[run - lo])
+                total = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(signs(hashes[lo : run[-1] + size]), axis=0)])
+                prints = fingerprints(total[run - lo + size] - total[run - lo])
                 for p, own in zip(run.tolist(), prints):
                     found = self.near((k, m), own)
                     if not found:
                         continue
-                    window = Counter(hashes[p : p + m].tolist())
+                    window = Counter(hashes[p : p + size].tolist())
                     for a in found:
                         weights = self.items[a][2]
                         both = sum(min(n, weights[h]) for h, n in window.items() if h in weights)
-                        similarity = both / (2 * m - both)
-                        if similarity >= SIMILARITY and similarity > best.get(a, (0.0, 0))[0]:
-                            best[a] = (similarity, p)
-        return [(a, p, s) for a, (s, p) in best.items()]
+                        similarity = both / (m + size - both)
+                        if similarity >= SIMILARITY and similarity > best.get(a, (0.0, 0, 0))[0]:
+                            best[a] = (similarity, p, size)
+        return [(a, p, size, s) for a, (s, p, size) in best.items()]
 
 
     def scan(self, column: pa.Array):
@@ -147,9 +151,8 @@ class Index:
                 for own in np.split(hit, np.flatnonzero(np.diff(owner[hit])) + 1):
                     row = int(owner[own[0]])
                     a, b = np.searchsorted(owner, [row, row + 1])
-                    for item, p, similarity in self.matches(k, hashes[a:b], own - a):
-                        item_id, n, _, _ = self.items[item]
-                        yield lo + row, item_id, int(first[a + p] - heads[row]), n, similarity
+                    for item, p, size, similarity in self.matches(k, hashes[a:b], own - a):
+                        yield lo + row, self.items[item][0], int(first[a + p] - heads[row]), size + k - 1, similarity
 
 
 def find(

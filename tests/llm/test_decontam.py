@@ -100,3 +100,45 @@ def test_long_text(docs_of, items_of):
     item = " ".join(words[100_000:100_050])
     rows = decontam.find(docs_of([" ".join(words)]), items_of([(7, item, "x")])).collect()
     assert [(r.item_id, r.start_word, r.similarity) for r in rows] == [(7, 100_000, 1.0)]
+
+
+def cut_copies(pick, items):
+    """Whole documents that are items with their last words, first words or some words missing."""
+    out = []
+    for _, text in items:
+        words = text.split()
+        for n in range(1, 14):
+            out += [words[:-n], words[n:]]
+        for n in (1, 1, 2):
+            gone = set(pick.sample(range(len(words)), min(n, len(words))))
+            out.append([w for i, w in enumerate(words) if i not in gone])
+    return [(i, " ".join(words)) for i, words in enumerate(out)]
+
+
+def brute_short(docs, items):
+    """Documents with fewer shingles than an item, as a whole."""
+    out = {}
+    for d, text in docs:
+        for i, item in items:
+            k = min(5, len(item.split()))
+            want, own = Counter(shingles(item, k)), Counter(shingles(text, k))
+            both, m, n = sum((own & want).values()), sum(want.values()), sum(own.values())
+            if n < m and both / (m + n - both) >= 0.8:
+                out[d, i] = (both / (m + n - both), 0, len(text.split()))
+    return out
+
+
+def test_documents_shorter_than_an_item(docs_of, items_of):
+    pick = random.Random(5)
+    items = [(i, " ".join(f"w{pick.randrange(300)}" for _ in range(n))) for i, n in enumerate([1, 4, 5, 6, 9, 14, 20, 30, 45, 59, 90])]
+    items += [(20, "rep a b c d " * 9), (21, items[8][1])]
+    docs = cut_copies(pick, items)
+    own = docs_of([t for _, t in docs], [d for d, _ in docs])
+    got = decontam.find(own, items_of([(*x, "x") for x in items])).collect()
+    short, long = brute_short(docs, items), brute(docs, items)
+    assert len(short) > 60 and not short.keys() & long.keys()
+    rows = {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in got}
+    assert rows.keys() == short.keys() | long.keys() and len(rows) == len(got)
+    assert all(rows[k] == (pytest.approx(s), p, n) for k, (s, p, n) in short.items())
+    kept = {r.doc_id for r in decontam.without_matches(own, items_of([(*x, "x") for x in items])).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in rows}
