@@ -8,7 +8,8 @@ matrix turns the values into Nyström features, on which a linear machine is tra
 A sentence is as toxic as its strongest word, a text as its strongest sentence, so a word is the
 unit: words of sentences from clean texts are negative, words of sentences from toxic texts are
 positive if they hold a core, a run of letters that toxic texts have far more often. Positive words
-are also given with letters inserted. Cores and some clean words are the landmarks. Runs of
+are also given with letters inserted. Cores are taken until no run is left that ``LEAST`` texts have
+in words without one, however many that are. Cores and some clean words are the landmarks. Runs of
 single letters are read as one word, and words lose everything that is no letter.
 
 Fitting takes at most ``PER_CLASS`` toxic and twice as many clean labelled texts, those with
@@ -37,7 +38,8 @@ from termgauge.llm.sample import labelled_texts
 P, DECAY = 4, 0.6
 PER_CLASS = 600
 FIT_CHARS = 20_000
-CORES, OTHERS = 32, 6
+LEAST = 5  # texts that a core is found in
+OTHERS = 6
 CORE_LETTERS = range(4, 9)
 CURVE_TEXTS = 300
 PIECE = 24
@@ -158,7 +160,7 @@ def find_cores(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> li
 
     The counters hold the number of texts that have a word.
     """
-    least = max(3, n_toxic // 50)
+    least = LEAST
 
     def counts(words: Counter, sizes, only=None) -> Counter:
         total = Counter()
@@ -179,19 +181,20 @@ def find_cores(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> li
     others = counts(clean, CORE_LETTERS, runs.keys())
     able = {}
     for run, n in runs.items():
-        if n / n_toxic > 25 * (others[run] + 0.5) / n_clean:
+        if n / n_toxic > 25 * others[run] / n_clean:
             able[run] = n
     left, cores = dict(toxic), []
-    for run in sorted(able, key=lambda r: (-able[r] * (len(r) - 2), r)):
-        # The longest run around it that is nearly as frequent.
-        run = max((r for r in able if run in r and able[r] >= 0.9 * able[run]), key=lambda r: (len(r), able[r], r))
+    bare = {run: run.strip("^$") for run in able}
+    for run in sorted(able, key=lambda r: (-able[r] * (len(bare[r]) - 2), len(r), r)):
+        # The longest run around it that is nearly as frequent; marks only where they are needed.
+        ends = len(run) - len(bare[run])
+        around = (r for r in able if run in r and len(r) - len(bare[r]) == ends and able[r] >= 0.9 * able[run])
+        run = max(around, key=lambda r: (len(r), able[r], r))
         covered = [w for w in left if run in w]
         if sum(left[w] for w in covered) >= least:
             cores.append(run)
             for w in covered:
                 del left[w]
-        if len(cores) == CORES:
-            break
     return cores
 
 

@@ -98,3 +98,26 @@ def test_sample_is_bounded(spark, docs_of):
     assert sorted((r.label, r.n) for r in rows) == [(0, i) for i in range(1, 8)] + [(1, i) for i in range(1, 21)]
     whole = labelled_texts(docs_of(texts, [*range(60), *[3] * 5]), labels, "toxic", {0: 100, 1: 100}).collect()
     assert sorted(r.text for r in whole) == sorted(["again" if i == 3 else f"t{i}" for i in range(60)])
+
+
+RARE = {
+    "one": ("an er ti on he st".split(), ["blorgo", "snivvel", "dwimpak"]),
+    "two": ("lu ka mo zi pe ra".split(), [a + b for a in ("grunf", "quibb", "vexol") for b in ("ak", "em", "ip", "oz", "ul", "yr")]),
+    "few": ("dja wo nyi xa tho que".split(), ["hrabbek", "jolfitz"]),
+}
+
+
+def test_recall_of_each_language():
+    pick = random.Random(6)
+
+    def text(kind, toxic):
+        syllables, insults = RARE[kind]
+        words = ["".join(pick.choices(syllables, k=pick.randint(1, 4))) for _ in range(30)]
+        return " ".join(words + pick.sample(insults, 1) if toxic else words)
+
+    known = [("one", i % 2) for i in range(1000)] + [("two", i % 2) for i in range(500)] + [("few", i % 2) for i in range(44)]
+    model = tx.train([text(*x) for x in known], [x[1] for x in known])
+    for kind in RARE:
+        best = tx.Scorer(model).best(pa.array([text(kind, True) for _ in range(60)] + [text(kind, False) for _ in range(60)]))
+        found = model.chance(best) >= tx.THRESHOLD
+        assert found[:60].mean() >= 0.95 and found[60:].mean() <= 0.05, (kind, found[:60].mean(), found[60:].mean())
