@@ -1,16 +1,19 @@
 """Toxicity by a support vector machine on a gapped subsequence kernel with Nyström landmarks.
 
 The kernel of two strings sums, over their common subsequences of ``P`` letters, a decay for every
-letter that either spans, so ``id-iot``, ``idxiot`` and an insult with any ending are close to the
-plain one. Strings are compared with a bounded number of landmarks; the landmarks' own kernel
-matrix turns the values into Nyström features, on which a linear machine is trained.
+letter that either spans, so ``id-iot``, ``idxiot``, ``id*ot`` and an insult with any ending are close
+to the plain one. It is computed for every pair of strings but those without a common subsequence of
+``P`` letters, for which it is 0, and normalised. Start and end of a word are letters of their own.
+Strings are compared with landmarks, whose own kernel matrix turns the values into Nyström features:
+an approximation of the kernel, on which a linear machine finds weights and bias.
 
 A sentence is as toxic as its strongest word, a text as its strongest sentence, so a word is the
 unit: words of sentences from clean texts are negative, words of sentences from toxic texts are
-positive if they hold a core, a run of letters that toxic texts have far more often. Positive words
-are also given with letters inserted. Cores are taken until no run is left that ``LEAST`` texts have
-in words without one, however many that are. Cores and some clean words are the landmarks. Runs of
-single letters are read as one word, and words lose everything that is no letter.
+positive if they hold a core, a run of letters that toxic texts have far more often. Cores are taken
+until no run is left that ``LEAST`` texts have in words without one, however many that are. Positive
+words are also given with letters inserted and cores with a letter missing. Landmarks are the cores,
+words that hold them, the clean words nearest to those and ``OTHERS`` more. Runs of single letters
+are read as one word, and words lose everything that is no letter.
 
 Fitting takes at most ``PER_CLASS`` toxic and twice as many clean labelled texts, those with
 the smallest hash, and the first ``FIT_CHARS`` characters of each; both are parameters. All texts are scored, whole:
@@ -39,7 +42,7 @@ P, DECAY = 4, 0.6
 PER_CLASS = 600
 FIT_CHARS = 20_000
 LEAST = 5  # texts that a core is found in
-OTHERS = 6
+OTHERS, SIDE = 6, 14
 CORE_LETTERS = range(4, 9)
 CURVE_TEXTS = 300
 PIECE = 24
@@ -72,6 +75,11 @@ def words_of(text: str) -> list[str]:
     return out
 
 
+def marked(word: str) -> str:
+    """The word with marks of its start and end, which are letters to the kernel."""
+    return f"^{word}$"
+
+
 def pieces(word: str) -> list[str]:
     if len(word) <= PIECE:
         return [word]
@@ -85,36 +93,67 @@ class Landmarks:
         self.strings = strings
         self.width = max(map(len, strings))
         self.codes = self._codes(strings, self.width)
-        self.masks = self._masks(self.codes)
+        self.alphabet = np.unique(self.codes[self.codes != 0])
+        # Bit j of places[letter, landmark]: the letter stands there; the last letter is any other.
+        self.places = np.zeros((len(self.alphabet) + 1, len(strings)), np.uint64)
+        for j in range(self.width):
+            at = np.flatnonzero(self.codes[:, j])
+            self.places[np.searchsorted(self.alphabet, self.codes[at, j]), at] |= np.uint64(1 << j)
+        self.sizes = np.array([len(s) for s in strings])
+        self.full = (np.uint64(1) << self.sizes.astype(np.uint64)) - np.uint64(1)
         self.codes[self.codes == 0] = 0xFFFFFFFF
-        self.needed = np.bitwise_count(self.masks)
+        self.squares = np.maximum(self._squares(strings), np.float32(1e-9))
 
     @staticmethod
     def _codes(strings: list[str], width: int) -> np.ndarray:
         joined = "".join(s.ljust(width, "\0") for s in strings)
         return np.frombuffer(joined.encode("utf-32-le"), np.uint32).reshape(len(strings), width).copy()
 
-    @staticmethod
-    def _masks(codes: np.ndarray) -> np.ndarray:
-        bits = np.where(codes == 0, np.uint64(0), np.uint64(1) << (codes.astype(np.uint64) % np.uint64(64)))
-        return np.bitwise_or.reduce(bits, axis=1)
-
-    def kernel(self, strings: list[str]) -> np.ndarray:
-        """A row for each string; pairs that lack a letter of the landmark count as 0."""
+    def _common(self, codes: np.ndarray) -> np.ndarray:
+        """Letters of the longest common subsequence of every string and landmark."""
+        place = np.searchsorted(self.alphabet, codes)
+        known = self.alphabet[np.minimum(place, len(self.alphabet) - 1)] == codes
+        place = np.where(known, place, len(self.alphabet))
+        left = np.broadcast_to(self.full, (len(codes), len(self.sizes))).copy()
+        for j in range(codes.shape[1]):
+            met = left & self.places[place[:, j]]
+            left = (left + met) | (left - met)
+        return self.sizes - np.bitwise_count(left & self.full)
+
+    def whole(self, strings: list[str]) -> np.ndarray:
+        """A row for each string; only pairs without a common subsequence of ``P`` letters, whose kernel is 0, are left out."""
         out = np.zeros((len(strings), len(self.strings)), np.float32)
-        if not strings:
-            return out
-        lengths = np.array([len(s) for s in strings])
-        codes = self._codes(strings, int(lengths.max()))
-        common = np.bitwise_count(self._masks(codes)[:, None] & self.masks[None])
-        rows, columns = np.nonzero(common >= self.needed[None])
-        order = np.argsort(lengths[rows], kind="stable")
-        rows, columns = rows[order], columns[order]
-        for lo in range(0, len(rows), 20_000):
-            r, c = rows[lo : lo + 20_000], columns[lo : lo + 20_000]
-            out[r, c] = self._pairs(codes[r, : lengths[r].max()], self.codes[c])
+        order = np.argsort([len(s) for s in strings], kind="stable")
+        for lo in range(0, len(order), 4000):
+            own = order[lo : lo + 4000]
+            part = [strings[i] for i in own]
+            codes = self._codes(part, max(map(len, part)))
+            rows, columns = np.nonzero(self._common(codes) >= P)
+            for at in range(0, len(rows), 20_000):
+                r, c = rows[at : at + 20_000], columns[at : at + 20_000]
+                out[own[r], c] = self._pairs(codes[r, : len(part[r.max()])], self.codes[c])
         return out
 
+    def kernel(self, strings: list[str]) -> np.ndarray:
+        """``whole``, with 0 for pairs that lack a letter of the landmark; nothing is fitted or scored by it."""
+        holds = [[set(t) <= set(s) for t in self.strings] for s in strings]
+        return np.where(np.array(holds, bool).reshape(len(strings), -1), self.whole(strings), 0)
+
+    def features(self, strings: list[str]) -> np.ndarray:
+        """``whole``, normalised (the kernel of equal strings is 1); then the share of each landmark's own, 1 at most."""
+        raw = self.whole(strings)
+        own = np.ones(len(strings), np.float32)  # kernel of each string with itself
+        met = np.flatnonzero(raw.any(1))
+        met = met[np.argsort([len(strings[i]) for i in met], kind="stable")]
+        for lo in range(0, len(met), 20_000):
+            own[met[lo : lo + 20_000]] = self._squares([strings[i] for i in met[lo : lo + 20_000]])
+        return np.hstack([raw / np.sqrt(own[:, None] * self.squares), np.minimum(raw / self.squares, 1)])
+
+    def _squares(self, strings: list[str]) -> np.ndarray:
+        """The kernel of each string with itself."""
+        s = self._codes(strings, max(map(len, strings)))
+        return self._pairs(s, np.where(s == 0, np.uint32(0xFFFFFFFF), s))
+
     @staticmethod
     def _pairs(s: np.ndarray, t: np.ndarray) -> np.ndarray:
         """The kernel of row i of ``s`` with row i of ``t``."""
@@ -146,7 +185,10 @@ class Model:
     shift: float = 0.0
 
     def values(self, words: list[str]) -> np.ndarray:
-        return self.landmarks.kernel(words) @ self.weights + self.bias
+        out = np.full(len(words), self.bias)
+        for lo in range(0, len(words), 4000):  # features are many times as large as words
+            out[lo : lo + 4000] += self.landmarks.features(words[lo : lo + 4000]) @ self.weights
+        return out
 
     def chance(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
@@ -204,6 +246,32 @@ def inserted(word: str, n: int, pick: np.random.Generator) -> str:
     return "".join(c + (chr(97 + int(pick.integers(26))) if i in places else "") for i, c in enumerate(word))
 
 
+def closest(marks: Landmarks, words: list[str]) -> tuple[np.ndarray, list[int]]:
+    """The highest normalised kernel of each word, and the word that is highest for each landmark."""
+    near, n = np.zeros(len(words), np.float32), len(marks.strings)
+    top, at = np.full(n, -1.0), np.zeros(n, np.int64)
+    for lo in range(0, len(words), 4000):
+        part = marks.features(words[lo : lo + 4000])[:, :n]
+        near[lo : lo + 4000] = part.max(1)
+        better = part.max(0) > top
+        top[better], at[better] = part.max(0)[better], lo + part.argmax(0)[better]
+    return near, at.tolist()
+
+
+def around(word: str, pick: np.random.Generator) -> list[str]:
+    """The word with letters before and after it, where no mark says that there are none."""
+    out = []
+    for n in (2, 5, 8):
+        head, tail = ("".join(chr(97 + int(x)) for x in pick.integers(26, size=n)) for _ in range(2))
+        out.append(("" if word[0] == "^" else head) + word + ("" if word[-1] == "$" else tail))
+    return out
+
+
+def lacking(word: str) -> list[str]:
+    """The word without one of its letters, where ``P`` letters or marks are left."""
+    return sorted({word[:i] + word[i + 1 :] for i in range(1, len(word) - 1)}) if len(word) > P else []
+
+
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by Newton steps on the rows inside the margin."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -238,7 +306,7 @@ def logistic(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """A model from labelled texts."""
     pick = np.random.default_rng(seed)
-    bags = [set(words_of(t)) for t in texts]
+    bags = [{marked(w) for w in words_of(t)} for t in texts]
     toxic, clean = Counter(), Counter()
     for bag, label in zip(bags, labels):
         (toxic if label else clean).update(bag)
@@ -248,28 +316,38 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         return Model(None, np.zeros(0), 0.0)
     plain = sorted(w for w in clean if P <= len(w) <= PIECE and not any(c in w for c in cores))
     plain = [plain[i] for i in pick.permutation(len(plain))]
-    landmarks = Landmarks(cores + [w[:8] for w in plain[:OTHERS]])
+    usual = [max((w for w in toxic if c in w), key=lambda w: (toxic[w], w)) for c in cores]
+    often = [sum(n for w, n in toxic.items() if c in w) for c in cores]
+    usual = [w for c, w, n in zip(cores, usual, often) if w != c and 2 * toxic[w] >= n and len(w) <= PIECE]
+    own = sorted({*cores, *usual})
+    # The clean word that comes nearest to each of them, and some others.
+    near, nearest = closest(Landmarks(own), plain)
+    next_to = {plain[i][:SIDE] for i in nearest} if plain else set()
+    landmarks = Landmarks(own + sorted(next_to | {w[:8] for w in plain[:OTHERS]}))
     holds = re.compile("|".join(map(re.escape, cores))).search
     positive = sorted(w for w in toxic if holds(w) and len(w) <= PIECE)[:4000]
-    variants = [inserted(w, n, pick) for w in {holds(w).group() + w[holds(w).end() :][:2] for w in positive} | set(cores) for n in (1, 1, 2)]
+    within = [v for c in cores for v in around(c, pick)]
+    variants = within + [inserted(w, n, pick) for w in {holds(w).group() + w[holds(w).end() :][:2] for w in positive} | set(cores) for n in (1, 1, 2)]
+    masked = sorted({v for w in [*cores, *usual] for v in lacking(w) if v not in clean})
     # Clean words that come nearest to a core, and others.
-    near = landmarks.kernel(plain)[:, : len(cores)].max(1, initial=0)
     hard = [plain[i] for i in np.argsort(-near, kind="stable")[:3000]]
     negative = sorted(set(hard) | set(plain[:3000]))
-    words = positive + variants + negative
-    y = np.r_[np.ones(len(positive) + len(variants)), -np.ones(len(negative))]
+    words = positive + variants + masked + negative
+    y = np.r_[np.ones(len(positive) + len(variants) + len(masked)), -np.ones(len(negative))]
     often = np.sqrt([toxic[w] for w in positive])
     weight = np.r_[
         often / max(1.0, often.sum()),
-        np.full(len(variants), 0.3 / max(1, len(variants))),
+        np.full(len(variants), 1 / max(1, len(variants))),
+        np.full(len(masked), 0.3 / max(1, len(masked))),
         np.full(len(negative), 3 / max(1, len(negative))),
     ] * len(words)
-    own = landmarks.kernel(landmarks.strings).astype(float)
-    own = (own + own.T) / 2
-    value, vector = np.linalg.eigh(own)
+    gram = landmarks.features(landmarks.strings).astype(float)[:, : len(landmarks.strings)]
+    value, vector = np.linalg.eigh((gram + gram.T) / 2)
     good = value > 1e-6 * value.max()
     nystrom = vector[:, good] / np.sqrt(value[good])
-    features = landmarks.kernel(words).astype(float) @ nystrom
+    n = len(gram)
+    nystrom = np.vstack([np.hstack([nystrom, np.zeros((n, n))]), np.hstack([np.zeros((n, nystrom.shape[1])), np.eye(n)])])
+    features = landmarks.features(words).astype(float) @ nystrom
     scale = np.abs(features).max(0) + 1e-9
     w, bias = machine(features / scale, y, weight)
     model = Model(landmarks, (nystrom @ (w / scale)).astype(np.float32), bias)
@@ -339,7 +417,7 @@ class Scorer:
         parts, owner = [], []
         for i, own in enumerate(_no_letter.sub("", "\n".join(words).lower()).split("\n")):
             if own:
-                found = pieces(own)
+                found = pieces(marked(own))
                 parts += found
                 owner += [i] * len(found)
         if parts:

@@ -100,6 +100,28 @@ def test_sample_is_bounded(spark, docs_of):
     assert sorted(r.text for r in whole) == sorted(["again" if i == 3 else f"t{i}" for i in range(60)])
 
 
+def test_kernel_of_all_pairs():
+    pick = random.Random(5)
+    strings = ["".join(pick.choices("abcdé", k=pick.randint(1, 9))) for _ in range(60)] + ["lser", "stpid", "clwn", "bomentea", "zzzzz"]
+    marks = tx.Landmarks(["abca", "cab", "éabcda", "aaaa", "loser", "stupid", "clown", "bomentec"])
+    whole, normal = marks.whole(strings), marks.features(strings)
+    assert (whole[60:64, 4:].diagonal() > 0).all()
+    for s, row, share in zip(strings, whole, normal[:, : len(marks.strings)]):
+        for t, value, part in zip(marks.strings, row, share):
+            want = brute_kernel(s, t)
+            assert value == pytest.approx(want, rel=1e-4, abs=1e-6)
+            assert part == pytest.approx(want / max(brute_kernel(s, s) * brute_kernel(t, t), 1e-18) ** 0.5, rel=1e-3, abs=1e-6)
+
+
+def test_masked_and_dropped_letters(model):
+    scorer, pick = tx.Scorer(model), random.Random(7)
+    clean = model.chance(scorer.best(pa.array([text_of(pick, False) for _ in range(100)])))
+    bad = ["bl*rgo", "blogo", "sn1vvel", "sniv_el", "snivel"]
+    value = model.chance(scorer.best(pa.array(["anti " + w + " heon" for w in bad])))
+    assert (value > np.quantile(clean, 0.98)).all(), dict(zip(bad, value.round(3)))
+    assert (value[3:] >= tx.THRESHOLD).all() and (clean < tx.THRESHOLD).mean() >= 0.97
+
+
 RARE = {
     "one": ("an er ti on he st".split(), ["blorgo", "snivvel", "dwimpak"]),
     "two": ("lu ka mo zi pe ra".split(), [a + b for a in ("grunf", "quibb", "vexol") for b in ("ak", "em", "ip", "oz", "ul", "yr")]),
