@@ -12,7 +12,7 @@ in parts of ``FINE`` bytes and the sizes added. A text without any letter is ``u
 as is a NULL or empty one.
 
 Fitting takes at most ``per_language`` labelled texts of each language, those with the smallest
-hash, and at most ``text_chars`` of each; both are parameters. All texts are classified.
+hash, and at most ``text_chars`` of each; both are parameters. Copies of a text come after all other texts. All texts are classified.
 
 Defined results: equal texts have equal results; of equal sizes the first language by name wins,
 with a margin of 0; repeated rows stay; an empty table gives no rows; without labelled texts every
@@ -56,15 +56,19 @@ def fit(
     """A dictionary for each language: a bounded number of bytes of a bounded number of texts."""
     rows = labelled.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     rows = rows.select(F.col(f"`{lang}`").alias("lang"), F.left(letters(F.col(f"`{text}`")), F.lit(text_chars)).alias("text"))
-    rows = rows.withColumn("rank", F.xxhash64("text"))
+    rows = rows.groupBy("lang", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("rank", F.xxhash64("text"))
     first = Window.partitionBy("lang").orderBy("rank", "text")
     chosen = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
-    names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()]
+    names = [r.lang for r in rows.groupBy("lang").agg(F.sum("copies").alias("count")).orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()]
     if len(names) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     found: dict[str, list[bytes]] = {name: [] for name in sorted(names)}
-    for r in chosen.orderBy("lang", "n").select("lang", "text").collect():
+    again: dict[str, list[bytes]] = {name: [] for name in found}
+    for r in chosen.orderBy("lang", "n").select("lang", "text", "copies").collect():
         found[r.lang].append(r.text.encode())
+        again[r.lang] += [r.text.encode()] * (min(r.copies, per_language) - 1)
+    for name, texts in found.items():  # copies only where there are too few texts
+        texts += again[name][: per_language - len(texts)]
     return {name: b"\n".join(texts) for name, texts in found.items()}
 
 

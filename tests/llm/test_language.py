@@ -68,3 +68,10 @@ def test_fit_is_bounded(spark):
 def test_decide():
     best, score, margin = language.decide(np.array([120, 100, 150]))
     assert best == 1 and score > 0.99 and margin == 0.2
+
+
+def test_copies_do_not_displace_texts(spark):
+    rows = [(f"text {chr(97 + i // 26)}{chr(97 + i % 26)}", "en") for i in range(20)]
+    rows += [(f"{c} much copied", "en") for c in "abcdefgh" for _ in range(50)]
+    got = language.fit(spark.createDataFrame(rows, "text string, lang string"), per_language=28)
+    assert sorted(got["en"].decode().split("\n")) == sorted({t for t, _ in rows})
