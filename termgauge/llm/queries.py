@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termgauge.llm import chat, decontam, jaccard, language, licenses, packing, quality, suffix, toxicity, warc
+from termgauge.llm import chat, decontam, jaccard, language, licenses, packing, quality, suffix, token_counts, toxicity, warc
 from termgauge.session import new_path
 
 
@@ -128,6 +128,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_license_scan": op2_license_scan,
@@ -139,6 +145,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_warc": OP3_SQL}

@@ -3,10 +3,12 @@
 import os
 
 import duckdb
+import public_tokenizers
 import pytest
 from test_jaccard import brute as jaccard_brute
 from test_quality import brute as quality_brute
 from test_suffix import brute as suffix_brute
+from tokenizers import Tokenizer
 
 from termgauge.llm import queries
 
@@ -54,6 +56,13 @@ def test_op5(spark, docs):
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r.base_failed and r.kept)
 
 
+def test_op13(spark, docs):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = sorted(tuple(r) for r in queries.op13_token_counts(spark, SF_DIR).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect())
+    counted = [(i, t or "", len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in docs]
+    assert rows == sorted((i, len(t.encode()), n, n > 512) for i, t, n in counted)
+
+
 @pytest.mark.parametrize("name, columns", [("op7_toxicity", {"doc_id", "held_out", "score", "predicted"}), ("op8_language", {"doc_id", "held_out", "lang_pred", "score"})])
 def test_models(spark, docs, name, columns):
     out = queries.QUERIES[name](spark, SF_DIR)
