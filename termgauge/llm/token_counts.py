@@ -2,8 +2,9 @@
 
 Texts are encoded inside Arrow functions that return lengths only: no id leaves a task. A long text
 is cut at safe boundaries, places that no token of the tokenizer can span, so that the counts of its
-pieces add up to the count of the whole. The pieces of all texts are then grouped into calls of about
-the same number of bytes, which bounds what the library holds at a time whatever the texts' lengths.
+pieces add up to the count of the whole. By the same rule words have counts of their own, and a word that a
+process has met before is not encoded again. What is left of all texts of a part of a batch is grouped
+into calls of about the same number of bytes, which bounds what the library holds at a time.
 
 A boundary is safe in these cases, which are read from the tokenizer's own file:
 
@@ -24,7 +25,6 @@ their end; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
@@ -38,11 +38,13 @@ from pyspark.sql import types as T
 
 PIECE_CHARS = 1 << 16  # a longer text is cut at the first safe boundary after so many characters
 CALL_BYTES = 1 << 18  # of text for a call of the library
-SLICE_BYTES = 1 << 23  # of text made Python strings at a time
+SLICE_BYTES = 1 << 21  # of text made Python strings at a time
+KEPT = 400_000  # words whose counts a process keeps
 
 BLANK_BEFORE_WORD = re.compile(r"(?<=\S)[ \n]")
-SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
-SINGLE_BLANK_ASCII = re.compile(r"(?<=[!-~]) (?=[!-~])")
+WORD_BLANK, ODD_BLANK = re.compile(r" (?=\S)"), re.compile(r" (?:\s|$)")
+SINGLE_BLANK, NOT_SINGLE = re.compile(r"(?<=[^ ]) (?=[^ ])"), re.compile(r"^ |  | $")
+SINGLE_BLANK_ASCII, ANY = re.compile(r"(?<=[!-~]) (?=[!-~])"), re.compile("")
 #: Characters that normalisers of the kinds K and C change.
 CHANGED = "ﬁ½´é"
 
@@ -50,11 +52,20 @@ _opened: dict[str, Counter] = {}
 
 
 class Counter:
-    """Counts the tokens of texts by the library that a tokenizer file is for."""
+    """Counts the tokens of texts by the library that a tokenizer file is for.
 
-    #: Pattern of the safe boundaries, or None; whether the blank there is left out of the next piece.
+    Words between blanks that are safe boundaries have counts of their own. Those met before are
+    looked up, at most ``KEPT`` of them; the library is asked for the others, in calls of even size.
+    """
+
+    #: Pattern of the safe boundaries for pieces, or None; whether a piece leaves out the blank before it.
     boundary: re.Pattern | None = None
     dropped = False
+    #: Pattern of the safe blanks between words, and of a text in which some blank is not one.
+    blank, odd = WORD_BLANK, ODD_BLANK
+
+    def __init__(self):
+        self.kept: dict[str, int] = {}
 
     def lengths(self, texts: list[str]) -> list[int]:
         raise NotImplementedError
@@ -69,15 +80,33 @@ class Counter:
             start = cut.end() if self.dropped else cut.start()
         return [*found, text[start:]]
 
+    def words(self, piece: str) -> list[str]:
+        """The parts between safe blanks."""
+        if self.boundary is None:
+            return [piece]
+        return self.blank.split(piece) if self.odd.search(piece) else piece.split(" ")
+
+    def encoded(self, texts: list[str], call: int) -> list[int]:
+        """Lengths from the library, in calls of about ``call`` bytes."""
+        weight = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in texts])
+        return [n for lo, hi in even_calls(weight, call) for n in self.lengths(texts[lo:hi])]
+
     def counts(self, texts: list[str], size: int = PIECE_CHARS, call: int = CALL_BYTES) -> np.ndarray:
         """The number of tokens of each text."""
+        total = np.zeros(len(texts), np.int64)
+        if self.boundary is None:
+            total[:] = self.encoded(texts, call)
+            return total
         cut = [self.pieces(text, size) for text in texts]
         owner = np.repeat(np.arange(len(texts)), [len(p) for p in cut])
-        flat = list(itertools.chain.from_iterable(cut))
-        weight = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in flat])
-        total = np.zeros(len(texts), np.int64)
-        for lo, hi in even_calls(weight, call):
-            np.add.at(total, owner[lo:hi], self.lengths(flat[lo:hi]))
+        words = [self.words(piece) for own in cut for piece in own]
+        np.add.at(total, owner, self.encoded([w[0] for w in words], call))
+        kept = self.kept
+        if len(kept) > KEPT:
+            kept.clear()
+        new = list({w for own in words for w in set(own[1:]).difference(kept)})
+        kept.update(zip(new, self.encoded(new if self.dropped else [" " + w for w in new], call)))
+        np.add.at(total, owner, [sum(map(kept.__getitem__, own[1:])) for own in words])
         return total
 
 
@@ -95,6 +124,7 @@ class JsonCounter(Counter):
     """A tokenizer of the library ``tokenizers``."""
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
         from tokenizers import Tokenizer
 
@@ -138,6 +168,7 @@ class PieceCounter(Counter):
     dropped = True
 
     def __init__(self, path: str):
+        super().__init__()
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -145,7 +176,8 @@ class PieceCounter(Counter):
         prefixed = (self.model.encode("a", out_type=str) or [""])[0].startswith("▁")
         if prefixed and not any(re.search("[^▁]▁", p) for p in pieces):
             unchanged = self.model.normalize(CHANGED).lstrip("▁") == CHANGED
-            self.boundary = SINGLE_BLANK if unchanged else SINGLE_BLANK_ASCII
+            self.boundary = self.blank = SINGLE_BLANK if unchanged else SINGLE_BLANK_ASCII
+            self.odd = NOT_SINGLE if unchanged else ANY
 
     def lengths(self, texts: list[str]) -> list[int]:
         return [len(found) for found in self.model.encode(texts, num_threads=1)]
