@@ -27,7 +27,7 @@ LENGTH = 1024
 END_ID = 0
 CACHED = 600_000
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 # The byte-level pre-tokeniser's pattern, and the letters that it writes for bytes (fixed values).
@@ -48,10 +48,11 @@ class Encoder:
     follows with what stands after it, so the parts between such blanks have ids of their own, and
     so have the words that the pattern finds in a part. Parts and words that were met before are
     looked up, at most ``CACHED`` of either; the model of the tokenizer is asked for the others.
-    Any other tokenizer encodes whole texts.
+    Any other tokenizer encodes whole texts, and so does this one where a text holds an added token
+    (unless ``plain``: then their strings are ordinary text).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         import json
         import re
 
@@ -59,7 +60,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special)]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else None
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
@@ -97,6 +100,10 @@ class Encoder:
             return [np.array(row.ids, self.kind).tobytes() for row in rows]
         out = []
         for text in texts:
+            if self.added and self.added(text):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                out.append(np.array(ids, self.kind).tobytes())
+                continue
             found = self.split(text) if self.odd(text) else text.split(" ")
             kept = self.kept
             for part in set(found[1:]).difference(kept):
@@ -109,10 +116,10 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, plain: bool = False) -> Encoder:
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = Encoder(path, plain)
+    return _encoders[path, plain]
 
 
 def tokenised(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID):

@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termgauge.llm import chat, decontam, jaccard, language, licenses, packing, quality, suffix, token_counts, toxicity, warc
+from termgauge.llm import (
+    alignment,
+    chat,
+    decontam,
+    jaccard,
+    language,
+    licenses,
+    packing,
+    quality,
+    suffix,
+    token_counts,
+    toxicity,
+    warc,
+)
 from termgauge.session import new_path
 
 
@@ -128,6 +141,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    rows = alignment.alignment_summary(table(spark, sf_dir, "documents"), *files)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -145,6 +166,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_alignment": op12_alignment,
     "op13_token_counts": op13_token_counts,
 }
 

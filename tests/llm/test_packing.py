@@ -12,13 +12,13 @@ PATH = public.path("byte_bpe_50k.json")
 TEXTS = [
     "", None, " ", "a", "two words", "  lead", "trail  ", "a  b   c", "tab\tand\nline \n next", "a\n b", "a \nb", "x\x1cy \x1cz",
     "it's I'll we'd", "数字 12 three<|endoftext|>", "ünï çödé hard  space", "word " * 3000, "no_break" * 700, "emoji 👩‍👩‍👧 end ",
+    "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> \n y <|endoftext|",
 ]
 
 
 @pytest.fixture(scope="module")
 def plain():
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
     return lambda t: [*own.encode(t or "", add_special_tokens=False).ids, 0]
 
 
@@ -30,6 +30,15 @@ def test_parts_have_the_ids_of_the_whole(plain):
         assert got == [plain(t) for t in texts]
 
 
+def test_added_tokens(plain):
+    own, other = packing.encoder(PATH), packing.encoder(PATH, plain=True)
+    text = "a <|endoftext|> b"
+    assert np.frombuffer(own.encode([text])[0], own.kind).tolist() == [64, 220, 50256, 275] == plain(text)[:-1]
+    spelt = Tokenizer.from_file(PATH)
+    spelt.encode_special_tokens = True
+    assert np.frombuffer(other.encode([text])[0], other.kind).tolist() == spelt.encode(text).ids != plain(text)[:-1]
+
+
 def test_pieces(docs_of, plain):
     ids = list(range(len(TEXTS)))
     df = docs_of(TEXTS, ids).repartition(3)

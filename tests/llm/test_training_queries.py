@@ -5,6 +5,7 @@ import os
 import duckdb
 import public_tokenizers
 import pytest
+from test_alignment import brute as alignment_brute
 from test_jaccard import brute as jaccard_brute
 from test_quality import brute as quality_brute
 from test_suffix import brute as suffix_brute
@@ -56,6 +57,11 @@ def test_op5(spark, docs):
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r.base_failed and r.kept)
 
 
+def test_op12(spark, docs):
+    rows = sorted((tuple(r) for r in queries.op12_alignment(spark, SF_DIR).collect()), key=str)
+    assert rows == alignment_brute(docs)
+
+
 def test_op13(spark, docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = sorted(tuple(r) for r in queries.op13_token_counts(spark, SF_DIR).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect())
