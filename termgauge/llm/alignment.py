@@ -7,18 +7,21 @@ of tokens that share bytes, with the number of shared bytes. Pairs whose ranges
 the product of the matrices of tokens and groups gives the pairs that share a group, and stays factored
 (group number of each token) unless asked for, because its size is a product within a group.
 
-Texts are laid side by side on one axis of bytes, a megabyte at a time. Long ones are cut before, at single
-blanks that no token of either tokenizer spans: both end a token there, so no group is cut.
+Texts are laid side by side on one axis of bytes, a megabyte at a time. They are cut before, at single blanks
+that no token of either tokenizer spans: both end a token there, so no group is cut, and the matrices of a text
+are made of blocks, one for each word. ``align`` returns long texts in segments; ``alignment_summary`` aligns
+every word that a task has not met before, once, and puts texts together from their words.
 
-Corpus-wide counts of linked ids take two passes. Pass one encodes and aligns every text once and writes the
-links of a text as places in the list of distinct pairs of its block (the rows of a task, up to a number of
-links), and that list with its counts. The lists are summed over blocks, ranked within each id of B, and
-joined back to the blocks; pass two looks up places. What is shuffled are distinct pairs of blocks and the
-links as four bytes each, and a frequent pair has one row for each block.
+Corpus-wide counts of linked ids take two passes. Pass one writes a text as places in the list of words of its
+block (the rows of a task, up to a number of words), and for each block the pairs that its words link, with
+their counts. These are summed over blocks, ranked within each id of B, and joined back to the blocks; pass
+two sums them by words and texts. What is shuffled are the distinct pairs of blocks and the words of texts as
+four bytes each, and a frequent pair has one row for each block.
 
 Defined results: a NULL or empty text, and one whose tokens do not spell it, has no tokens and zeros;
 repeated rows and repeated or NULL keys are aligned like any other row; equal counts are all the highest;
-an empty table gives no rows; a text without single blanks is aligned as a whole, whatever its length;
+an empty table gives no rows; a text without single blanks is aligned as a whole, whatever its length, and the
+words of one text are counted in one row, whatever their number;
 other columns are ignored, whatever their names.
 """
 
@@ -26,22 +29,26 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termgauge.llm.packing import byte_letters, encoder
-from termgauge.llm.token_counts import byte_slices, text_sizes
+from termgauge.llm.packing import byte_letters
+from termgauge.llm.token_counts import SINGLE_BLANK, JsonCounter, PieceCounter, byte_slices, text_sizes
 from termgauge.session import new_path
 
 SEGMENT_CHARS = 1 << 16
 BATCH_BYTES = 1 << 20
-BLOCK_LINKS = 1 << 22
+BLOCK_WORDS = 1 << 21
+KEPT = 300_000  # words that a task keeps from one block to the next
 SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
+ODD_BLANK = re.compile(r"(?:^|\s) | (?:\s|$)")
 
 
 # ---------------------------------------------------------------- sparse matrices
@@ -140,14 +147,15 @@ class Pair:
     _open: dict[tuple[str, str], Pair] = {}
 
     def __init__(self, a: str, b: str):
-        import sentencepiece
-
-        self.a = encoder(a, plain=True)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b)
+        own, other = JsonCounter(a), PieceCounter(b)
+        #: Whether no token of either spans a single blank.
+        self.cuts = own.boundary is not None and other.boundary is SINGLE_BLANK
+        self.a, self.b = own.tokenizer, other.model
+        self.a.encode_special_tokens = True
         letters = {chr(c): v for v, c in byte_letters().items()}
-        vocabulary = self.a.tokenizer.get_vocab(with_added_tokens=True)
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
-        added = {t.content for t in self.a.tokenizer.get_added_tokens_decoder().values()}
+        added = {t.content for t in self.a.get_added_tokens_decoder().values()}
         for token, i in vocabulary.items():
             self.bytes_a[i] = token.encode() if token in added else bytes(letters[c] for c in token)
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
@@ -170,13 +178,13 @@ class Pair:
 
     def encoded(self, segments: list[str]):
         """Ids of all segments by A and by B, and how many each segment has."""
-        own = [np.frombuffer(x, self.a.kind) for x in self.a.encode([" " + s for s in segments])]
-        other = self.b.encode(segments, num_threads=1)
-        n_a = np.array([len(x) for x in own], np.int64)
-        n_b = np.array([len(x) for x in other], np.int64)
-        ids_a = np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64)
-        flat = np.fromiter((i for x in other for i in x), np.int64, int(n_b.sum()))
-        return ids_a, flat, n_a, n_b
+        found = self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)
+        sides = []
+        for ids in ([x.ids for x in found], self.b.encode(segments, num_threads=1)):
+            n = np.array([len(x) for x in ids], np.int64)
+            sides.append((np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n))
+        (ids_a, n_a), (ids_b, n_b) = sides
+        return ids_a, ids_b, n_a, n_b
 
     def spelled(self, segments: list[bytes], ids_a, ids_b, n_a, n_b) -> np.ndarray:
         """Whether both token rows of each segment spell it."""
@@ -200,17 +208,24 @@ def summed_by(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - n]
 
 
-def segments_of(text: str, size: int) -> list[str]:
+def words_of(text: str, cuts: bool = True) -> list[str]:
+    """The text cut at all single blanks."""
+    if not text or not cuts:
+        return [text] if text else []
+    return SAFE_BLANK.split(text) if ODD_BLANK.search(text) else text.split(" ")
+
+
+def segments_of(text: str, size: int, cuts: bool = True) -> list[str]:
     """The text cut at single blanks, which are left out."""
     found, start = [], 0
-    while len(text) - start > size and (cut := SAFE_BLANK.search(text, start + size)):
+    while cuts and len(text) - start > size and (cut := SAFE_BLANK.search(text, start + size)):
         found.append(text[start : cut.start()])
         start = cut.end()
     return [*found, text[start:]] if text else []
 
 
 class Segment(NamedTuple):
-    """A text's tokens, or a long text's from one cut to the next: ids, groups, links, and groups as bytes."""
+    """A text's tokens, or a long text's from one cut to the next: ids, groups, links."""
 
     row: int
     ids_a: np.ndarray
@@ -222,12 +237,11 @@ class Segment(NamedTuple):
     j: np.ndarray
     overlap: np.ndarray
     together: np.ndarray
-    written: bytes
 
 
 def aligned_segments(texts: list[str], pair: Pair, segment_chars: int, batch_bytes: int):
     """Segments of the texts, in order; none of a text whose tokens do not spell it."""
-    cut = [segments_of(t, segment_chars) for t in texts]
+    cut = [segments_of(t, segment_chars, pair.cuts) for t in texts]
     owner = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
     flat = [s for c in cut for s in c]
     spelt = [b" " + s.encode() for s in flat]
@@ -248,17 +262,19 @@ def aligned_segments(texts: list[str], pair: Pair, segment_chars: int, batch_byt
             yield from _cut(owner[lo:hi][kept].tolist(), ids_a, ids_b, n_a, n_b, pair)
 
 
-def _cut(owner: list[int], ids_a, ids_b, n_a, n_b, pair: Pair):
-    found = align_lengths(pair.length_a[ids_a], pair.length_b[ids_b])
-    # Where each token stands in "a,a|b;a|b,b;": behind the tokens of the other side that come before.
+def _written(found: Aligned, ids_a, ids_b, pair: Pair) -> list[bytes]:
+    """Both sides' ids as they stand in "a,a|b;a|b,b;": behind the tokens of the other side that come before."""
     last_a = np.append(np.diff(found.group_a) > 0, True)
     last_b = np.append(np.diff(found.group_b) > 0, True)
     order = np.empty(len(ids_a) + len(ids_b), np.int64)
     order[np.arange(len(ids_a)) + np.searchsorted(found.group_b, found.group_a, "left")] = ids_a + last_a * len(pair.bytes_a)
     at_b = np.arange(len(ids_b)) + np.searchsorted(found.group_a, found.group_b, "right")
     order[at_b] = ids_b + last_b * len(pair.bytes_b) + 2 * len(pair.bytes_a)
-    words = pair.written[order].tolist()
+    return pair.written[order].tolist()
 
+
+def _cut(owner: list[int], ids_a, ids_b, n_a, n_b, pair: Pair):
+    found = align_lengths(pair.length_a[ids_a], pair.length_b[ids_b])
     end_a, end_b = np.cumsum(n_a), np.cumsum(n_b)
     link = np.searchsorted(found.i, np.concatenate([[0], end_a])).tolist()
     groups = np.concatenate([[0], found.group_a[end_a - 1] + 1]).tolist()
@@ -277,7 +293,6 @@ def _cut(owner: list[int], ids_a, ids_b, n_a, n_b, pair: Pair):
             found.j[own] - b0,
             found.overlap[own],
             found.together[own],
-            b"".join(words[a0 + b0 : a1 + b1]),
         )
 
 
@@ -326,77 +341,125 @@ def align(
     return _chosen(documents, key, text).mapInArrow(run, schema)
 
 
-class _Block:
-    """Texts of a block with their links as places among its distinct pairs."""
+class Words:
+    """Words met so far: numbers of tokens, groups and links, whether spelled, linked ids, groups as bytes."""
+
+    def __init__(self, pair: Pair):
+        self.pair = pair
+        self.place: dict[str, int] = {}
+        self.written: list[bytes] = []
+        self.numbers = np.zeros((1024, 5), np.int64)
+        self.links: list[np.ndarray] = []  # codes of linked ids of the words in order, in parts
+
+    def learn(self, texts: list[list[str]], batch_bytes: int):
+        """Align the words that are new."""
+        place, new = self.place, []
+        for words in texts:
+            for word in set(words).difference(place):
+                place[word] = len(place)
+                new.append(word)
+        sizes = np.cumsum([len(w) for w in new]) // batch_bytes
+        parts = np.flatnonzero(np.diff(sizes, prepend=-1, append=-1)).tolist() if new else []
+        for lo, hi in zip(parts[:-1], parts[1:]):
+            self._add(new[lo:hi])
+
+    def _add(self, new: list[str]):
+        pair, start = self.pair, len(self.written)
+        ids_a, ids_b, n_a, n_b = pair.encoded(new)
+        good = pair.spelled([b" " + w.encode() for w in new], ids_a, ids_b, n_a, n_b)
+        if not good.all():
+            ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
+            n_a, n_b = n_a * good, n_b * good
+        found = align_lengths(pair.length_a[ids_a], pair.length_b[ids_b])
+        i, j = found.i[found.together], found.j[found.together]
+        self.links.append(ids_a[i] * len(pair.bytes_b) + ids_b[j])
+        end_a, ends = np.cumsum(n_a), np.cumsum(n_a + n_b)
+        n_links = np.diff(np.searchsorted(i, end_a), prepend=0)
+        n_groups = np.diff(np.concatenate([[0], found.group_a + 1])[end_a], prepend=0)
+        tokens, ends = _written(found, ids_a, ids_b, pair), ends.tolist()
+        self.written += [b"".join(tokens[lo:hi]) for lo, hi in zip([0, *ends[:-1]], ends)]
+        if len(self.written) > len(self.numbers):
+            room = np.zeros((max(len(self.written), 2 * len(self.numbers)), 5), np.int64)
+            room[:start] = self.numbers[:start]
+            self.numbers = room
+        self.numbers[start : len(self.written)] = np.stack([n_a, n_b, n_groups, n_links, good], axis=1)
+
+    def linked(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the linked ids of some words, one after the other, and how many each has."""
+        n = self.numbers[: len(self.written), 3]
+        starts = np.cumsum(n) - n
+        codes = np.concatenate(self.links)
+        self.links = [codes]
+        sizes = n[chosen]
+        ends = np.cumsum(sizes)
+        return codes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[chosen] - ends + sizes, sizes)], sizes
 
-    def __init__(self):
-        self.rows, self.keys, self.parts, self.links = [], [], [], 0
 
-    def add(self, keys: pa.Array, rows: list[tuple], links: list[np.ndarray]):
-        sizes = [len(x) for x in links]
-        codes, places = np.unique(np.concatenate(links) if links else np.zeros(0, np.int64), return_inverse=True)
-        counts = np.bincount(places, minlength=len(codes))
-        self.keys.append(keys)
-        self.rows += rows
-        self.parts.append((codes, counts, places, sizes))
-        self.links += len(places)
-
-    def closed(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        codes, where = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([p[1] for p in self.parts]), len(codes)).astype(np.int64)
-        found, at = [], 0
-        for own, _, places, sizes in self.parts:
-            moved = where[at : at + len(own)][places].astype("<u4")
-            at += len(own)
-            ends = np.cumsum(sizes).tolist()
-            found += [moved[e - n : e].tobytes() for e, n in zip(ends, sizes)]
-        return codes, counts, found
+COUNTED = ("n_a", "n_b", "n_groups", "n_links")
+LISTED = ("words", "pairs", "pair_links", "word_pairs", "word_sizes")
 
 
-COUNTED = ("n_a", "n_b", "n_groups", "n_links")
+class _Block:
+    """Texts as places of their words."""
 
+    def __init__(self):
+        self.keys, self.rows, self.texts, self.words = [], [], [], 0
 
-def _aligner(a: str, b: str, segment_chars: int, batch_bytes: int, block_links: int, names: list[str], kind: pa.DataType):
-    def rows_of(block: _Block, number: int):
-        codes, counts, links = block.closed()
-        keys = pa.concat_arrays(block.keys)
-        for lo in range(0, len(links), 500):
-            some = block.rows[lo : lo + 500]
+    def add(self, keys: pa.Array, texts: list[list[str]], known: Words):
+        self.keys.append(keys)
+        for words in texts:
+            places = list(map(known.place.__getitem__, words))
+            at = np.array(places, np.int64)
+            own = known.numbers[at].sum(axis=0).tolist()
+            if own[4] < len(places):
+                own, at, places = [0] * 5, at[:0], []
+            digest = hashlib.sha256(b"".join(map(known.written.__getitem__, places))[:-1]).hexdigest() if places else ""
+            self.rows.append((*own[:4], digest))
+            self.texts.append(at)
+            self.words += len(places)
+
+    def batches(self, number: int, known: Words, names: list[str], kind: pa.DataType):
+        """The texts with places among the block's own words, and a row with the pairs that these link."""
+        chosen, places = np.unique(np.concatenate(self.texts), return_inverse=True)
+        times = np.bincount(places, minlength=len(chosen))
+        codes, sizes = known.linked(chosen)
+        pairs, where = np.unique(codes, return_inverse=True)
+        counts = np.bincount(where, np.repeat(times, sizes), len(pairs)).astype(np.int64)
+        keys, at = pa.concat_arrays(self.keys), 0
+        for lo in range(0, len(self.rows), 500):
+            some, texts = self.rows[lo : lo + 500], []
+            for own in self.texts[lo : lo + 500]:
+                texts.append(places[at : at + len(own)].astype("<u4").tobytes())
+                at += len(own)
             columns = [pa.array([number] * len(some), pa.int64()), keys.slice(lo, len(some))]
             columns += [pa.array([r[k] for r in some], pa.int64()) for k in range(4)]
-            columns += [pa.array([r[4] for r in some], pa.string()), pa.array(links[lo : lo + 500], pa.binary())]
-            columns += [pa.nulls(len(some), pa.binary())] * 2
+            columns += [pa.array([r[4] for r in some], pa.string()), pa.array(texts, pa.binary())]
+            columns += [pa.nulls(len(some), pa.binary())] * 4
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        lists = (pairs, counts, where.astype("<u4"), sizes.astype("<u4"))
         columns = [pa.array([number], pa.int64()), pa.nulls(1, kind), *[pa.nulls(1, pa.int64())] * 4]
         columns += [pa.nulls(1, pa.string()), pa.nulls(1, pa.binary())]
-        columns += [pa.array([codes.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())]
+        columns += [pa.array([x.tobytes()], pa.binary()) for x in lists]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
+
+def _aligner(a: str, b: str, batch_bytes: int, block_words: int, kept: int, names: list[str], kind: pa.DataType):
     def run(batches):
         from pyspark import TaskContext
 
-        pair, block = Pair.of(a, b), _Block()
+        known, block = Words(Pair.of(a, b)), _Block()
         number = TaskContext.get().partitionId() << 32
-        width = len(pair.bytes_b)
         for batch in batches:
             for part, _ in byte_slices(batch, text_sizes(batch.column(1)), batch_bytes):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                numbers = np.zeros((len(texts), 4), np.int64)
-                links: list[list[np.ndarray]] = [[] for _ in texts]
-                written: list[list[bytes]] = [[] for _ in texts]
-                for s in aligned_segments(texts, pair, segment_chars, batch_bytes):
-                    own = s.ids_a[s.i[s.together]] * width + s.ids_b[s.j[s.together]]
-                    numbers[s.row] += (len(s.ids_a), len(s.ids_b), s.n_groups, len(own))
-                    links[s.row].append(own)
-                    written[s.row].append(s.written)
-                sums = [hashlib.sha256(b"".join(w)[:-1]).hexdigest() if w else "" for w in written]
-                whole = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in links]
-                block.add(part.column(0), [(*n, h) for n, h in zip(numbers.tolist(), sums)], whole)
-                if block.links >= block_links:
-                    yield from rows_of(block, number)
+                texts = [words_of(t or "", known.pair.cuts) for t in part.column(1).to_pylist()]
+                known.learn(texts, batch_bytes)
+                block.add(part.column(0), texts, known)
+                if block.words >= block_words:
+                    yield from block.batches(number, known, names, kind)
                     block, number = _Block(), number + 1
+                    known = Words(known.pair) if len(known.place) > kept else known
         if block.rows:
-            yield from rows_of(block, number)
+            yield from block.batches(number, known, names, kind)
 
     return run
 
@@ -436,9 +499,9 @@ def alignment_summary(
     b: str,
     key: str = "doc_id",
     text: str = "text",
-    segment_chars: int = SEGMENT_CHARS,
     batch_bytes: int = BATCH_BYTES,
-    block_links: int = BLOCK_LINKS,
+    block_words: int = BLOCK_WORDS,
+    kept: int = KEPT,
 ) -> DataFrame:
     """One row for each text: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
@@ -454,10 +517,10 @@ def alignment_summary(
         [T.StructField("block", T.LongType()), T.StructField("doc_id", key_type)]
         + [T.StructField(n, T.LongType()) for n in COUNTED]
         + [T.StructField("groups_sha256", T.StringType())]
-        + [T.StructField(n, T.BinaryType()) for n in ("links", "pairs", "pair_links")]
+        + [T.StructField(n, T.BinaryType()) for n in LISTED]
     )
     rows = _chosen(documents, key, text)
-    run = _aligner(a, b, segment_chars, batch_bytes, block_links, schema.names, pa.schema(rows.limit(0).toArrow().schema).field(0).type)
+    run = _aligner(a, b, batch_bytes, block_words, kept, schema.names, pa.schema(rows.limit(0).toArrow().schema).field(0).type)
     path = new_path(spark, "aligned-blocks")
     rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     blocks = spark.read.schema(schema).parquet(path)
@@ -465,21 +528,26 @@ def alignment_summary(
     width = sentencepiece.SentencePieceProcessor(model_file=b).get_piece_size()
     pairs = pair_counts(blocks)
     placed = pairs.join(ranked_pairs(pairs, width), "pair").select("block", "place", "count", "best")
-    texts = blocks.where("pairs IS NULL").select("block", "doc_id", *COUNTED, "groups_sha256", "links")
     out = T.StructType([f for f in schema if f.name in ("doc_id", *COUNTED)] + [T.StructField(n, T.LongType()) for n in ("n_best", "count_sum")] + [schema["groups_sha256"]])
+    texts = blocks.drop("pairs", "pair_links")
     return texts.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(_looked_up, out)
 
 
-def _looked_up(texts: pa.Table, placed: pa.Table) -> pa.Table:
-    """Texts of a block with the sums over their links."""
-    place = placed.column("place").to_numpy()
-    count, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-    count[place], best[place] = placed.column("count").to_numpy(), placed.column("best").to_numpy()
-    n_best, sums = [], []
-    for links in texts.column("links"):
-        own = np.frombuffer(links.as_buffer(), "<u4")
-        n_best.append(int(best[own].sum()))
-        sums.append(int(count[own].sum()))
+def _looked_up(rows: pa.Table, placed: pa.Table) -> pa.Table:
+    """Texts of a block with the sums over their links, by pairs, words and texts."""
+    at = np.argsort(placed.column("place").to_numpy())
+    listed = rows.filter(pc.is_valid(rows.column("word_pairs")))
+    where, sizes = (np.frombuffer(listed.column(c)[0].as_buffer(), "<u4") for c in ("word_pairs", "word_sizes"))
+    sums = []
+    for column in ("best", "count"):
+        of_pair = placed.column(column).to_numpy().astype(np.int64)[at]
+        sums.append(summed_by(of_pair[where], sizes.astype(np.int64)))
+    texts = rows.filter(pc.is_valid(rows.column("words")))
+    found = [[], []]
+    for words in texts.column("words"):
+        own = np.frombuffer(words.as_buffer(), "<u4")
+        for of_word, kept in zip(sums, found):
+            kept.append(int(of_word[own].sum()))
     columns = [texts.column(c) for c in ("doc_id", *COUNTED)]
-    columns += [pa.array(n_best, pa.int64()), pa.array(sums, pa.int64()), texts.column("groups_sha256")]
+    columns += [*[pa.array(f, pa.int64()) for f in found], texts.column("groups_sha256")]
     return pa.table(columns, names=["doc_id", *COUNTED, "n_best", "count_sum", "groups_sha256"])

@@ -117,7 +117,7 @@ def test_links_of_lengths():
         assert list(zip(shared.rows.tolist(), shared.indices.tolist())) == pairs and set(shared.data) == {1}
 
 
-@pytest.mark.parametrize("sizes", [{}, {"segment_chars": 20, "batch_bytes": 100, "block_links": 50}, {"segment_chars": 1, "batch_bytes": 1, "block_links": 1}])
+@pytest.mark.parametrize("sizes", [{}, {"batch_bytes": 100, "block_words": 20, "kept": 9}, {"batch_bytes": 1, "block_words": 1, "kept": 0}])
 def test_summary(docs_of, sizes):
     ids = [*range(len(TEXTS) - 3), None, 4, 4]
     got = alignment.alignment_summary(docs_of(TEXTS, ids).repartition(3), A, B, **sizes)
@@ -145,7 +145,7 @@ def test_segments_are_the_text(docs_of):
 
 def test_hot_text_and_nothing(docs_of):
     docs = [(i, "the very same text" if i % 3 == 0 else f"text number {i} of many") for i in range(600)]
-    got = alignment.alignment_summary(docs_of([t for _, t in docs]).repartition(5), A, B, block_links=100)
+    got = alignment.alignment_summary(docs_of([t for _, t in docs]).repartition(5), A, B, block_words=100)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs)
     assert alignment.alignment_summary(docs_of([]), A, B).count() == 0 and alignment.align(docs_of([]), A, B).count() == 0
 

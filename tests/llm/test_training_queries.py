@@ -9,6 +9,7 @@ from test_alignment import brute as alignment_brute
 from test_jaccard import brute as jaccard_brute
 from test_quality import brute as quality_brute
 from test_suffix import brute as suffix_brute
+from test_whitening import compare as whitening_compare
 from tokenizers import Tokenizer
 
 from termgauge.llm import queries
@@ -57,6 +58,11 @@ def test_op5(spark, docs):
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r.base_failed and r.kept)
 
 
+def test_op11(spark):
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF_DIR}/embeddings.parquet'").fetchall()
+    whitening_compare(rows, queries.op11_whitening(spark, SF_DIR).collect(), 16)
+
+
 def test_op12(spark, docs):
     rows = sorted((tuple(r) for r in queries.op12_alignment(spark, SF_DIR).collect()), key=str)
     assert rows == alignment_brute(docs)
