@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -47,6 +46,7 @@ SEGMENT_CHARS = 1 << 16
 BATCH_BYTES = 1 << 20
 BLOCK_WORDS = 1 << 21
 KEPT = 300_000  # words that a task keeps from one block to the next
+JOINED_BYTES = 1 << 14  # of words encoded as one text
 SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 ODD_BLANK = re.compile(r"(?:^|\s) | (?:\s|$)")
 
@@ -177,15 +177,46 @@ class Pair:
         return cls._open[a, b]
 
     def encoded(self, segments: list[str]):
-        """Ids of all segments by A and by B, and how many each segment has."""
-        found = self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)
-        sides = []
-        for ids in ([x.ids for x in found], self.b.encode(segments, num_threads=1)):
-            n = np.array([len(x) for x in ids], np.int64)
-            sides.append((np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n))
-        (ids_a, n_a), (ids_b, n_b) = sides
+        """Ids of all segments by A and by B, and how many each segment has.
+
+        Segments that neither begin nor end with white space are encoded many at a time, joined by blanks;
+        where the tokens do not end with the segments, each is encoded by itself.
+        """
+        runs, size = [], JOINED_BYTES
+        for k, s in enumerate(segments):
+            joins = self.cuts and bool(s) and not s[0].isspace() and not s[-1].isspace() and "▁" not in s
+            if joins and size < JOINED_BYTES:
+                runs[-1][1] = k + 1
+                size += len(s) + 1
+            else:
+                runs.append([k, k + 1])
+                size = len(s) if joins else JOINED_BYTES
+        joined = [" ".join(segments[lo:hi]) for lo, hi in runs]
+        ends = [np.cumsum([len(s.encode()) + 1 for s in segments[lo:hi]]) for lo, hi in runs]
+        out = []
+        for encode, lengths in ((self._encode_a, self.length_a), (self._encode_b, self.length_b)):
+            ids, n = [], []
+            for (lo, hi), whole, own in zip(runs, ends, encode(joined)):
+                found = np.array(own, np.int64)
+                if hi - lo == 1:
+                    n.append([len(found)])
+                elif (last := last_tokens(lengths[found], whole)) is not None:
+                    n.append(np.diff(last + 1, prepend=0))
+                else:
+                    single = encode(segments[lo:hi])
+                    found = np.array([i for x in single for i in x], np.int64)
+                    n.append([len(x) for x in single])
+                ids.append(found)
+            out.append((np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(n).astype(np.int64) if n else np.zeros(0, np.int64)))
+        (ids_a, n_a), (ids_b, n_b) = out
         return ids_a, ids_b, n_a, n_b
 
+    def _encode_a(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+    def _encode_b(self, texts: list[str]) -> list[list[int]]:
+        return self.b.encode(texts, num_threads=1)
+
     def spelled(self, segments: list[bytes], ids_a, ids_b, n_a, n_b) -> np.ndarray:
         """Whether both token rows of each segment spell it."""
         whole = b"".join(segments)
@@ -201,6 +232,15 @@ class Pair:
         return good
 
 
+def last_tokens(lengths: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+    """The token that ends at each of ``ends``; None if one ends elsewhere or tokens go on."""
+    at = np.cumsum(lengths)
+    if not len(at) or at[-1] != ends[-1]:
+        return None
+    found = np.searchsorted(at, ends)
+    return found if (at[found] == ends).all() else None
+
+
 def summed_by(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of ``n`` values."""
     total = np.concatenate([[0], np.cumsum(values)])

@@ -431,15 +431,24 @@ def one_of_each_group(
     groups_of = jaccard_groups(documents, key, text, k, percent)
     group = F.struct("component_id", F.when(F.col("component_id").isNull() | (F.col("n_shingles") == 0), F.col("text_hash")))
     firsts = groups_of.groupBy(group.alias("group")).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    firsts = firsts.select(F.col("first.doc_id").alias("_key"), F.col("first.text_hash").alias("_hash")).distinct()
-    own = documents.withColumns({"_own": F.col(f"`{key}`").cast("bigint"), "_text": F.xxhash64(F.col(f"`{text}`"))})
+    taken = {c.lower() for c in documents.columns}
+    own_key, own_hash, first_key, first_hash, number = (unused(taken, n) for n in ("own_key", "own_hash", "first_key", "first_hash", "number"))
+    firsts = firsts.select(F.col("first.doc_id").alias(first_key), F.col("first.text_hash").alias(first_hash)).distinct()
+    own = documents.withColumns({own_key: F.col(f"`{key}`").cast("bigint"), own_hash: F.xxhash64(F.col(f"`{text}`"))})
     own = squeezed(own, text)
-    kept = own.join(firsts, own["_own"].eqNullSafe(firsts["_key"]) & (own["_text"] == firsts["_hash"]), "left_semi")
-    once = Window.partitionBy("_own", "_text").orderBy(F.lit(0))
-    kept = kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_own", "_text", "_n")
+    kept = own.join(firsts, own[own_key].eqNullSafe(firsts[first_key]) & (own[own_hash] == firsts[first_hash]), "left_semi")
+    once = Window.partitionBy(own_key, own_hash).orderBy(F.lit(0))
+    kept = kept.withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).drop(own_key, own_hash, number)
     return expanded(kept, text)
 
 
+def unused(taken: set[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def _run_stars(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
     dealt = rows.repartition("key", "pair").sortWithinPartitions("key", "pair")
     return dealt.mapInArrow(_stars(percent, exact), "a bigint, b bigint")

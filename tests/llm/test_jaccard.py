@@ -145,3 +145,11 @@ def test_components(spark):
         up[max(x, y)] = min(x, y)
     assert got == {i: root(i) for e in edges for i in e if e[0] != e[1]}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_columns_of_the_caller_stay(spark):
+    names = ["doc_id", "text", "_own", "_text", "_n", "own_key", "OWN_HASH", "_own_key", "number", "first_key"]
+    rows = [(i, t, *[f"{c}{i}" for c in names[2:]]) for i, t in enumerate(["a b c d e f", "a b c d e f", "other words are here now"])]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names[2:]])
+    kept = jaccard.one_of_each_group(docs, k=2)
+    assert kept.columns == names and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
