@@ -67,31 +67,64 @@ def to_int(token: Column) -> Column:
     return F.coalesce(ascii_value, F.translate(token, source, target).try_cast("bigint"))
 
 
+LITERAL = r"(?:[A-Za-z0-9_-]|\\[^\w\s])+"
+MOST_ALTERNATIVES = 100
+# Further characters that fold to i, k and s.
+FOLDED = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}
+
+
 class Keywords:
-    """Keywords to look for: ``(regex fragment, may have a plural s)`` pairs."""
+    """Keywords to look for: ``(regex fragment, may have a plural s)`` pairs.
+
+    Up to ``MOST_ALTERNATIVES`` of them are one regular expression. A longer list of literal fragments becomes
+    two sets of folded forms, one of the keywords and one of their plurals, which a token is looked up in by
+    hash, so its cost does not grow with the list.
+    """
 
     def __init__(self, specs: Sequence[tuple[str, bool]]):
         self.specs = list(specs)
+        self.literal = all(re.fullmatch(LITERAL, fragment) for fragment, _ in self.specs)
+        self.listed = self.literal and len(self.specs) > MOST_ALTERNATIVES
+        if self.listed:
+            self._plain, self._plural = self._forms()
+            return
         body = "|".join(f"({fragment}){'s?' if plural else ''}" for fragment, plural in self.specs)
         self.pattern = f"(?iu)^(?:{body})$"
         groups = re.compile(body).groups
         self._stem = "".join(f"${g}" for g in range(1, groups + 1))
         self._first = self._first_characters()
 
+    def _forms(self) -> tuple[set[str], set[str]]:
+        """Folded forms that are keywords, and those that are a keyword with its s; the first keyword that
+        a form belongs to decides."""
+        stem: dict[str, bool] = {}
+        for fragment, plural in self.specs:
+            word = re.sub(r"\\(.)", r"\1", fragment).lower()
+            stem.setdefault(word, True)
+            if plural:
+                stem.setdefault(word + "s", False)
+        return {w for w, own in stem.items() if own}, {w for w, own in stem.items() if not own}
+
     def _first_characters(self) -> list[str] | None:
         """Characters a match can begin with, or None if a fragment is more than a literal."""
+        if not self.literal:
+            return None
         first: set[str] = set()
         for fragment, _ in self.specs:
-            if not re.fullmatch(r"(?:[A-Za-z0-9_-]|\\[^\w\s])+", fragment):
-                return None
             c = fragment.lstrip("\\")[0]
             first |= {c.lower(), c.upper()}
-        # The further characters that fold to i, k and s.
-        folded = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}
-        return sorted(first | {f for c in first for f in folded.get(c, "")})
+        return sorted(first | {f for c in first for f in FOLDED.get(c, "")})
+
+    @staticmethod
+    def _folded(token: Column) -> Column:
+        letters = "".join(map(chr, range(ord("a"), ord("z") + 1)))
+        others = "".join(f for c in FOLDED.values() for f in c)
+        return F.translate(token, letters.upper() + others, letters + "".join(c * len(f) for c, f in FOLDED.items()))
 
     def found(self, token: Column) -> Column:
         """Whether the whole token is one of the keywords."""
+        if self.listed:
+            return _is_in(self._folded(token), self._plain | self._plural)
         found = token.rlike(self.pattern)
         if self._first is not None:
             found = F.substring(token, 1, 1).isin(self._first) & found
@@ -99,6 +132,9 @@ class Keywords:
 
     def stem(self, token: Column) -> Column:
         """A keyword token in lower case and without the plural s."""
+        if self.listed:
+            plural = _is_in(self._folded(token), self._plural)
+            return F.lower(F.when(plural, F.left(token, F.length(token) - 1)).otherwise(token))
         return F.lower(F.regexp_replace(token, self.pattern, self._stem))
 
     def match(self, token: Column) -> Column:
@@ -106,6 +142,11 @@ class Keywords:
         return F.when(self.found(token), self.stem(token))
 
 
+def _is_in(token: Column, forms: set[str]) -> Column:
+    """``token IN (forms)``, which the optimizer turns into a look-up by hash."""
+    return token.isin(sorted(forms)) if forms else F.lit(False)
+
+
 # The keywords counted by default.
 DEFAULT_KEYWORDS = Keywords(
     [

@@ -9,7 +9,8 @@ in one pass over that table and only then walks the chain, which reads one numbe
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from types import MappingProxyType
 
 import numpy as np
 import pandas as pd
@@ -133,6 +134,7 @@ def logistic_curve(fit: DataFrame, by: Sequence[str] = CELL, points: int = 10_00
 
 PRIOR_PRECISION = 0.001  # fixed value, of both coefficients
 LEVELS_PER_TASK = 20_000
+CHAINS = 4
 _SPREAD = 5.0  # degrees of freedom of the proposals
 
 
@@ -141,22 +143,22 @@ def _cell_seed(cell: tuple, seed: int) -> int:
 
 
 def _proposals(row, rng: np.random.Generator, draws: int) -> tuple[np.ndarray, np.ndarray]:
-    """Draws around the mode (multivariate t, so heavier-tailed than the posterior) and their
+    """Draws around the posterior mean (multivariate t, so heavier-tailed than the posterior) and their
     log density up to a constant. The first draw is the mode."""
-    hessian = np.array([[row.h00, row.h01], [row.h01, row.h11]])
-    root = np.linalg.cholesky(np.linalg.inv(hessian))
+    root = np.linalg.cholesky(np.array([[row.v00, row.v01], [row.v01, row.v11]]))
+    mean = np.array([row.m0, row.m1])
     z = rng.standard_normal((draws, 2))
     z /= np.sqrt(rng.chisquare(_SPREAD, draws) / _SPREAD)[:, None]
-    z[0] = 0.0
+    z[0] = np.linalg.solve(root, np.array([row.mode0, row.mode1]) - mean)
     density = -(_SPREAD + 2) / 2 * np.log1p((z * z).sum(axis=1) / _SPREAD)
-    return np.array([row.coef, row.intercept]) + z @ root.T, density
+    return mean + z @ root.T, density
 
 
 class _Chains:
-    """What the tasks of a fit share: the cell columns, the draws, and the seed."""
+    """What the tasks of a fit share: the cell columns, the draws, the number of chains, and the seed."""
 
-    def __init__(self, by: list[str], draws: int, burn: int, thin: int, seed: int):
-        self.by, self.draws, self.burn, self.thin, self.seed = by, draws, burn, thin, seed
+    def __init__(self, by: list[str], draws: int, burn: int, thin: int, seed: int, chains: int):
+        self.by, self.draws, self.burn, self.thin, self.seed, self.chains = by, draws, burn, thin, seed, chains
 
     def cell(self, rows: pd.DataFrame) -> tuple:
         return tuple(rows.iloc[0][c] for c in self.by)
@@ -171,31 +173,132 @@ class _Chains:
             ll += k * eta - n * np.logaddexp(0.0, eta)
         return ll
 
-    def walk(self, rows: pd.DataFrame, ll: np.ndarray) -> np.ndarray:
-        """The kept states of the chain: coef and intercept."""
+    def walk(self, rows: pd.DataFrame, ll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The kept states of all chains, coef and intercept, and the chain of each."""
         rng = np.random.default_rng(_cell_seed(self.cell(rows), self.seed))
         proposed, density = _proposals(rows.iloc[0], rng, self.draws)
         weight = (ll - PRIOR_PRECISION / 2 * (proposed**2).sum(axis=1) - density).tolist()
         log_u = np.log(rng.random(self.draws)).tolist()
-        state = [0] * self.draws
-        here = 0
-        for i in range(self.draws):
-            if log_u[i] < weight[i] - weight[here]:
-                here = i
-            state[i] = here
-        return proposed[state[self.burn :: self.thin]]
+        each, burn = self.draws // self.chains, self.burn // self.chains
+        kept, chain = [], []
+        for c in range(self.chains):
+            here, state = c * each, []
+            for i in range(c * each, (c + 1) * each):
+                if log_u[i] < weight[i] - weight[here]:
+                    here = i
+                state.append(here)
+            kept += state[burn :: self.thin]
+            chain += [c] * len(state[burn :: self.thin])
+        return proposed[kept], np.array(chain, np.int32)
 
 
-def _likelihoods(keys: DataFrame, by: list[str], chains: _Chains, frequency: str) -> DataFrame:
-    """Per cell the mode, its Hessian, and the log likelihood of every proposal, as one array.
+# ---------------------------------------------------------------- quadrature of the posterior
+
+NODES = 12  # nodes of an axis on either side of its middle
+COARSE, FINE = 0.365, 0.25  # step of the axis before it is stretched by sinh
+
+
+def _whitened(centre: DataFrame) -> DataFrame:
+    """``centre`` with the triangular root of its covariance."""
+    return centre.withColumn("l00", F.sqrt("v00")).withColumn("l10", F.expr("v01 / l00")).withColumn("l11", F.expr("sqrt(v11 - l10 * l10)"))
+
+
+def _weighed(counts: DataFrame, centre: DataFrame, by: list[str], step: float) -> DataFrame:
+    """``by, d0, d1, weight`` and the columns of ``centre``: nodes of a grid around the centre, as far from it as
+    ``d0`` (coef) and ``d1`` (intercept), with their share of the posterior mass.
+
+    The axes follow the covariance and are stretched by sinh, so they are fine near the centre and reach
+    10 (``FINE``) or 40 (``COARSE``) spreads. Each level of a cell meets the nodes where it is read; their sums are
+    combined before they are shuffled.
+    """
+    axis = F.sequence(F.lit(-NODES), F.lit(NODES))
+    fixed = ["m0", "m1", "v00", "v01", "v11", "mode0", "mode1", "t_min", "t_max"]
+    rows = counts.join(_whitened(centre), by).withColumn("i", F.explode(axis)).withColumn("j", F.explode(axis))
+    rows = rows.selectExpr(*by, "i", "j", "t", "answers", "correct",
+        f"m0 + l00 * sinh(i * {step!r}D) AS a", f"m1 + l10 * sinh(i * {step!r}D) + l11 * sinh(j * {step!r}D) AS b")
+    rows = rows.selectExpr("*", "a * t + b AS eta")
+    sums = rows.groupBy(*by, "i", "j").agg(F.expr("sum(correct * eta - answers * (greatest(eta, 0D) + ln(1 + exp(-abs(eta)))))").alias("ll"))
+    sums = sums.join(_whitened(centre), by).selectExpr(*by, *fixed, "ll", "i", "j", f"l00 * sinh(i * {step!r}D) AS d0",
+        f"l10 * sinh(i * {step!r}D) + l11 * sinh(j * {step!r}D) AS d1")
+    sums = sums.withColumn("lp", F.expr(f"ll - {PRIOR_PRECISION / 2!r}D * ((m0 + d0) * (m0 + d0) + (m1 + d1) * (m1 + d1))"))
+    sums = materialise(sums, "posterior-nodes")
+    top = sums.groupBy(*by).agg(F.max("lp").alias("top"))
+    rows = sums.join(top, by).withColumn("w", F.expr(f"exp(lp - top) * cosh(i * {step!r}D) * cosh(j * {step!r}D)"))
+    total = rows.groupBy(*by).agg(F.sum("w").alias("total"))
+    return rows.join(total, by).selectExpr(*by, *fixed, "d0", "d1", "w / total AS weight")
+
+
+def posterior_moments(nodes: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
+    """``by, m0, m1, v00, v01, v11``: mean and covariance of coef and intercept, and ``mode0, mode1, t_min, t_max``."""
+    mean = nodes.groupBy(*by, "m0", "m1", "mode0", "mode1", "t_min", "t_max").agg(
+        F.expr("sum(weight * d0)").alias("e0"), F.expr("sum(weight * d1)").alias("e1"),
+        *[F.expr(f"sum(weight * d{p} * d{q})").alias(f"s{p}{q}") for p, q in ("00", "01", "11")],
+    )
+    return mean.selectExpr(*by, "m0 + e0 AS m0", "m1 + e1 AS m1", "s00 - e0 * e0 AS v00", "s01 - e0 * e1 AS v01",
+        "s11 - e1 * e1 AS v11", "mode0", "mode1", "t_min", "t_max")
+
+
+def posterior_nodes(keys: DataFrame, by: Sequence[str] = CELL, frequency: str = "frequency") -> DataFrame:
+    """The posterior of every cell on a grid of its own: ``by, d0, d1, weight`` around ``m0, m1`` (coef, intercept).
+
+    A wide grid at the mode, scaled by the curvature there, gives the mean and the spread of the posterior; the
+    grid that is returned stands at that mean and follows that spread. Weights of a cell add up to one.
+    """
+    by = list(by)
+    counts = materialise(sufficient_counts(keys, F.ln(frequency), by), "bayes-counts")
+    fit = newton_fit(counts, by, (PRIOR_PRECISION, PRIOR_PRECISION))
+    det = "(h00 * h11 - h01 * h01)"
+    mode = fit.selectExpr(*by, "coef AS m0", "intercept AS m1", f"h11 / {det} AS v00", f"-h01 / {det} AS v01", f"h00 / {det} AS v11",
+        "coef AS mode0", "intercept AS mode1", "t_min", "t_max")
+    centre = materialise(posterior_moments(_weighed(counts, mode, by, COARSE), by), "posterior-centre")
+    return materialise(_weighed(counts, centre, by, FINE), "posterior-fine")
+
+
+BAND = {"low": 0.025, "high": 0.975}
+
+
+def quadrature_band(
+    nodes: DataFrame, by: Sequence[str] = CELL, points: int = 100, shares: Mapping[str, float] = MappingProxyType(BAND)
+) -> DataFrame:
+    """Mean curve and quantiles of ``posterior_nodes`` on the grid of ``posterior_band``: ``by, point, frequency,
+    mean`` and a column for each of ``shares``, by default ``low, high``. A quantile lies between the two nodes
+    whose middles of mass enclose its share. A group holds the nodes of a cell, (2 NODES + 1)^2 at most."""
+    by, shares = list(by), dict(shares)
+
+    def band(cell: pd.DataFrame) -> pd.DataFrame:
+        first = cell.iloc[0]
+        t = np.linspace(first.t_min - 5, first.t_max + 5, points)
+        a, b, w = (first.m0 + cell.d0).to_numpy(), (first.m1 + cell.d1).to_numpy(), cell.weight.to_numpy()
+        mean, edges = np.empty(points), np.empty((points, len(shares)))
+        for k in range(points):
+            eta = a * t[k] + b
+            order = np.argsort(eta, kind="stable")
+            mass = w[order]
+            mean[k] = (w / (1 + np.exp(-np.clip(eta, -700, 700)))).sum()
+            edges[k] = np.interp(list(shares.values()), np.cumsum(mass) - mass / 2, eta[order])
+        p = 1 / (1 + np.exp(-np.clip(edges.T, -700, 700)))
+        own = {"point": np.arange(points, dtype=np.int32), "frequency": np.exp(t), "mean": mean, **dict(zip(shares, p))}
+        return pd.DataFrame({**{c: first[c] for c in by}, **own})
+
+    fields = [T.StructField("point", T.IntegerType())]
+    fields += [T.StructField(c, T.DoubleType()) for c in ("frequency", "mean", *shares)]
+    return nodes.groupBy(*by).applyInPandas(band, T.StructType([*[nodes.schema[c] for c in by], *fields]))
+
+
+# ---------------------------------------------------------------- chains
+
+
+def _likelihoods(keys: DataFrame, by: list[str], chains: _Chains, frequency: str, nodes: DataFrame | None) -> DataFrame:
+    """Per cell the moments of the posterior, and the log likelihood of every proposal, as one array.
 
     A cell with many distinct frequencies is cut into parts of about LEVELS_PER_TASK, whose arrays
     are summed place by place, so a task holds the arrays of one part or the sum.
     """
     counts = materialise(sufficient_counts(keys, F.ln(frequency), by), "bayes-counts")
-    fit = newton_fit(counts, by, (PRIOR_PRECISION, PRIOR_PRECISION)).drop("answers", "converged")
+    nodes = posterior_nodes(keys, by, frequency) if nodes is None else nodes
+    fit = posterior_moments(nodes, by)
     levels = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("levels"))
-    fit = materialise(fit.join(levels, by), "bayes-mode")
+    fit = materialise(fit.join(levels, by), "bayes-moments")
     cell_fields = [fit.schema[c] for c in by]
 
     def part_sums(rows: pd.DataFrame) -> pd.DataFrame:
@@ -225,13 +328,14 @@ def _likelihoods(keys: DataFrame, by: list[str], chains: _Chains, frequency: str
 DRAWS_PER_ROW = 10_000
 
 
-def _per_cell(keys: DataFrame, by: list[str], chains: _Chains, frequency: str, result, fields: list[T.StructField]):
-    rows = _likelihoods(keys, by, chains, frequency)
+def _per_cell(keys: DataFrame, chains: _Chains, frequency: str, nodes: DataFrame | None, result, fields: list[T.StructField]):
+    by = chains.by
+    rows = _likelihoods(keys, by, chains, frequency, nodes)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("block")
-        kept = chains.walk(group, np.concatenate([np.asarray(x) for x in group.ll]))
-        return pd.DataFrame({**dict(zip(by, chains.cell(group))), **result(group.iloc[0], kept)})
+        kept, chain = chains.walk(group, np.concatenate([np.asarray(x) for x in group.ll]))
+        return pd.DataFrame({**dict(zip(by, chains.cell(group))), **result(group.iloc[0], kept, chain)})
 
     schema = T.StructType([*[rows.schema[c] for c in by], *fields])
     return rows.groupBy(*by).applyInPandas(run, schema)
@@ -245,18 +349,24 @@ def bayes_logistic(
     thin: int = 2,
     seed: int = 0,
     frequency: str = "frequency",
+    chains: int = CHAINS,
+    nodes: DataFrame | None = None,
 ) -> DataFrame:
     """Posterior samples of ``P(correct) = 1 / (1 + exp(beta t + alpha))`` with t = ln frequency
-    and normal priors: ``by, draw, beta, alpha, t_min, t_max``.
+    and normal priors: ``by, chain, half, draw, beta, alpha, t_min, t_max``.
 
-    A Metropolis chain per cell, started at the mode. Proposals do not depend on the state of
-    the chain, so the log likelihood of all of them is computed over the parts of the count
-    table first; the chain then reads ``draws`` numbers per cell. Note that beta has the opposite
-    sign of ``coef``.
+    ``chains`` Metropolis chains per cell share the draws and the burn-in; the first starts at the mode. ``half``
+    is the half of its chain that a sample belongs to, for ``chain_diagnostics``. Proposals have the mean and the
+    covariance of ``nodes`` (by default ``posterior_nodes`` of the same keys) and do not depend on the state of
+    a chain, so the log likelihood of all of them is computed over the parts of the count table first; the
+    chains then read ``draws`` numbers per cell. Note that beta has the opposite sign of ``coef``.
     """
 
-    def samples(first, kept: np.ndarray) -> dict:
+    def samples(first, kept: np.ndarray, chain: np.ndarray) -> dict:
+        each = len(kept) // chains
         return {
+            "chain": chain,
+            "half": (np.arange(len(kept)) % each * 2 // each).astype(np.int32),
             "draw": np.arange(len(kept), dtype=np.int64),
             "beta": -kept[:, 0],
             "alpha": -kept[:, 1],
@@ -264,9 +374,45 @@ def bayes_logistic(
             "t_max": first.t_max,
         }
 
-    fields = [T.StructField("draw", T.LongType())]
+    fields = [T.StructField("chain", T.IntegerType()), T.StructField("half", T.IntegerType()), T.StructField("draw", T.LongType())]
     fields += [T.StructField(c, T.DoubleType()) for c in ("beta", "alpha", "t_min", "t_max")]
-    return _per_cell(keys, list(by), _Chains(list(by), draws, burn, thin, seed), frequency, samples, fields)
+    return _per_cell(keys, _Chains(list(by), draws, burn, thin, seed, chains), frequency, nodes, samples, fields)
+
+
+BATCH = 50  # draws of a batch for the effective sample size
+
+
+def chain_diagnostics(samples: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
+    """``by, samples`` and for beta and alpha ``<name>_mean, <name>_sd, <name>_rhat, <name>_ess``.
+
+    Split R-hat compares the spread between half chains with that within them. The effective sample size
+    follows from the spread of the means of batches of ``BATCH`` draws. Both come from counts, means and
+    variances of batches, which are combined upwards: batches, half chains, cells.
+    """
+    by = list(by)
+    names = ("beta", "alpha")
+    batch = (F.col("draw") / BATCH).cast("bigint").alias("batch")
+    rows = samples.select(*by, "chain", "half", batch, *names).groupBy(*by, "chain", "half", "batch")
+    rows = rows.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{k}") for c in names for k, f in (("m", F.avg), ("v", F.var_pop))])
+    wide = {c: F.expr(f"sum(n * {c}_m) / sum(n)") for c in names}
+    halves = rows.groupBy(*by, "chain", "half").agg(
+        F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("batches"),
+        *[e.alias(f"{c}_m") for c, e in wide.items()],
+        # Spread within batches, and of their means, around the mean of the first level.
+        *[F.expr(f"sum(n * {c}_v) / sum(n) + var_pop({c}_m)").alias(f"{c}_v") for c in names],
+        *[F.expr(f"sum(n) / count(1) * var_samp({c}_m)").alias(f"{c}_b") for c in names],
+    )
+    out = [F.sum("n").alias("samples")]
+    for c in names:
+        within, between = f"avg({c}_v)", f"var_samp({c}_m)"
+        out += [
+            F.expr(f"sum(n * {c}_m) / sum(n)").alias(f"{c}_mean"),
+            F.expr(f"sqrt({within} + var_pop({c}_m))").alias(f"{c}_sd"),
+            F.expr(f"sqrt(({within} + {between}) / {within})").alias(f"{c}_rhat"),
+            F.expr(f"sum(n) * {within} / avg({c}_b)").alias(f"{c}_ess"),
+        ]
+    return halves.groupBy(*by).agg(*out)
 
 
 def bayes_band(
@@ -278,11 +424,13 @@ def bayes_band(
     seed: int = 0,
     frequency: str = "frequency",
     points: int = 100,
+    chains: int = CHAINS,
+    nodes: DataFrame | None = None,
 ) -> DataFrame:
     """``posterior_band`` of ``bayes_logistic``, evaluated where the chain was walked: the samples
     of a cell, bounded by the draws, do not leave their task."""
 
-    def band(first, kept: np.ndarray) -> dict:
+    def band(first, kept: np.ndarray, chain: np.ndarray) -> dict:
         t = np.linspace(first.t_min - 5, first.t_max + 5, points)
         p = 1 / (1 + np.exp(-np.clip(kept[:, :1] * t + kept[:, 1:], -700, 700)))
         p.sort(axis=0)
@@ -304,7 +452,7 @@ def bayes_band(
 
     fields = [T.StructField("point", T.IntegerType())]
     fields += [T.StructField(c, T.DoubleType()) for c in ("frequency", "mean", "low", "high")]
-    return _per_cell(keys, list(by), _Chains(list(by), draws, burn, thin, seed), frequency, band, fields)
+    return _per_cell(keys, _Chains(list(by), draws, burn, thin, seed, chains), frequency, nodes, band, fields)
 
 
 def posterior_band(samples: DataFrame, by: Sequence[str] = CELL, points: int = 100) -> DataFrame:

@@ -159,13 +159,17 @@ class Tables:
             self._written[name] = materialise(build(), name)
         return self._written[name]
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows over as many files as the session has shuffle partitions, however the given file is cut."""
+        return rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
     @property
     def lines(self) -> DataFrame:
-        return self._once("lines", lambda: line_corpus(self.spark, self.sf_dir))
+        return self._once("lines", lambda: self._dealt(line_corpus(self.spark, self.sf_dir)))
 
     @property
     def documents(self) -> DataFrame:
-        return self._once("documents", lambda: document_corpus(self.spark, self.sf_dir))
+        return self._once("documents", lambda: self._dealt(document_corpus(self.spark, self.sf_dir)))
 
     @property
     def corpus(self) -> DataFrame:

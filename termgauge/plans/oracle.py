@@ -655,8 +655,66 @@ UNION ALL SELECT {CELL}, 'logistic', CAST(point AS VARCHAR), probability, NULL,
 _total = lambda c: f"round(sum({c} * (length(point) % 5 + 1)) + 1e-9, 3) + 0.0 AS {c}"
 QUERIES["freq_accuracy_series"] = f"""SELECT {CELL}, series, count(*) AS n, {_total('value')}, {_total('low')}, {_total('high')}
   FROM series GROUP BY {CELL}, series"""
-QUERIES["posterior_band"] = f"""SELECT {CELL}, CAST(100 AS BIGINT) AS points, {_r('lowest highest')}, true AS in_order FROM (
-  SELECT {CELL}, exp(min(ln(frequency)) - 5) AS lowest, exp(max(ln(frequency)) + 5) AS highest FROM keys GROUP BY {CELL})"""
+# The posterior by quadrature: mode, a wide grid there, its moments, a finer grid that follows them.
+CTES["bsuff"] = f"""
+SELECT {CELL}, ln(frequency) AS t, CAST(sum(answers) AS DOUBLE) AS n, CAST(sum(correct) AS DOUBLE) AS k
+FROM keys GROUP BY {CELL}, ln(frequency)"""
+CTES["bcells"] = f"SELECT {CELL}, sum(n) AS answers, sum(k) AS correct, min(t) AS t_min, max(t) AS t_max FROM bsuff GROUP BY {CELL}"
+CTES["newton_prior"] = f"""
+SELECT 0 AS step, {CELL}, 0.0::DOUBLE AS coef, ln((correct + 0.5) / (answers - correct + 0.5)) AS intercept, t_min, t_max,
+  0.0::DOUBLE AS h00, 0.0::DOUBLE AS h01, 0.0::DOUBLE AS h11 FROM bcells
+UNION ALL
+SELECT step + 1, {CELL}, coef - d * s0, intercept - d * s1, t_min, t_max, h00, h01, h11 FROM (
+  SELECT *, least(1.0, 4.0 / greatest(abs(s0 * t_min + s1), abs(s0 * t_max + s1), 1e-300)) AS d FROM (
+    SELECT *, (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS s0, (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS s1 FROM (
+      SELECT step, {CELL}, coef, intercept, t_min, t_max, sum((n * p - k) * t) + 0.001 * coef AS g0, sum(n * p - k) + 0.001 * intercept AS g1,
+        sum(n * p * (1 - p) * t * t) + 0.001 AS h00, sum(n * p * (1 - p) * t) AS h01, sum(n * p * (1 - p)) + 0.001 AS h11
+      FROM (SELECT z.*, s.t, s.n, s.k, 1 / (1 + exp(-(coef * t + intercept))) AS p FROM newton_prior z JOIN bsuff s USING ({CELL}))
+      WHERE step < {2 * STEPS} GROUP BY step, {CELL}, coef, intercept, t_min, t_max)))"""
+CTES["bmode"] = f"""
+SELECT {CELL}, coef AS m0, intercept AS m1, t_min, t_max, h11 / det AS v00, -h01 / det AS v01, h00 / det AS v11
+FROM (SELECT *, h00 * h11 - h01 * h01 AS det FROM newton_prior WHERE step = {2 * STEPS})"""
+
+
+def _weighed(centre: str, step: float) -> str:
+    sinh = lambda i: f"((exp({i} * {step}::DOUBLE) - exp(-{i} * {step}::DOUBLE)) / 2)"
+    cosh = lambda i: f"((exp({i} * {step}::DOUBLE) + exp(-{i} * {step}::DOUBLE)) / 2)"
+    return f"""
+SELECT {CELL}, m0, m1, t_min, t_max, d0, d1, w / sum(w) OVER (PARTITION BY {CELL}) AS weight FROM (
+  SELECT *, exp(lp - max(lp) OVER (PARTITION BY {CELL})) * {cosh('i')} * {cosh('j')} AS w FROM (
+    SELECT {CELL}, i, j, m0, m1, t_min, t_max, d0, d1, sum(k * eta - n * (greatest(eta, 0) + ln(1 + exp(-abs(eta)))))
+      - 0.0005 * ((m0 + d0) * (m0 + d0) + (m1 + d1) * (m1 + d1)) AS lp
+    FROM (SELECT *, (m0 + d0) * t + m1 + d1 AS eta FROM (
+      SELECT *, l00 * {sinh('i')} AS d0, v01 / l00 * {sinh('i')} + sqrt(v11 - v01 * v01 / v00) * {sinh('j')} AS d1
+      FROM (SELECT *, sqrt(v00) AS l00 FROM {centre}), range(-12, 13) x(i), range(-12, 13) y(j)) JOIN bsuff USING ({CELL}))
+    GROUP BY {CELL}, i, j, m0, m1, t_min, t_max, d0, d1))"""
+
+
+_MOMENTS = f"""
+SELECT {CELL}, m0 + e0 AS m0, m1 + e1 AS m1, t_min, t_max, s00 - e0 * e0 AS v00, s01 - e0 * e1 AS v01, s11 - e1 * e1 AS v11 FROM (
+  SELECT {CELL}, m0, m1, t_min, t_max, sum(weight * d0) AS e0, sum(weight * d1) AS e1, sum(weight * d0 * d0) AS s00,
+    sum(weight * d0 * d1) AS s01, sum(weight * d1 * d1) AS s11 FROM {{0}} GROUP BY {CELL}, m0, m1, t_min, t_max)"""
+CTES["bcoarse"] = _weighed("bmode", 0.365)
+CTES["bcentre"] = _MOMENTS.format("bcoarse")
+CTES["bfine"] = _weighed("bcentre", 0.25)
+CTES["bmoments"] = _MOMENTS.format("bfine")
+QUERIES["bayes_logistic"] = f"""SELECT {CELL}, CAST(10000 AS BIGINT) AS samples, {_r('beta beta_sd alpha alpha_sd')}, true AS mixed, true AS near FROM (
+  SELECT {CELL}, -m0 AS beta, sqrt(v00) AS beta_sd, -m1 AS alpha, sqrt(v11) AS alpha_sd FROM bmoments)"""
+
+
+def _quantile(q: str) -> str:
+    below, above = f"FILTER (pos <= {q})", f"FILTER (pos > {q})"
+    return f"""CASE WHEN max(pos) {below} IS NULL THEN min(eta) {above} WHEN min(pos) {above} IS NULL THEN max(eta) {below}
+      ELSE max(eta) {below} + ({q} - max(pos) {below}) / (min(pos) {above} - max(pos) {below}) * (min(eta) {above} - max(eta) {below}) END"""
+
+
+QUERIES["posterior_band"] = f"""SELECT {CELL}, point, {_r('frequency mean low high')}, true AS near FROM (
+  SELECT {CELL}, CAST(point AS INTEGER) AS point, exp(t) AS frequency, mean, 1 / (1 + exp(-low)) AS low, 1 / (1 + exp(-high)) AS high FROM (
+    SELECT {CELL}, point, t, sum(weight / (1 + exp(-eta))) AS mean, {_quantile('0.025')} AS low, {_quantile('0.975')} AS high FROM (
+      SELECT *, sum(weight) OVER (PARTITION BY {CELL}, point ORDER BY eta ROWS UNBOUNDED PRECEDING) - weight / 2 AS pos FROM (
+        SELECT *, (m0 + d0) * t + m1 + d1 AS eta FROM (
+          SELECT *, t_min - 5 + (t_max - t_min + 10) * point / 99.0::DOUBLE AS t FROM bfine, range(0, 100) p(point))))
+    GROUP BY {CELL}, point, t))"""
 
 
 def statement(query: str) -> str:
@@ -675,9 +733,9 @@ def statement(query: str) -> str:
     visit(query)
     if not needed:
         return query
-    kept = lambda name: "" if name == "newton" else "MATERIALIZED "
+    kept = lambda name: "" if name.startswith("newton") else "MATERIALIZED "
     defined = ",\n".join(f"{name} AS {kept(name)}({CTES[name]})" for name in needed)
-    return f"WITH {'RECURSIVE ' if 'newton' in needed else ''}{defined}\n{query}"
+    return f"WITH {'RECURSIVE ' if any(name.startswith('newton') for name in needed) else ''}{defined}\n{query}"
 
 
 def oracle_sql() -> dict[str, str]:

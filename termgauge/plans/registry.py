@@ -556,25 +556,33 @@ def _(t):
 
 @query("bayes_logistic")
 def _(t):
-    samples = models.bayes_logistic(t.keys)
-    return samples.groupBy(*acc.CELL).agg(
-        n_rows("samples"),
-        F.avg("beta").alias("beta"),
-        F.stddev("beta").alias("beta_sd"),
-        F.avg("alpha").alias("alpha"),
-        F.stddev("alpha").alias("alpha_sd"),
-    )
+    """Moments of the posterior, and whether the chains agree with each other and with them."""
+    nodes = models.posterior_nodes(t.keys)
+    known = models.posterior_moments(nodes).selectExpr(*acc.CELL, "-m0 AS beta", "sqrt(v00) AS beta_sd", "-m1 AS alpha", "sqrt(v11) AS alpha_sd")
+    walked = models.chain_diagnostics(models.bayes_logistic(t.keys, nodes=nodes))
+    rows = walked.withColumnsRenamed({"beta_sd": "beta_spread", "alpha_sd": "alpha_spread"}).join(known, list(acc.CELL))
+    mixed = " AND ".join(f"{c}_rhat < 1.01 AND {c}_ess > 1000" for c in ("beta", "alpha"))
+    near = " AND ".join(f"abs({c}_mean - {c}) < 0.1 * {c}_sd AND abs({c}_spread / {c}_sd - 1) < 0.1" for c in ("beta", "alpha"))
+    truths = [F.expr(mixed).alias("mixed"), F.expr(near).alias("near")]
+    return rounded(rows.select(*acc.CELL, "samples", "beta", "beta_sd", "alpha", "alpha_sd", *truths))
 
 
 @query("posterior_band")
 def _(t):
-    band = models.bayes_band(t.keys)
-    return rounded(band.groupBy(*acc.CELL).agg(
-        n_rows("points"),
-        F.min("frequency").alias("lowest"),
-        F.max("frequency").alias("highest"),
-        F.bool_and((F.col("low") >= 0) & (F.col("low") <= F.col("high")) & (F.col("high") <= 1)).alias("in_order"),
-    ))
+    """The band by quadrature, and whether the chains agree with it.
+
+    ``near``: their mean lies within 0.05 of it, and the ends of their band have between 0.5 and 6.5 % of its
+    mass beyond them. Where a posterior is split between both ends of the scale, 2.5 % is a cliff, and values
+    of two estimates can differ by any amount while their masses do not.
+    """
+    nodes = models.posterior_nodes(t.keys)
+    walked = models.bayes_band(t.keys, nodes=nodes).select(*acc.CELL, "point", *[F.col(c).alias(f"{c}_walked") for c in ("mean", "low", "high")])
+    shares = {**models.BAND, "least_low": 0.005, "most_low": 0.065, "least_high": 0.935, "most_high": 0.995}
+    rows = models.quadrature_band(nodes, shares=shares).join(walked, [*acc.CELL, "point"])
+    near = F.abs(F.col("mean") - F.col("mean_walked")) <= 0.05
+    for end in ("low", "high"):
+        near = near & F.col(f"{end}_walked").between(F.col(f"least_{end}") - 1e-9, F.col(f"most_{end}") + 1e-9)
+    return rounded(rows.select(*acc.CELL, "point", "frequency", "mean", "low", "high", near.alias("near")))
 
 
 def farthest_pairs(t: Tables, key_type: str, n: int = 100) -> DataFrame:

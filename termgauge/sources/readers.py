@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termgauge.functions import dimensions as dims
@@ -92,14 +93,20 @@ def constant_frequency(spark: SparkSession, low: int = 0, high: int = 99, freque
     )
 
 
-def read_results(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True) -> DataFrame:
+def read_results(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Graded answers from CSV files with dotted column names: flat names, is_correct as 0/1,
     operands and frequency as numbers. Columns beyond the known ones are kept as strings.
 
-    A number or truth value that cannot be read is an error, and so is a broken line. Fields with
-    line feeds need ``multi_line``, with which a file is read by one task; without, files are split.
+    A number or truth value that cannot be read is an error, and so are a broken record and files with
+    different headers. Fields may hold line feeds; files are split nevertheless (``csv_records``).
     """
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', mode="FAILFAST")
+    names = spark.read.csv(path, header=True, quote='"', escape='"').columns
+    options = {"quote": '"', "escape": '"', "mode": "FAILFAST"}
+    values = F.from_csv("record", ", ".join(f"`{n}` string" for n in names), options)
+    rows = csv_records(spark, path).withColumn("row", values)
+    same = F.array(*[F.coalesce(F.col(f"row.`{n}`"), F.lit("")) for n in names]) == F.array(*[F.lit("" if n.startswith("_c") else n) for n in names])
+    bad = F.raise_error(F.concat(F.lit("another header: "), F.col("record"))).cast("boolean")
+    raw = rows.where(~F.when(F.col("first"), F.when(same, True).otherwise(bad)).otherwise(False)).select("row.*")
     known = {dotted: flat for dotted, flat in RESULT_COLUMNS.items() if dotted in raw.columns}
     numeric = {"x": "bigint", "y": "bigint", "z": "bigint", "frequency": "bigint"}
     others = [c for c in raw.columns if c not in known and not c.startswith("_c") and c != "Unnamed: 0"]
@@ -118,6 +125,83 @@ def read_results(spark: SparkSession, path: str | Sequence[str], multi_line: boo
     return raw.select(*[F.col(f"`{c}`") for c in others], *columns)
 
 
+# ---------------------------------------------------------------- CSV records over splits
+
+LARGEST = 1_000_000  # splits whose parities are sent to every task: a name, a number and a bit for each
+
+
+def csv_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The records of CSV files whose fields may hold line feeds: ``record`` (without its end of line) and
+    ``first`` (of its file). Files are read in splits like any text.
+
+    A line feed ends a record unless an odd number of quotes precedes it in the file. Pass one counts the
+    quotes of every split; their running parity over a file tells each split whether it begins within a
+    field. Pass two puts the lines of each split together. What is left of a record at the edges of splits, two
+    pieces of each at most, is joined by the split that the record began in.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = lines.select(*place, "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    counted = lines.groupBy("file", "start").agg((F.sum(quotes) % 2).alias("odd"))
+    order = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    inside = (F.coalesce(F.sum("odd").over(order), F.lit(0)) % 2) == 1
+    splits = counted.select("file", "start", inside.alias("inside"), ((inside.cast("int") + F.col("odd")) % 2 == 1).alias("open"))
+    found = splits.limit(LARGEST + 1).collect()
+    if len(found) > LARGEST:
+        raise ValueError(f"more than {LARGEST} splits; raise spark.sql.files.maxPartitionBytes")
+    last = {r.file: r for r in sorted(found, key=lambda r: r.start)}
+    if unclosed := [r.file for r in last.values() if r.open]:
+        raise ValueError(f"a quote is never closed: {unclosed[0]}")
+    begins = spark.sparkContext.broadcast({(r.file, r.start): r.inside for r in found})
+    rows = lines.mapInArrow(_records_of(begins), "record string, first boolean, file string, start bigint, kind int")
+    edges = rows.where(F.col("kind") != WHOLE)
+    before = Window.partitionBy("file").orderBy("start", "kind")
+    edges = edges.withColumn("owner", F.last(F.when(F.col("kind") == BEGUN, F.col("start")), ignorenulls=True).over(before))
+    pieces = F.array_sort(F.collect_list(F.struct("start", "kind", "record")))
+    joined = edges.groupBy("file", "owner").agg(F.array_join(F.transform(pieces, lambda p: p["record"]), "\n").alias("record"), F.bool_or("first").alias("first"))
+    whole = rows.where(F.col("kind") == WHOLE).select("record", "first").unionByName(joined.select("record", "first"))
+    return whole.select(F.regexp_replace("record", "\r$", "").alias("record"), "first").where("record <> ''")
+
+
+WHOLE, ENDED, BEGUN = 0, 1, 2  # records within a split; the rest of one begun before; one that goes on after
+
+
+def _records_of(begins):
+    """Lines (file, start of the split, value) in the order of their splits as records and pieces of records."""
+
+    def run(batches):
+        at, inside, head, buffer, number = None, False, False, [], 0
+        for batch in batches:
+            files, starts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            values = batch.column(2).to_pylist()
+            out = []
+            for file, start, value in zip(files, starts, values):
+                if at != (file, start):
+                    if buffer:
+                        out.append(("\n".join(buffer), number == len(buffer) and at[1] == 0, *at, ENDED if head else BEGUN))
+                    at, buffer, number = (file, start), [], 0
+                    inside = head = begins.value[at]
+                buffer.append(value)
+                number += 1
+                inside ^= value.count('"') & 1 == 1
+                if not inside:
+                    first = number == len(buffer) and start == 0
+                    out.append(("\n".join(buffer) if len(buffer) > 1 else value, first, file, start, ENDED if head else WHOLE))
+                    head, buffer = False, []
+            yield _record_batch(out)
+        if buffer:
+            yield _record_batch([("\n".join(buffer), number == len(buffer) and at[1] == 0, *at, ENDED if head else BEGUN)])
+
+    return run
+
+
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [("record", pa.string()), ("first", pa.bool_()), ("file", pa.string()), ("start", pa.int64()), ("kind", pa.int32())]
+    columns = list(zip(*rows)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], [n for n, _ in kinds])
+
+
 class FrequencyTables:
     """Number and number-keyword count tables by number of key parts, opened once each."""
 

@@ -106,6 +106,68 @@ def test_bayes(spark, keys):
         assert np.allclose(band[name], ordered[at - 1] + (place - at) * (ordered[at] - ordered[at - 1]))
 
 
+def posterior(keys, cell, size=301):
+    """Mass of the posterior on a dense even grid around its mean, by doubling back on its own moments."""
+    t, n, k = arrays(keys, cell, np.log)
+    theta = newton(t, n, k, np.array([0.001, 0.001]))
+    x = np.column_stack([t, np.ones_like(t)])
+    p = 1 / (1 + np.exp(-x @ theta))
+    root = np.linalg.cholesky(np.linalg.inv((x * (n * p * (1 - p))[:, None]).T @ x + 0.001 * np.eye(2)))
+    for reach in (30, 9, 9):
+        z = np.linspace(-reach, reach, size)
+        z0, z1 = (g.ravel() for g in np.meshgrid(z, z))
+        ab = theta + np.column_stack([z0, z1]) @ root.T
+        lp = -0.0005 * (ab**2).sum(axis=1)
+        for tt, nn, kk in zip(t, n, k):
+            eta = ab @ [tt, 1]
+            lp += kk * eta - nn * np.logaddexp(0, eta)
+        w = np.exp(lp - lp.max())
+        w /= w.sum()
+        theta = w @ ab
+        cov = ((ab - theta) * w[:, None]).T @ (ab - theta)
+        root = np.linalg.cholesky(cov)
+    return ab, w, theta, cov, t
+
+
+@pytest.mark.parametrize("cell", ["rising", "steep", "all right"])
+def test_quadrature(keys, cell):
+    nodes = models.posterior_nodes(keys.where(F.col("cell") == cell), CELL).cache()
+    ab, w, mean, cov, t = posterior(keys, cell)
+    got = models.posterior_moments(nodes, CELL).first()
+    sd = np.sqrt(np.diag(cov))
+    skewed = cell == "all right"  # two levels, both all right: half of the prior's plane
+    assert np.abs(np.array([got.m0, got.m1]) - mean).max() < (0.03 if skewed else 1e-4) * sd.max()
+    assert (got.v00, got.v11) == pytest.approx(tuple(sd**2), rel=0.05 if skewed else 1e-3)
+    assert nodes.agg(F.sum("weight")).first()[0] == pytest.approx(1)
+    band = models.quadrature_band(nodes, CELL, 25).orderBy("point").toPandas()
+    at = np.linspace(t.min() - 5, t.max() + 5, 25)
+    assert np.allclose(band.frequency, np.exp(at))
+    for k, tt in enumerate(at):
+        p = 1 / (1 + np.exp(-np.clip(ab @ [tt, 1], -700, 700)))
+        order = np.argsort(p)
+        low, high = np.interp((0.025, 0.975), np.cumsum(w[order]), p[order])
+        room = 0.03 if skewed else 0.01
+        assert abs(band["mean"][k] - w @ p) < room and abs(band.low[k] - low) < room and abs(band.high[k] - high) < room
+
+
+def test_chains_mix(keys):
+    samples = models.bayes_logistic(keys, CELL, draws=24_000, burn=4_000, thin=2).cache()
+    got = {r.cell: r for r in models.chain_diagnostics(samples, CELL).collect()}
+    assert set(got) == {"rising", "falling", "steep", "all right"}
+    for cell, r in got.items():
+        pdf = samples.where(F.col("cell") == cell).toPandas()
+        assert r.samples == len(pdf) == 10_000 and sorted(pdf.chain.unique()) == [0, 1, 2, 3]
+        halves = [g.beta.to_numpy() for _, g in pdf.groupby(["chain", "half"])]
+        assert {len(h) for h in halves} == {1250}
+        within, between = np.mean([h.var() for h in halves]), np.var([h.mean() for h in halves], ddof=1)
+        assert r.beta_rhat == pytest.approx(np.sqrt((within + between) / within), rel=1e-6)
+        assert r.beta_mean == pytest.approx(pdf.beta.mean()) and r.beta_sd == pytest.approx(pdf.beta.std(ddof=0))
+        assert max(r.beta_rhat, r.alpha_rhat) < 1.01 and 1000 < r.beta_ess < 20_000
+    stuck = samples.where("cell = 'rising'").withColumn("beta", F.col("beta") + 5 * F.col("chain"))
+    apart = models.chain_diagnostics(stuck, CELL).first()
+    assert apart.beta_rhat > 2 and apart.alpha_rhat < 1.01
+
+
 def test_band_where_the_chain_is_walked(keys):
     wanted = keys.where("cell IN ('rising', 'falling')")
     how = {"by": CELL, "draws": 3_000, "burn": 1_000, "thin": 2}

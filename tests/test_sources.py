@@ -1,4 +1,7 @@
+import csv
+import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,4 +157,54 @@ def test_numbers_of_results_that_cannot_be_read(spark, tmp_path):
         path = tmp_path / f"{told}.csv"
         path.write_text(f"{head}\n{line}\n")
         with pytest.raises(Exception, match=told):
-            readers.read_results(spark, str(path), multi_line=False).collect()
+            readers.read_results(spark, str(path)).collect()
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    for n in names:
+        spark.conf.set(n, "64")
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_records_of_many_splits(spark, tmp_path, small_splits):
+    """Splits of 64 bytes, so that quotes open and close in any of them and some records fill several."""
+    rng = random.Random(3)
+    want = []
+    for name in ("a.csv", "b.csv"):
+        rows = [["no", "body"]]
+        for i in range(120):
+            parts = [rng.choice(["word", 'say ""', "x,y", "\n", "\r\n", '"', ""]) for _ in range(rng.choice([0, 1, 3, 60]))]
+            rows.append([str(i), " ".join(parts)])
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as file:
+            csv.writer(file, lineterminator=rng.choice(["\n", "\r\n"])).writerows(rows)
+        want += rows
+    records = readers.csv_records(spark, str(tmp_path))
+    lines = spark.read.text(str(tmp_path))
+    assert lines.rdd.getNumPartitions() > 50
+    got = records.collect()
+    read = [next(csv.reader(io.StringIO(r.record, newline=""))) for r in got]
+    assert sorted(read) == sorted(want) and sum(r.first for r in got) == 2
+    assert {r.record for r in got if r.first} == {"no,body"}
+
+
+def test_results_over_many_splits(spark, tmp_path, results, small_splits):
+    path = str(tmp_path / "r.csv")
+    writers.write_results(results, path)
+    back = readers.read_results(spark, path)
+    assert back.count() == 50 and {r.body for r in back.collect()} == {'Q: say "1, 2"\nA: 3\n\nQ: x\nA:'}
+
+
+def test_broken_results_are_errors(spark, tmp_path):
+    (tmp_path / "open.csv").write_text('generated_answer,is_correct\n7,True\n"8,False\n')
+    with pytest.raises(ValueError, match="never closed"):
+        readers.read_results(spark, str(tmp_path / "open.csv"))
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.csv").write_text("generated_answer,is_correct\n7,True\n")
+    (tmp_path / "two" / "b.csv").write_text("is_correct,generated_answer\nTrue,7\n")
+    with pytest.raises(Exception, match="another header"):
+        readers.read_results(spark, str(tmp_path / "two")).collect()

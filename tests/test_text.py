@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from termgauge.functions import text as tx
-from termgauge.operators import windows
+from termgauge.operators import counting, windows
 from tests import brute
 
 
@@ -44,6 +46,31 @@ def test_keyword_fragments_and_order(spark):
     assert values(spark, tokens, words.match(F.col("s"))) == ["days", "day", "mon", "month", "12th", None]
 
 
+def test_long_keyword_lists(spark, monkeypatch):
+    """Looked up by hash, with the same stems as the regular expression."""
+    rng = random.Random(2)
+    made = {"".join(rng.choice("aiks-") for _ in range(rng.randint(1, 5))) for _ in range(400)}
+    specs = [(r"\+", False), ("days", False), ("day", True), ("week", True), ("weeks", False), *[(w, rng.random() < 0.5) for w in sorted(made)]]
+    tokens = ["+", "+s", "days", "DAYS", "dayss", "weeks", "Weekſ", "\u212aiss", "\u0130s", "ıK", "aıſ", "unknown", ""]
+    tokens += ["".join(rng.choice("aAiIkKsS-\u0130\u0131\u212aſ") for _ in range(rng.randint(1, 6))) for _ in range(1500)]
+    listed = tx.Keywords(specs)
+    assert listed.listed
+    got = values(spark, tokens, listed.match(F.col("s"))), values(spark, tokens, listed.found(F.col("s")))
+    monkeypatch.setattr(tx, "MOST_ALTERNATIVES", 10**6)
+    regex = tx.Keywords(specs)
+    assert not regex.listed
+    want = values(spark, tokens, regex.match(F.col("s"))), values(spark, tokens, regex.found(F.col("s")))
+    assert got == want and any(want[0])
+
+
+def test_twenty_thousand_keywords(corpus_of, rows_of):
+    specs = [*tx.DEFAULT_KEYWORDS.specs, *[(f"w{i}x", i % 2 == 0) for i in range(20_000)]]
+    corpus = corpus_of("5 minutes and 7 W12xs or 9 w13x", "3 w13xs w99999x 4 plus")
+    found = rows_of(counting.word_num_occurrence(corpus, 1, keywords=tx.Keywords(specs)), "n1", "keyword", "frequency")
+    assert ("7", "w12x", 1) in found and ("9", "w13x", 1) in found and ("4", "plus", 1) in found
+    assert {k for _, k, _ in found} == {"minute", "w12x", "w13x", "plus"}
+
+
 @pytest.mark.parametrize("w", [1, 2, 5, 7])
 def test_text_windows(corpus_of, w):
     texts = ["1 2 3", "", "a", "x y z " * 7, " lead and trail  "]
