@@ -1,8 +1,10 @@
 """The registered queries over the smallest tables, against SQL or a brute-force version."""
 
 import os
+import zlib
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from test_alignment import brute as alignment_brute
@@ -58,6 +60,23 @@ def test_op5(spark, docs):
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r.base_failed and r.kept)
 
 
+def test_op4(spark, docs):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in docs}
+    rows = queries.op4_pack(spark, SF_DIR).collect()
+    at, held = {}, {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        own = ids[r.doc_id]
+        assert r.start == at.get(r.doc_id, 0) and r.doc_tokens == len(own) and r.length > 0
+        assert r.ids_crc32 == zlib.crc32(own[r.start : r.start + r.length].tobytes())
+        at[r.doc_id] = r.start + r.length
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert at == {i: len(own) for i, own in ids.items()} and sorted(held) == list(range(len(held)))
+    for number, pieces in held.items():
+        ends = np.cumsum([n for _, n in sorted(pieces)])
+        assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]] and (ends[-1] == 1024 or number == len(held) - 1)
+
+
 def test_op11(spark):
     rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF_DIR}/embeddings.parquet'").fetchall()
     whitening_compare(rows, queries.op11_whitening(spark, SF_DIR).collect(), 16)
