@@ -288,18 +288,13 @@ def quadrature_band(
 # ---------------------------------------------------------------- chains
 
 
-def _likelihoods(keys: DataFrame, by: list[str], chains: _Chains, frequency: str, nodes: DataFrame | None) -> DataFrame:
-    """Per cell the moments of the posterior, and the log likelihood of every proposal, as one array.
+def _part_likelihoods(rows: DataFrame, chains: _Chains) -> DataFrame:
+    """The log likelihood of every proposal, as arrays of DRAWS_PER_ROW, for cells with many levels.
 
-    A cell with many distinct frequencies is cut into parts of about LEVELS_PER_TASK, whose arrays
-    are summed place by place, so a task holds the arrays of one part or the sum.
+    A cell is cut into parts of about LEVELS_PER_TASK levels, whose arrays are summed place by place, so a
+    task holds the arrays of one part or the sum.
     """
-    counts = materialise(sufficient_counts(keys, F.ln(frequency), by), "bayes-counts")
-    nodes = posterior_nodes(keys, by, frequency) if nodes is None else nodes
-    fit = posterior_moments(nodes, by)
-    levels = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("levels"))
-    fit = materialise(fit.join(levels, by), "bayes-moments")
-    cell_fields = [fit.schema[c] for c in by]
+    by = chains.by
 
     def part_sums(rows: pd.DataFrame) -> pd.DataFrame:
         ll = chains.log_likelihood(rows)
@@ -313,32 +308,43 @@ def _likelihoods(keys: DataFrame, by: list[str], chains: _Chains, frequency: str
         )
 
     parts = F.ceil(F.col("levels") / LEVELS_PER_TASK)
-    rows = counts.join(fit, by).withColumn("part", F.pmod(F.xxhash64("t"), parts))
-    schema = T.StructType([*cell_fields, T.StructField("block", T.LongType()), T.StructField("ll", T.ArrayType(T.DoubleType()))])
-    partial = rows.groupBy(*by, "part").applyInPandas(part_sums, schema)
+    schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("block", T.LongType()), T.StructField("ll", T.ArrayType(T.DoubleType()))])
+    partial = rows.withColumn("part", F.pmod(F.xxhash64("t"), parts)).groupBy(*by, "part").applyInPandas(part_sums, schema)
     numbered = partial.select(*by, "block", F.posexplode("ll").alias("place", "value"))
     summed = numbered.groupBy(*by, "block", "place").agg(F.sum("value").alias("value"))
-    # One part is the common case and needs no sum; its arrays go on as they are.
-    single = partial.join(fit.where(F.col("levels") <= LEVELS_PER_TASK).select(*by), by, "left_semi")
-    several = summed.join(fit.where(F.col("levels") > LEVELS_PER_TASK).select(*by), by, "left_semi")
-    listed = several.groupBy(*by, "block").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("ll"))
-    return single.unionByName(listed.withColumn("ll", F.col("ll.value"))).join(fit, by)
+    listed = summed.groupBy(*by, "block").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("ll"))
+    return listed.withColumn("ll", F.col("ll.value"))
 
 
 DRAWS_PER_ROW = 10_000
 
 
 def _per_cell(keys: DataFrame, chains: _Chains, frequency: str, nodes: DataFrame | None, result, fields: list[T.StructField]):
+    """``result`` of the chains of every cell. Cells of up to LEVELS_PER_TASK levels, the common case, are evaluated
+    and walked in one task; of the others a task evaluates a part, and another walks the sums."""
     by = chains.by
-    rows = _likelihoods(keys, by, chains, frequency, nodes)
+    counts = materialise(sufficient_counts(keys, F.ln(frequency), by), "bayes-counts")
+    nodes = posterior_nodes(keys, by, frequency) if nodes is None else nodes
+    levels = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("levels"))
+    fit = materialise(posterior_moments(nodes, by).join(levels, by), "bayes-moments")
+    rows = counts.join(fit, by)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("block")
-        kept, chain = chains.walk(group, np.concatenate([np.asarray(x) for x in group.ll]))
+    def told(group: pd.DataFrame, ll: np.ndarray) -> pd.DataFrame:
+        kept, chain = chains.walk(group, ll)
         return pd.DataFrame({**dict(zip(by, chains.cell(group))), **result(group.iloc[0], kept, chain)})
 
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("t")
+        return told(group, chains.log_likelihood(group))
+
+    def summed(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("block")
+        return told(group, np.concatenate([np.asarray(x) for x in group.ll]))
+
     schema = T.StructType([*[rows.schema[c] for c in by], *fields])
-    return rows.groupBy(*by).applyInPandas(run, schema)
+    few = rows.where(F.col("levels") <= LEVELS_PER_TASK).groupBy(*by).applyInPandas(whole, schema)
+    many = _part_likelihoods(rows.where(F.col("levels") > LEVELS_PER_TASK), chains).join(fit, by)
+    return few.unionByName(many.groupBy(*by).applyInPandas(summed, schema))
 
 
 def bayes_logistic(
