@@ -37,7 +37,7 @@ SEEDS = 16  # keys of a cell, most frequent and first ones, that give the first
 SALT = 8  # parts of a cell that meet its seeds in different tasks
 STEP = 4  # bits of the code from a node to its children
 BITS = 60  # of the code, shared by all axes
-OPENED = 512  # pairs of keys that a pair of nodes is opened for
+OPENED = 256  # pairs of keys that a pair of nodes is opened for
 EAGER = 200_000  # pairs of keys left, of all cells, that are opened without another round
 UNBOUNDED = 2000  # keys of a cell that all pairs are compared of
 
