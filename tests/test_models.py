@@ -146,8 +146,9 @@ def test_quadrature(keys, cell):
         p = 1 / (1 + np.exp(-np.clip(ab @ [tt, 1], -700, 700)))
         order = np.argsort(p)
         low, high = np.interp((0.025, 0.975), np.cumsum(w[order]), p[order])
-        room = 0.03 if skewed else 0.01
-        assert abs(band["mean"][k] - w @ p) < room and abs(band.low[k] - low) < room and abs(band.high[k] - high) < room
+        assert abs(band["mean"][k] - w @ p) < (0.03 if skewed else 0.001)
+        # Where all answers are right the ends of the band are cliffs, which the nodes place to a few percent of mass.
+        assert skewed or (abs(band.low[k] - low) < 0.01 and abs(band.high[k] - high) < 0.01)
 
 
 def test_chains_mix(keys):
