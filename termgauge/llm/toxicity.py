@@ -2,22 +2,28 @@
 
 The kernel of two strings sums, over their common subsequences of ``P`` letters, a decay for every
 letter that either spans, so ``id-iot``, ``idxiot``, ``id*ot`` and an insult with any ending are close
-to the plain one. It is computed for every pair of strings but those without a common subsequence of
-``P`` letters, for which it is 0, and normalised. Start and end of a word are letters of their own.
-Strings are compared with landmarks, whose own kernel matrix turns the values into Nyström features:
-an approximation of the kernel, on which a linear machine finds weights and bias.
-
-A sentence is as toxic as its strongest word, a text as its strongest sentence, so a word is the
-unit: words of sentences from clean texts are negative, words of sentences from toxic texts are
-positive if they hold a core, a run of letters that toxic texts have far more often. Cores are taken
-until no run is left that ``LEAST`` texts have in words without one, however many that are. Positive
-words are also given with letters inserted and cores with a letter missing. Landmarks are the cores,
-words that hold them, the clean words nearest to those and ``OTHERS`` more. Runs of single letters
-are read as one word, and words lose everything that is no letter.
-
-Fitting takes at most ``PER_CLASS`` toxic and twice as many clean labelled texts, those with
-the smallest hash, and the first ``FIT_CHARS`` characters of each; both are parameters. All texts are scored, whole:
-words of more than ``PIECE`` letters are scored in overlapping pieces.
+to the plain one; it is normalised. Strings are the words of a text, with letters of their own for start
+and end; a word of more than ``SPAN`` letters counts by all its runs of ``SPAN`` letters, so no match of
+that width is lost. Runs of single letters are read as one word, and words lose everything that is no
+letter. Strings are compared with landmarks, whose own kernel matrix turns the values into Nyström
+features, on which a linear machine finds weights and bias.
+
+The machine is trained on labelled texts: a text's value is the highest of its strings' (the empty
+string, whose value is the bias, included), and the hinge loss is that of the text's label. As the
+highest string depends on the machine, the two alternate: every toxic text stands for its highest
+string, every clean text for those strings that came high in any round. Virtual examples, as is usual
+for invariances, are landmarks with letters inserted, around, and one missing, while the machine holds
+the landmark itself for toxic. Landmarks are runs of letters that toxic texts have far more often
+(``find_cores``), the most frequent word around each, strings of clean texts that came high, and
+``OTHERS`` clean ones: they span the features, and labels decide the weights.
+
+A machine that is linear in kernel values is linear in subsequences too, so the weights of all
+landmarks are summed into one table by subsequence, and a string is scored by one pass over its own
+subsequences, whatever the number of landmarks: the same values as landmark by landmark.
+
+Fitting takes at most ``per_class`` toxic and twice as many clean labelled texts, those with the
+smallest hash among texts of at most ``fit_bytes`` bytes, whole; both are parameters. All texts are
+scored, whole, very long ones in parts of words.
 
 Defined results: NULL and empty texts and texts without letters score 0; equal texts have equal
 scores; repeated rows stay; an empty table gives no rows; without toxic or without clean labelled
@@ -29,6 +35,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +47,12 @@ from termgauge.llm.sample import labelled_texts
 
 P, DECAY = 4, 0.6
 PER_CLASS = 600
-FIT_CHARS = 20_000
+FIT_BYTES = 1 << 16
 LEAST = 5  # texts that a core is found in
-OTHERS, SIDE = 6, 14
+OTHERS, NEAR = 6, 40  # landmarks of clean texts
+ROUNDS = 6
 CORE_LETTERS = range(4, 9)
-CURVE_TEXTS = 300
-PIECE = 24
+SPAN = 10
 KEPT = 1 << 20
 THRESHOLD = 0.3
 
@@ -81,9 +88,10 @@ def marked(word: str) -> str:
 
 
 def pieces(word: str) -> list[str]:
-    if len(word) <= PIECE:
+    """All runs of ``SPAN`` letters; a shorter word is one."""
+    if len(word) <= SPAN:
         return [word]
-    return [word[at : at + PIECE] for at in range(0, len(word) - PIECE // 2, PIECE // 2)]
+    return [word[at : at + SPAN] for at in range(len(word) - SPAN + 1)]
 
 
 class Landmarks:
@@ -134,20 +142,22 @@ class Landmarks:
                 out[own[r], c] = self._pairs(codes[r, : len(part[r.max()])], self.codes[c])
         return out
 
-    def kernel(self, strings: list[str]) -> np.ndarray:
-        """``whole``, with 0 for pairs that lack a letter of the landmark; nothing is fitted or scored by it."""
-        holds = [[set(t) <= set(s) for t in self.strings] for s in strings]
-        return np.where(np.array(holds, bool).reshape(len(strings), -1), self.whole(strings), 0)
-
     def features(self, strings: list[str]) -> np.ndarray:
-        """``whole``, normalised (the kernel of equal strings is 1); then the share of each landmark's own, 1 at most."""
+        """``whole``, normalised (the kernel of equal strings is 1); then the share of each landmark's own."""
         raw = self.whole(strings)
-        own = np.ones(len(strings), np.float32)  # kernel of each string with itself
+        own = np.ones(len(strings), np.float32)
         met = np.flatnonzero(raw.any(1))
-        met = met[np.argsort([len(strings[i]) for i in met], kind="stable")]
-        for lo in range(0, len(met), 20_000):
-            own[met[lo : lo + 20_000]] = self._squares([strings[i] for i in met[lo : lo + 20_000]])
-        return np.hstack([raw / np.sqrt(own[:, None] * self.squares), np.minimum(raw / self.squares, 1)])
+        own[met] = self.squares_of([strings[i] for i in met])
+        return np.hstack([raw / np.sqrt(own[:, None] * self.squares), raw / self.squares])
+
+    def squares_of(self, strings: list[str]) -> np.ndarray:
+        """The kernel of each string with itself, for any number of strings."""
+        out = np.zeros(len(strings), np.float32)
+        order = np.argsort([len(s) for s in strings], kind="stable")
+        for lo in range(0, len(order), 4000):
+            own = order[lo : lo + 4000]
+            out[own] = self._squares([strings[i] for i in own])
+        return out
 
     def _squares(self, strings: list[str]) -> np.ndarray:
         """The kernel of each string with itself."""
@@ -176,6 +186,67 @@ class Landmarks:
         return total
 
 
+class Subsequences:
+    """The weights of all landmarks, summed for each subsequence of ``P`` (four) letters.
+
+    The first and the last two letters of a subsequence have numbers, 0 for pairs that no landmark has.
+    The real part of an entry is of the normalised kernel, the imaginary one of the other.
+    """
+
+    def __init__(self, landmarks: Landmarks, weights: np.ndarray):
+        self.alphabet, self.squares_of = landmarks.alphabet, landmarks.squares_of
+        self.base = len(self.alphabet) + 1
+        total: dict[tuple[int, int], complex] = {}
+        squares = landmarks.squares.astype(float)
+        normal, plain = weights.reshape(2, -1).astype(float)
+        for string, weight in zip(landmarks.strings, (normal / np.sqrt(squares) + 1j * plain / squares).tolist()):
+            x = self._letters(Landmarks._codes([string], len(string)))[0].tolist()
+            for i, j, k, m in combinations(range(len(x)), P):
+                pair = x[i] * self.base + x[j], x[k] * self.base + x[m]
+                total[pair] = total.get(pair, 0.0) + weight * DECAY ** (m - i + 1)
+        heads, tails = sorted({h for h, _ in total}), sorted({t for _, t in total})
+        self.head, self.tail = np.zeros(self.base**2, np.int32), np.zeros(self.base**2, np.int32)
+        width = len(tails) + 1
+        self.head[heads] = np.arange(1, len(heads) + 1) * width
+        self.tail[tails] = np.arange(1, len(tails) + 1)
+        self.table = np.zeros((len(heads) + 1) * width, np.complex64)
+        for (h, t), value in total.items():
+            self.table[self.head[h] + self.tail[t]] = value
+
+    def _letters(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of letters, 0 for those that no landmark has."""
+        place = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        return np.where(self.alphabet[place] == codes, place + 1, 0)
+
+    def sums(self, strings: list[str]) -> np.ndarray:
+        """The weighted kernel values of each string (of ``SPAN`` letters at most), if above 0."""
+        out = np.zeros(len(strings), np.float32)
+        sizes = np.array([len(s) for s in strings])
+        for size in range(P, SPAN + 1):
+            pairs = {pair: n for n, pair in enumerate(combinations(range(size), 2))}
+            places = list(combinations(range(size), P))
+            left, right = np.array(list(pairs)).T
+            # A string of different letters has the least kernel with itself.
+            least = sum(DECAY ** (2 * (p[-1] - p[0] + 1)) for p in places) ** 0.5
+            own = np.flatnonzero(sizes == size)
+            for lo in range(0, len(own), 4000):
+                part = own[lo : lo + 4000]
+                some = [strings[i] for i in part]
+                x = np.ascontiguousarray(self._letters(Landmarks._codes(some, size)).T)
+                pair = x[left] * self.base + x[right]
+                head, tail = self.head[pair], self.tail[pair]
+                total = np.zeros(len(part), np.complex64)
+                for p in places:
+                    total += self.table[head[pairs[p[:2]]] + tail[pairs[p[2:]]]] * np.float32(DECAY ** (p[-1] - p[0] + 1))
+                value = np.zeros(len(part), np.float32)
+                met = np.flatnonzero(np.maximum(total.real, 0) / least + total.imag > 0)
+                if len(met):
+                    square = np.sqrt(self.squares_of([some[i] for i in met]))
+                    value[met] = np.maximum(total.real[met] / square + total.imag[met], 0)
+                out[part] = value
+        return out
+
+
 @dataclass
 class Model:
     landmarks: Landmarks | None
@@ -184,11 +255,14 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
 
-    def values(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), self.bias)
-        for lo in range(0, len(words), 4000):  # features are many times as large as words
-            out[lo : lo + 4000] += self.landmarks.features(words[lo : lo + 4000]) @ self.weights
-        return out
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_table"}  # built anew by each process
+
+    def values(self, strings: list[str]) -> np.ndarray:
+        """The machine's value of each string, the empty string's at least."""
+        if "_table" not in self.__dict__:
+            self._table = Subsequences(self.landmarks, self.weights)
+        return self._table.sums(strings).astype(float) + self.bias
 
     def chance(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
@@ -246,18 +320,6 @@ def inserted(word: str, n: int, pick: np.random.Generator) -> str:
     return "".join(c + (chr(97 + int(pick.integers(26))) if i in places else "") for i, c in enumerate(word))
 
 
-def closest(marks: Landmarks, words: list[str]) -> tuple[np.ndarray, list[int]]:
-    """The highest normalised kernel of each word, and the word that is highest for each landmark."""
-    near, n = np.zeros(len(words), np.float32), len(marks.strings)
-    top, at = np.full(n, -1.0), np.zeros(n, np.int64)
-    for lo in range(0, len(words), 4000):
-        part = marks.features(words[lo : lo + 4000])[:, :n]
-        near[lo : lo + 4000] = part.max(1)
-        better = part.max(0) > top
-        top[better], at[better] = part.max(0)[better], lo + part.argmax(0)[better]
-    return near, at.tolist()
-
-
 def around(word: str, pick: np.random.Generator) -> list[str]:
     """The word with letters before and after it, where no mark says that there are none."""
     out = []
@@ -272,7 +334,7 @@ def lacking(word: str) -> list[str]:
     return sorted({word[:i] + word[i + 1 :] for i in range(1, len(word) - 1)}) if len(word) > P else []
 
 
-def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray, float]:
+def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 30.0) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by Newton steps on the rows inside the margin."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
@@ -303,73 +365,124 @@ def logistic(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def solve(landmarks: Landmarks, strings: list[str], y: np.ndarray, weight: np.ndarray, known: dict[str, np.ndarray]) -> Model:
+    """Machine on the Nyström features of strings; its weights are those of kernel values.
+
+    ``known`` holds the kernel values of strings met in earlier rounds with the same landmarks.
+    """
+    fresh = sorted({s for s in strings if s not in known})
+    known.update(zip(fresh, landmarks.features(fresh) if fresh else []))
+    n = len(landmarks.strings)
+    gram = landmarks.features(landmarks.strings).astype(float)[:, :n]
+    value, vector = np.linalg.eigh((gram + gram.T) / 2)
+    good = value > 1e-6 * value.max()
+    nystrom = vector[:, good] / np.sqrt(value[good])
+    features = np.array([known[s] for s in strings], float)
+    features = np.hstack([features[:, :n] @ nystrom, features[:, n:]])
+    scale = np.abs(features).max(0) + 1e-9
+    w, bias = machine(features / scale, y, weight)
+    w = w / scale
+    weights = np.r_[nystrom @ w[: nystrom.shape[1]], w[nystrom.shape[1] :]]
+    return Model(landmarks, weights.astype(np.float32), bias)
+
+
+class Bags:
+    """Strings of texts, each distinct string once."""
+
+    def __init__(self, bags: list[set[str]]):
+        self.kinds = sorted(set().union(*bags)) if bags else []
+        at = {k: i for i, k in enumerate(self.kinds)}
+        self.owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+        self.kind = np.array([at[k] for b in bags for k in sorted(b)], np.int64)
+
+    def highest(self, value: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Text and string of the ``most`` highest strings of each text, highest first."""
+        order = np.lexsort([self.kind, -value[self.kind], self.owner])
+        owner = self.owner[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        chosen = order[place < most]
+        return self.owner[chosen], self.kind[chosen]
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """A model from labelled texts."""
+    """A model from labelled texts; copies of a text with the same label count once."""
+    distinct = sorted({(t, int(c)) for t, c in zip(texts, labels)})
+    texts, labels = [t for t, _ in distinct], [c for _, c in distinct]
     pick = np.random.default_rng(seed)
-    bags = [{marked(w) for w in words_of(t)} for t in texts]
+    label = np.array(labels, int)
+    words = [{marked(w) for w in words_of(t)} for t in texts]
     toxic, clean = Counter(), Counter()
-    for bag, label in zip(bags, labels):
-        (toxic if label else clean).update(bag)
-    n_toxic, n_clean = sum(labels), len(labels) - sum(labels)
+    for bag, is_toxic in zip(words, labels):
+        (toxic if is_toxic else clean).update(bag)
+    n_toxic, n_clean = int(label.sum()), len(label) - int(label.sum())
     cores = find_cores(toxic, clean, n_toxic, n_clean) if n_toxic and n_clean else []
     if not cores:
         return Model(None, np.zeros(0), 0.0)
-    plain = sorted(w for w in clean if P <= len(w) <= PIECE and not any(c in w for c in cores))
-    plain = [plain[i] for i in pick.permutation(len(plain))]
+    bags = Bags([{p for w in bag for p in pieces(w)} for bag in words])
+    kinds = bags.kinds
     usual = [max((w for w in toxic if c in w), key=lambda w: (toxic[w], w)) for c in cores]
-    often = [sum(n for w, n in toxic.items() if c in w) for c in cores]
-    usual = [w for c, w, n in zip(cores, usual, often) if w != c and 2 * toxic[w] >= n and len(w) <= PIECE]
+    usual = [w for c, w in zip(cores, usual) if w != c and len(w) <= SPAN]
+    in_clean, times = np.unique(bags.kind[label[bags.owner] == 0], return_counts=True)
+    times_clean = Counter({kinds[i]: n for i, n in zip(in_clean.tolist(), times.tolist())})
+    others = [kinds[i] for i in pick.permutation(in_clean) if len(kinds[i]) >= P][:3000]
     own = sorted({*cores, *usual})
-    # The clean word that comes nearest to each of them, and some others.
-    near, nearest = closest(Landmarks(own), plain)
-    next_to = {plain[i][:SIDE] for i in nearest} if plain else set()
-    landmarks = Landmarks(own + sorted(next_to | {w[:8] for w in plain[:OTHERS]}))
+    marks = Landmarks(sorted({*own, *others[:OTHERS]}))
+    # First round: toxic texts stand for their strings with a core, clean ones for any.
     holds = re.compile("|".join(map(re.escape, cores))).search
-    positive = sorted(w for w in toxic if holds(w) and len(w) <= PIECE)[:4000]
-    within = [v for c in cores for v in around(c, pick)]
-    variants = within + [inserted(w, n, pick) for w in {holds(w).group() + w[holds(w).end() :][:2] for w in positive} | set(cores) for n in (1, 1, 2)]
-    masked = sorted({v for w in [*cores, *usual] for v in lacking(w) if v not in clean})
-    # Clean words that come nearest to a core, and others.
-    hard = [plain[i] for i in np.argsort(-near, kind="stable")[:3000]]
-    negative = sorted(set(hard) | set(plain[:3000]))
-    words = positive + variants + masked + negative
-    y = np.r_[np.ones(len(positive) + len(variants) + len(masked)), -np.ones(len(negative))]
-    often = np.sqrt([toxic[w] for w in positive])
-    weight = np.r_[
-        often / max(1.0, often.sum()),
-        np.full(len(variants), 1 / max(1, len(variants))),
-        np.full(len(masked), 0.3 / max(1, len(masked))),
-        np.full(len(negative), 3 / max(1, len(negative))),
-    ] * len(words)
-    gram = landmarks.features(landmarks.strings).astype(float)[:, : len(landmarks.strings)]
-    value, vector = np.linalg.eigh((gram + gram.T) / 2)
-    good = value > 1e-6 * value.max()
-    nystrom = vector[:, good] / np.sqrt(value[good])
-    n = len(gram)
-    nystrom = np.vstack([np.hstack([nystrom, np.zeros((n, n))]), np.hstack([np.zeros((n, nystrom.shape[1])), np.eye(n)])])
-    features = landmarks.features(words).astype(float) @ nystrom
-    scale = np.abs(features).max(0) + 1e-9
-    w, bias = machine(features / scale, y, weight)
-    model = Model(landmarks, (nystrom @ (w / scale)).astype(np.float32), bias)
-    some = [i for c in (0, 1) for i in [j for j, label in enumerate(labels) if label == c][: CURVE_TEXTS * (2 - c)]]
-    bags, labels = [bags[i] for i in some], [labels[i] for i in some]
-    kinds = sorted(set().union(*bags))
-    score: dict[str, float] = {}
-    for lo in range(0, len(kinds), 50_000):
-        part = [(k, p) for k in kinds[lo : lo + 50_000] for p in pieces(k)]
-        for (k, _), v in zip(part, model.values([p for _, p in part]).tolist()):
-            score[k] = max(v, score.get(k, v))
-    best = np.array([max((score[w] for w in bag), default=-5.0) for bag in bags])
-    model.slope, model.shift = logistic(best, np.array(labels))
+    value = np.array([1.0 if holds(k) else 0.0 for k in kinds])
+    high: set[int] = set()  # strings of clean texts that came high in any round
+    witness, model, known = None, None, {}
+    variants = {w: around(w, pick) + around(w, pick) + [inserted(w, n, pick) for n in (1, 1, 1, 1, 1, 1, 2, 2)] for w in own}
+    for turn in range(ROUNDS):
+        owner, kind = bags.highest(value, 3)
+        low = label[owner] == 0
+        high |= set(kind[low].tolist())
+        best, first = np.unique(owner, return_index=True)
+        stands = label[best] == 1
+        if turn == 0:
+            stands &= value[kind[first]] > 0
+        now = kind[first][stands]
+        if turn == 2:  # strings that clean texts came highest with are landmarks from here on
+            near = sorted(high, key=lambda i: (-value[i], i))[:NEAR]
+            marks, known = Landmarks(sorted({*marks.strings, *(kinds[i] for i in near)})), {}
+        elif witness is not None and np.array_equal(now, witness):
+            break
+        witness = now
+        held = own if model is None else [w for w, v in zip(own, model.values(own)) if v > model.bias / 2]
+        added = [p for w in held for v in variants[w] for p in pieces(v) if len(v) <= SPAN or holds(p)]
+        masked = sorted({v for w in held for v in lacking(w) if v not in clean})
+        negative = sorted({kinds[i] for i in high} | set(others))
+        strings = [kinds[i] for i in witness] + added + masked + negative
+        sizes = (len(witness), len(added), len(masked), len(negative))
+        y = np.repeat([1.0, 1.0, 1.0, -1.0], sizes)
+        weight = np.repeat([share / max(1, n) for share, n in zip((1.0, 1.0, 0.3, 6.0), sizes)], sizes) * len(strings)
+        # Texts that stand for the same string share the root of their number, or rare strings would not count.
+        _, at, times = np.unique(witness, return_inverse=True, return_counts=True)
+        shared = 1 / np.sqrt(times[at])
+        weight[: len(witness)] *= shared / max(shared.mean(), 1e-9)
+        # So do clean texts: a string counts by the root of the number of clean texts that hold it.
+        often = np.sqrt([times_clean[k] for k in negative])
+        weight[-len(negative) :] *= often / often.mean()
+        model = solve(marks, strings, y, weight, known)
+        value = model.values(kinds)
+    best = np.full(len(label), model.bias)
+    np.maximum.at(best, bags.owner, value[bags.kind])
+    model.slope, model.shift = logistic(best, label)
     return model
 
 
 def fit(
-    documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text"
+    documents: DataFrame,
+    labels: DataFrame,
+    label: str = "toxic",
+    per_class: int = PER_CLASS,
+    key: str = "doc_id",
+    text: str = "text",
+    fit_bytes: int = FIT_BYTES,
 ) -> Model:
-    """A model of at most ``per_class`` toxic and twice as many clean labelled texts."""
-    chosen = labelled_texts(documents, labels, label, {0: 2 * per_class, 1: per_class}, key, text)
-    chosen = chosen.withColumn("text", F.left("text", F.lit(FIT_CHARS)))
+    """A model of at most ``per_class`` toxic and twice as many clean labelled texts of at most ``fit_bytes`` bytes."""
+    short = documents.where(F.octet_length(f"`{text}`") <= fit_bytes)
+    chosen = labelled_texts(short, labels, label, {0: 2 * per_class, 1: per_class}, key, text)
     sample = sorted((r.label, r.n, r.text) for r in chosen.select("label", "n", "text").collect())
     return train([t for _, _, t in sample], [c for c, _, _ in sample])
 

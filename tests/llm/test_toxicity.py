@@ -1,9 +1,11 @@
 import itertools
+import pickle
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from termgauge.llm import toxicity as tx
 from termgauge.llm.sample import labelled_texts
@@ -41,11 +43,54 @@ def test_kernel():
     pick = random.Random(2)
     strings = ["".join(pick.choices("abcé", k=pick.randint(1, 8))) for _ in range(40)]
     marks = tx.Landmarks(["abca", "cab", "éabc", "aaaa"])
-    got = marks.kernel(strings)
+    got = marks.whole(strings)
     for s, row in zip(strings, got):
         for t, value in zip(marks.strings, row):
-            want = brute_kernel(s, t) if set(t) <= set(s) else 0.0
-            assert value == pytest.approx(want, rel=1e-4, abs=1e-6)
+            assert value == pytest.approx(brute_kernel(s, t), rel=1e-4, abs=1e-6)
+
+
+def test_table_of_subsequences():
+    pick = random.Random(8)
+    marks = tx.Landmarks(["abca", "^cabd$", "éabcdaab", "aaaa", "dcbaab"])
+    weights = np.array([pick.uniform(-1, 1) for _ in range(10)], np.float32)
+    strings = ["".join(pick.choices("abcdéz^$", k=pick.randint(1, tx.SPAN))) for _ in range(500)] + ["", "abca", "aaaaaaaaaa"]
+    model = tx.Model(marks, weights, 0.25)
+    want = np.maximum(marks.features(strings) @ weights, 0) + 0.25
+    assert model.values(strings) == pytest.approx(want, rel=1e-3, abs=1e-4) and (want > 0.25).any()
+    assert (pickle.loads(pickle.dumps(model)).values(strings) == model.values(strings)).all()
+
+
+def test_no_run_of_a_long_word_is_lost(model):
+    pick = random.Random(9)
+    for at in range(30):
+        noise = "".join(pick.choices("heonti", k=40))
+        value = model.values(tx.pieces(tx.marked(noise[:at] + "blorgo" + noise[at:])))
+        assert model.chance(value.max(keepdims=True))[0] >= tx.THRESHOLD, at
+
+
+def test_labels_decide():
+    pick = random.Random(10)
+    labels = [i % 3 == 0 for i in range(300)]
+    texts = [text_of(pick, t, stems=False) for t in labels]
+    swapped = tx.train([t + (" zzyrtok" if not y else "") for t, y in zip(texts, labels)], [int(y) for y in labels])
+    value = swapped.chance(tx.Scorer(swapped).best(pa.array(["an heon zzyrtok", "an heon blorgo"])))
+    assert value[0] < tx.THRESHOLD <= value[1]
+
+
+def test_held_out_rows_of_the_given_tables(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    fourth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = tx.fit(documents, labels.where(fourth != 2))
+    kept = documents.join(labels.where((fourth == 2) & F.col("toxic").isNotNull()), "doc_id")
+    rows = tx.score(kept, model, ["lang", "toxic"]).toPandas()
+    bad, good = rows[rows.toxic == 1], rows[rows.toxic == 0]
+    assert (good.predicted == 1).mean() <= 0.06
+    for lang, own in bad.groupby("lang"):
+        assert own.predicted.mean() >= (0.9 if lang == "en" else 0.7), (lang, own.predicted.mean())
+    ranks = rows.score.rank()
+    auc = (ranks[rows.toxic == 1].mean() - (len(bad) + 1) / 2) / len(good)
+    assert auc >= 0.93
 
 
 def test_held_out(model):
