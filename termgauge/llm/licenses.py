@@ -4,15 +4,25 @@ The words (letters and digits, lower case) of a template and of a region of a te
 words that are unique on both sides are anchors, the longest increasing subsequence of their places
 keeps those in order, and the gaps before, between and after them are aligned the same way. A gap
 without anchors is aligned by a longest common subsequence, which bounds nothing away since gaps
-are no longer than the template. Coverage is the share of the template's words that are aligned.
+are no longer than the region. Of the aligned places the run that counts most is taken, a place as
+one and a word between places that is not aligned as minus a half, so far-off chance matches fall
+away. Coverage is that of both sides: aligned words by the larger of the template's words and the
+words from the first to the last place. Words put into a notice count as much as words left out.
 
-Regions are found at the template's rare words (those that are not in most templates): a window of
-twice the template's words around each run of them. A text is read whole, and each notice in it
-has its own region, so a repeated notice does not spoil the uniqueness of its words.
+Templates of fewer than ``SHORT`` words must be met whole, for one word is all that separates short
+notices of different licences. Of notices that overlap, of whatever template, the one with the most
+aligned words times coverage stays: ``CC BY-NC 4.0`` is no ``CC BY 4.0``, the Lesser licence not the
+General one. The text of a licence is found by the words of its grant, its whole text included.
+
+Regions are found at the template's rare words (those that few other templates have): a notice with
+enough coverage is no longer than the template by its coverage, and a region holds all notices that
+begin in its first half. A text is read whole, and each notice in it has its own region, so a
+repeated notice does not spoil the uniqueness of its words.
 
 Defined results: NULL, empty and blank texts have no notices; a text may have several; of equal
-regions the first counts and overlapping regions of one template give the best; repeated rows each
-have theirs; an empty table gives no rows; other columns are ignored, whatever their names.
+regions the first counts and overlapping regions give the best; repeated rows each have theirs; an
+empty table gives no rows; very long texts take memory by their words, regions one by one; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COVERAGE = 0.8
+SHORT = 20  # words
 FOUND = "doc_id bigint, license string, start_word bigint, end_word bigint, matched bigint, template_words bigint, coverage double"
 
 # Texts of public licence notices (fixed values).
@@ -54,8 +65,64 @@ TEMPLATES = {
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version."
     ),
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version."
+    ),
+    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-3.0-header": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version."
+    ),
+    "lgpl-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version."
+    ),
+    "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version."
+    ),
+    "bsd-2-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+        "other materials provided with the distribution."
+    ),
+    "bsd-3-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+        "other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of "
+        "its contributors may be used to endorse or promote products derived from this software without specific "
+        "prior written permission."
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means."
+    ),
     "cc-by-4.0": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-4.0": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-sa-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0": "Licensed under CC BY-NC-ND 4.0.",
 }
 
 WORD = re.compile(r"[^\W_]+")
@@ -126,25 +193,47 @@ def align(template: list[str], text: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def strongest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The run of aligned places with the largest number of places less half the text words between them."""
+    best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
+    for i, (_, j) in enumerate(pairs):
+        gap = (j - pairs[i - 1][1] - 1) / 2 if i > begin else 0.0
+        if total - gap <= 0:
+            total, begin = 1.0, i
+        else:
+            total += 1 - gap
+        if total > best:
+            best, best_at = total, (begin, i + 1)
+    return pairs[slice(*best_at)]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
-        self.coverage = coverage
         self.templates = {name: words_of(text) for name, text in sorted(templates.items())}
+        self.templates = {name: own for name, own in self.templates.items() if own}
+        self.coverage = {name: coverage if len(own) >= SHORT else 1.0 for name, own in self.templates.items()}
         spread = Counter(w for own in self.templates.values() for w in set(own))
         self.rare: dict[str, list[str]] = {}
-        for name, own in self.templates.items():
-            for w in {w for w in own if spread[w] * 2 <= max(2, len(self.templates))}:
-                self.rare.setdefault(w, []).append(name)
-        # A notice lacks at most this many of a template's words, so it has one of its longest words.
+        self.need: dict[str, int] = {}
         self.seeds = set()
-        for own in self.templates.values():
-            lacking = int(len(own) * (1 - coverage) + 1e-9)
+        for name, own in self.templates.items():
             counts = Counter(own)
+            lacking = int(len(own) * (1 - self.coverage[name]) + 1e-9)
+            # A text that lacks at most so many of a template's words has one of its longest words.
+            left = int(len(own) * (1 - coverage) + 1e-9)
             for w in sorted(counts, key=lambda w: (-len(w), w)):
-                if lacking < 0:
+                if left < 0:
                     break
                 self.seeds.add(w)
-                lacking -= counts[w]
+                left -= counts[w]
+            # The words of fewest templates, until half of them cannot be lacking.
+            chosen = 0
+            for w in sorted(counts, key=lambda w: (spread[w], -len(w), w)):
+                if chosen > 2 * lacking:
+                    break
+                self.rare.setdefault(w, []).append(name)
+                chosen += counts[w]
+            self.need[name] = max(1, chosen - lacking)
 
     def scan(self, text: str) -> list[tuple]:
         """license, first and end word, matched words, template words, coverage."""
@@ -155,31 +244,38 @@ class Scanner:
                 places.setdefault(name, []).append(p)
         found = []
         for name, at in sorted(places.items()):
-            own = self.templates[name]
-            rare = {w for w, names in self.rare.items() if name in names} & set(own)
-            need = max(1, len([w for w in own if w in rare]) - int(len(own) * (1 - self.coverage)))
-            for lo, hi in self._regions(at, len(own), need, len(words)):
-                pairs = align(own, words[lo:hi])
-                share = len(pairs) / len(own)
-                if share >= self.coverage:
-                    found.append((name, lo + pairs[0][1], lo + pairs[-1][1] + 1, len(pairs), len(own), share))
+            own, least = self.templates[name], self.coverage[name]
+            longest = int(len(own) / least + 1e-9)
+            for lo, hi in self._regions(at, longest, self.need[name], len(words)):
+                pairs = strongest(align(own, words[lo:hi]))
+                if not pairs:
+                    continue
+                begin, end = lo + pairs[0][1], lo + pairs[-1][1] + 1
+                share = len(pairs) / max(len(own), end - begin)
+                if share >= least:
+                    found.append((name, begin, end, len(pairs), len(own), share))
         return self._best(found)
 
-    def _regions(self, at: list[int], size: int, need: int, end: int):
-        """A region starts at a rare word that enough others follow within the reach of a notice."""
-        reach, done = size + max(2, size // 4), -1
+    def _regions(self, at: list[int], longest: int, need: int, end: int):
+        """A region begins before a rare word that enough others follow within the reach of a notice."""
+        done, step = -1, max(1, longest // 2)
         for i, p in enumerate(at):
-            if p < done or i + need > len(at) or at[i + need - 1] - p >= reach:
+            if p < done or i + need > len(at) or at[i + need - 1] - p >= longest:
                 continue
-            yield max(0, p - size), min(end, p + reach)
-            done = p + max(1, size // 2)
+            done = p + step
+            yield max(0, p - longest), min(end, done + longest)
 
     def _best(self, found: list[tuple]) -> list[tuple]:
+        """The strongest of notices that overlap."""
         kept: list[tuple] = []
-        for f in sorted(found, key=lambda f: (-f[5], f[2] - f[1], f[1], f[0])):
-            if not any(k[0] == f[0] and k[1] < f[2] and f[1] < k[2] for k in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: (f[1], f[0]))
+        begins: list[int] = []
+        for f in sorted(set(found), key=lambda f: (-f[3] * f[5], f[1], f[2], f[0])):
+            i = bisect_left(begins, f[2])  # kept notices do not overlap: only the last that begins before f's end can
+            if i and kept[i - 1][2] > f[1]:
+                continue
+            kept.insert(i, f)
+            begins.insert(i, f[1])
+        return kept
 
 
 def scan_licenses(

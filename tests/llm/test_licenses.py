@@ -75,3 +75,53 @@ def test_no_text_with_a_notice_is_passed_over():
             for i in pick.sample(range(len(words)), int(len(words) * 0.2)):
                 words[i] = "zz"
             assert any(seed in " ".join(words) for seed in scanner.seeds), name
+
+
+@pytest.mark.parametrize(
+    "notice, want",
+    [
+        ("Licensed under CC BY-NC 4.0.", ["cc-by-nc-4.0"]),
+        ("Licensed under CC BY-SA 4.0.", ["cc-by-sa-4.0"]),
+        ("Licensed under CC BY-NC-ND 4.0.", ["cc-by-nc-nd-4.0"]),
+        ("Licensed under CC BY-XX 4.0.", []),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["lgpl-3.0"]),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", ["agpl-3.0"]),
+        ("This work is licensed under the GNU General Public License, version 2.", ["gpl-2.0"]),
+        (TEMPLATES["gpl-2.0-header"], ["gpl-2.0-header"]),
+        (TEMPLATES["lgpl-2.1-header"], ["lgpl-2.1-header"]),
+        (TEMPLATES["bsd-2-clause"], ["bsd-2-clause"]),
+        (TEMPLATES["bsd-3-clause"], ["bsd-3-clause"]),
+        (TEMPLATES["mit"] + " " + TEMPLATES["gpl-3.0"], ["mit", "gpl-3.0"]),
+    ],
+)
+def test_one_licence_for_a_place(notice, want):
+    scanner = Scanner(TEMPLATES)
+    for text in (notice, f"w1 the w2 of\n{notice}\nlicense of the w3"):
+        assert [f[0] for f in scanner.scan(text)] == want
+
+
+def test_words_put_in_count_as_words_left_out():
+    scanner, own = Scanner(TEMPLATES), TEMPLATES["mit-text"].split()
+    for every, share in ((8, 0.89), (2, None)):
+        text = "before " + " ".join(w + (" zz" if i % every == 0 else "") for i, w in enumerate(own)) + " after the end of it"
+        found = [f for f in scanner.scan(text) if f[0] == "mit-text"]
+        assert [round(f[-1], 2) for f in found] == ([share] if share else [])
+
+
+def test_a_notice_behind_stray_words_of_it_is_whole():
+    scanner = Scanner(TEMPLATES)
+    for name in ("mit-text", "isc", "unlicense", "bsd-3-clause"):
+        own = TEMPLATES[name]
+        for gap in range(0, 90, 7):
+            text = " ".join(own.split()[:12]) + " w" * gap + " " + own + " w" * 40
+            best = [f for f in scanner.scan(text) if f[0] == name]
+            assert [f[-1] for f in best] == [1.0], (name, gap)
+            assert words_of(text)[best[0][1] : best[0][2]] == words_of(own)
+
+
+def test_given_table_has_one_row_for_each_written_notice(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = {(r.doc_id, r.license) for r in licenses.scan_licenses(documents).collect()}
+    short = ["apache-2.0", "mit", "gpl-3.0", "cc-by-nc-4.0", "cc-by-4.0"]
+    rows = documents.where("text IS NOT NULL").select("doc_id", "text").collect()
+    assert got == {(r.doc_id, name) for r in rows for name in short if TEMPLATES[name] in r.text}
