@@ -9,7 +9,8 @@ a parser that follows ``Content-Length``, so a payload may contain anything, rec
 Defined results: a NULL payload is empty; a NULL key counts below every other key and is kept;
 repeated rows with the same key and payload are all responses if the key is the largest of its
 payload, and all revisits otherwise; other columns of the input are ignored, whatever their names.
-An empty table gives no archives and no rows.
+An empty table gives no archives and no rows. Every record is dated by the time at which the query that
+writes the archives started, in UTC.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from termgauge.session import materialise
 
 MIN_REVISIT = 1000
 END = "\r\n\r\n"
+REQUIRED = {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"}  # of every record, by the format
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
@@ -57,11 +59,13 @@ def revisits(heads: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
 def _record(body: Column) -> Column:
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     revisit = F.col("refers_to").isNotNull()
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
     lines = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), number("page_id"), F.lit(">")),
+        F.concat(F.lit("WARC-Date: "), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.col("url"), "[\r\n]", " ")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
         F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes").cast("string")),
@@ -115,6 +119,8 @@ def parse(content: bytes):
         if first != "WARC/1.1":
             raise ValueError("not the head of a record")
         fields = dict(line.split(": ", 1) for line in lines)
+        if not REQUIRED <= fields.keys():
+            raise ValueError("the head of a record lacks a field")
         begin = stop + len(END)
         at = begin + int(fields["Content-Length"])
         yield fields, data[begin:at]

@@ -1,3 +1,4 @@
+import re
 import hashlib
 
 import pytest
@@ -66,3 +67,22 @@ def test_a_damaged_archive_is_not_read():
 
     with pytest.raises(ValueError):
         list(warc.parse(gzip.compress(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcd\r\n\r\n")))
+
+
+def test_required_fields_of_every_record(spark, tmp_path):
+    import glob
+    import gzip
+
+    rows = [(1, "u", "a" * 1200, 1, "x"), (2, "u", "a" * 1200, 1, "x"), (3, None, None, 1, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n int, other string")
+    warc.write_archives(pages, f"{tmp_path}/out")
+    heads = [f for path in glob.glob(f"{tmp_path}/out/*.gz") for f, _ in warc.parse(open(path, "rb").read())]
+    assert len(heads) == 3 and len({f["WARC-Date"] for f in heads}) == 1
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", f["WARC-Date"]) for f in heads)
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\n{}Content-Length: 3\r\n\r\nab{}\r\n\r\n"
+    dated = "WARC-Date: 2020-01-01T00:00:00Z\r\n"
+    assert len(list(warc.parse(gzip.compress(head.format(dated, "c").encode())))) == 1
+    with pytest.raises(ValueError, match="without its end"):
+        list(warc.parse(gzip.compress(head.format(dated, "cd").encode())))
+    with pytest.raises(ValueError, match="lacks a field"):
+        list(warc.parse(gzip.compress(head.format("", "c").encode())))
