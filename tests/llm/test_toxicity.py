@@ -188,3 +188,12 @@ def test_recall_of_each_language():
         best = tx.Scorer(model).best(pa.array([text(kind, True) for _ in range(60)] + [text(kind, False) for _ in range(60)]))
         found = model.chance(best) >= tx.THRESHOLD
         assert found[:60].mean() >= 0.95 and found[60:].mean() <= 0.05, (kind, found[:60].mean(), found[60:].mean())
+
+
+def test_sample_is_that_of_the_smallest_hashes(spark):
+    rows = spark.range(200_000).selectExpr("id doc_id", "CAST(id % 3 = 0 AS int) toxic", "CAST(id AS string) text")
+    got = labelled_texts(rows, rows, "toxic", {0: 90, 1: 40}).collect()
+    hashed = rows.withColumn("h", F.xxhash64("doc_id"))
+    for label, most in ((0, 90), (1, 40)):
+        want = hashed.where(F.col("toxic") == label).orderBy("h").limit(most).collect()
+        assert [r.text for r in sorted(got, key=lambda r: r.n) if r.label == label] == [r.text for r in want]
