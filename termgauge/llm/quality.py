@@ -7,7 +7,7 @@ best sequence of marks is found by Viterbi decoding. A text stays if its base ru
 least ``CONTENT_SHARE`` of its words stand in content lines.
 
 Fitting takes at most ``PER_CLASS`` labelled texts of either label, those with the smallest hash,
-and the first ``FIT_LINES`` lines of each; both are parameters. All texts are judged, whole.
+of at most ``FIT_LINES`` lines, whole; both are parameters. All texts are judged, whole.
 
 Defined results: words are runs without ASCII blanks; NULL, empty and blank texts have no words
 and fail; repeated rows and ties have equal results; an empty table gives no rows; without
@@ -208,10 +208,18 @@ def fit(lines: list[np.ndarray], labels: list[int], rounds: int = 40, rate: floa
 
 
 def fit_field(
-    documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text"
+    documents: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    per_class: int = PER_CLASS,
+    key: str = "doc_id",
+    text: str = "text",
+    fit_lines: int = FIT_LINES,
 ) -> Field:
-    """A field fitted on at most ``per_class`` texts of either label."""
-    chosen = labelled_texts(documents, labels, label, {0: per_class, 1: per_class}, key, text)
+    """A field fitted on at most ``per_class`` texts of either label, of at most ``fit_lines`` lines."""
+    body = F.col(f"`{text}`")
+    short = documents.where(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) < fit_lines)
+    chosen = labelled_texts(short, labels, label, {0: per_class, 1: per_class}, key, text)
 
     def features(batches):
         for batch in batches:
@@ -220,7 +228,7 @@ def fit_field(
                 if len(x):
                     labels.append(batch.column(0)[row].as_py())
                     ns.append(batch.column(1)[row].as_py())
-                    flat.append(x[:FIT_LINES].ravel().tolist())
+                    flat.append(x.ravel().tolist())
             columns = [pa.array(labels, pa.int32()), pa.array(ns, pa.int32()), pa.array(flat, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["label", "n", "x"])
 
