@@ -1,9 +1,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from termgauge.functions import text as tx
 from termgauge.operators import counting, lookup, models, skew, tuples
+from termgauge.plans import derived
 
 ODD = [
     None, "", " \t ", "1", " 1 2 minutes 3\x1c4 ", "٣ 1234567 MINUTEſ 05 5 days plus * 7",
@@ -80,3 +82,47 @@ def test_likelihood_over_condensed_levels(levels, slope, monkeypatch):
     assert np.allclose(got, want, rtol=1e-12, atol=1e-7)
     if levels == 700 and slope == -0.2:
         assert sum(most) < 2000 * levels / 4
+
+
+def test_counts_of_one_pass(corpus_of, spark):
+    """All sizes in one pass, with keys that are no integer: digits of other scripts, leading zeros, more than three numbers."""
+    corpus = corpus_of(*ODD, "007 07 7 ١٢ 123456 day ٣", "1 02 3 04 5")
+    plain, keyed = counting.frequency_counts(corpus, [1, 2, 3, 4], [1, 3])
+    got = lambda counts: {tuple(r)[:-1]: r[-1] for r in counts.collect()}
+    anchors = counting.number_anchors(corpus)
+    for k, counts in plain.items():
+        assert counts.columns == [*[f"n{i + 1}" for i in range(k)], "frequency"]
+        assert got(counts) and got(counts) == counted(counting.co_occurrence_keys(anchors, k))
+    for k, counts in keyed.items():
+        assert got(counts) and got(counts) == counted(counting.word_number_keys(anchors, k))
+    assert not counting.frequency_counts(corpus_of("no number"), [1], [1])[1][1].collect()
+
+
+@pytest.fixture
+def given(spark, tmp_path):
+    lines = [(o, p, s, o % 7, float(o % 50 + 1)) for o, p, s in ((i, i % 90, 3 if i % 10 else i % 40) for i in range(2000))]
+    lines = spark.createDataFrame([*lines, (None, None, None, None, None)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double")
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    docs = spark.createDataFrame([(1, "the cat of a b and was it", "en", "web"), (2, None, "de", "web")], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_keys_read_the_corpus_once(spark, given, monkeypatch):
+    passes, count_all = [], tuples.count_all
+    monkeypatch.setattr(tuples, "count_all", lambda texts, counts, *rest: passes.append(len(counts)) or count_all(texts, counts, *rest))
+    tables = derived.Tables(spark, given)
+    tables.count(range(1, 4), range(1, 4))
+    assert tables.numbers(2).count() and tables.words(3).count()
+    tables.frequencies.all(1).count()
+    assert passes == [6]
+    assert not {"lines", "documents"} & set(tables._written)
+
+
+def test_lines_of_a_hot_supplier_are_divided(spark, given):
+    """Lines are next to those of the same supplier, in parts of about the same size."""
+    rows = derived.Tables(spark, given)._by_supplier().select("*", F.spark_partition_id().alias("part"))
+    sizes = [r["count"] for r in rows.groupBy("part").count().collect()]
+    assert sum(sizes) == 2001 and max(sizes) < 2001 / 2
+    edges = rows.groupBy("part").agg(F.min("l_suppkey").alias("low"), F.max("l_suppkey").alias("high")).orderBy("low", "high").collect()
+    assert all(a.high <= b.low for a, b in zip(edges, edges[1:]))
