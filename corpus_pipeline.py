@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from termgauge.llm import decontam, jaccard, language, packing, suffix
-from termgauge.session import materialise
+from termgauge.session import materialise, small_batches
 
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,7 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = materialise(docs, f"pipeline-{name}")
+        with small_batches(spark):
+            docs = stage(spark, docs, sf_dir)
+            if at < len(STAGES) - 1:
+                docs = materialise(docs, f"pipeline-{name}")
     return docs

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from termgauge.llm import textbuf
 from termgauge.llm.components import components
 from termgauge.llm.grouping import block_pairs, groups
+from termgauge.llm.memory import freed
 from termgauge.llm.squeeze import expanded, squeezed
 from termgauge.operators.skew import left_lookup
 from termgauge.session import materialise
@@ -260,14 +261,16 @@ class Tree:
 
 def shared_bitmaps(sets: list[np.ndarray]) -> list[np.ndarray]:
     """Bitmaps of the hashes that two or more sets hold: their overlaps are exact."""
-    hashes, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.cumsum(counts > 1) - 1
-    words = max(1, -(-int((counts > 1).sum()) // 64))
-    out, lo = [], 0
+    hashes = np.concatenate(sets)
+    hashes.sort()
+    shared = np.unique(hashes[1:][hashes[1:] == hashes[:-1]])
+    del hashes
+    words = max(1, -(-len(shared) // 64))
+    out = []
     for own in sets:
-        mine = at[lo : lo + len(own)]
-        lo += len(own)
-        bits = place[mine[counts[mine] > 1]]
+        at = np.searchsorted(shared, own)
+        bits = at[at < len(shared)]
+        bits = bits[shared[bits] == own[at < len(shared)]]
         row = np.zeros(words * 64, np.uint8)
         row[bits] = 1
         out.append(np.packbits(row, bitorder="little").view(np.uint64))
@@ -344,8 +347,8 @@ def _stars(percent: int, exact: bool):
             ids, n = table.column(3).to_numpy(), table.column(4).to_numpy()
             order = np.lexsort((ids, n))
             side, ids, n = side[order], ids[order], n[order]
-            kept = table.column(5).take(pa.array(order)).to_pylist()
-            rows = [np.frombuffer(x, np.uint64) for x in kept]
+            rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(5)]
+            rows = [rows[i] for i in order]
             if exact:
                 rows = shared_bitmaps(rows)
             forest = Forest(len(ids))
@@ -387,7 +390,7 @@ def jaccard_groups(
     ratio = percent / 100
     rows = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
-    sized = materialise(hashed.mapInArrow(_sizes(k), SIZED), "jaccard-sizes")
+    sized = materialise(hashed.mapInArrow(freed(_sizes(k)), SIZED), "jaccard-sizes")
     hot = _hot_slots(sized)
     docs = sized.where("n IS NOT NULL").select("doc_id", "text_hash", "n", "fp")
     classes = sized.where("n > 0").groupBy("fp").agg(
@@ -395,9 +398,9 @@ def jaccard_groups(
     )
     classes = materialise(classes, "jaccard-classes")
 
-    prefixes = rows.select("text").mapInArrow(_prefixes(k, percent, hot), "token bigint, id bigint, n bigint")
+    prefixes = rows.select("text").mapInArrow(freed(_prefixes(k, percent, hot)), "token bigint, id bigint, n bigint")
     met = prefixes.repartition("token").sortWithinPartitions("token", "n", "id")
-    buckets = materialise(met.mapInArrow(_buckets(percent), "key bigint, id bigint, n bigint").distinct(), "jaccard-buckets")
+    buckets = materialise(met.mapInArrow(freed(_buckets(percent)), "key bigint, id bigint, n bigint").distinct(), "jaccard-buckets")
 
     signed = block_pairs(buckets, BLOCK, ratio).join(classes.select(F.col("fp").alias("id"), "sig"), "id")
     stars = _run_stars(signed.select("key", "pair", "side", "id", "n", "sig"), percent, False)
@@ -408,7 +411,7 @@ def jaccard_groups(
     wanted = paired.join(classes.select(F.col("fp").alias("id"), "first"), "id")
     texts = squeezed(rows.where("text IS NOT NULL").select("doc_id", "text"))
     whole = wanted.join(texts, wanted["first"].eqNullSafe(texts["doc_id"]))
-    whole = whole.select("key", "pair", "side", "id", "n", "text").mapInArrow(_members(k), MEMBER)
+    whole = whole.select("key", "pair", "side", "id", "n", "text").mapInArrow(freed(_members(k)), MEMBER)
     links = _run_stars(whole, percent, True)
     linked = components(links, "jaccard-links")
 
@@ -451,7 +454,7 @@ def unused(taken: set[str], name: str) -> str:
 
 def _run_stars(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
     dealt = rows.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return dealt.mapInArrow(_stars(percent, exact), "a bigint, b bigint")
+    return dealt.mapInArrow(freed(_stars(percent, exact)), "a bigint, b bigint")
 
 
 def _hot_slots(sized: DataFrame) -> np.ndarray:

@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termgauge.llm.memory import freed
+
 PER_LANGUAGE = 400
 TEXT_CHARS = 512
 LANGUAGES = 256
@@ -151,7 +153,7 @@ def classify(
                 [*batch.columns[2:], *result, pa.array(gone, pa.bool_())], names=[f.name for f in fields]
             )
 
-    return rows.mapInArrow(run, T.StructType(fields))
+    return rows.mapInArrow(freed(run), T.StructType(fields))
 
 
 def accepted(documents: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN) -> DataFrame:

@@ -7,6 +7,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from termgauge.llm.memory import freed
+
 
 def _with(documents: DataFrame, text: str, kind: T.DataType, change, to: pa.DataType) -> DataFrame:
     at = documents.columns.index(text)
@@ -21,7 +23,7 @@ def _with(documents: DataFrame, text: str, kind: T.DataType, change, to: pa.Data
                 columns[at] = pa.array([None if x is None else own(x) for x in columns[at].to_pylist()], to)
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(freed(run), schema)
 
 
 def squeezed(documents: DataFrame, text: str = "text", level: int = 3) -> DataFrame:

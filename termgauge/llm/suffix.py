@@ -43,6 +43,7 @@ from pyspark.sql import types as T
 
 from termgauge.llm import textbuf
 from termgauge.llm.grouping import groups
+from termgauge.llm.memory import freed
 from termgauge.session import materialise
 
 LENGTH, GRAM = 100, 32
@@ -514,7 +515,7 @@ def _cut(keep: list[str], as_text: bool):
 def splitters(texts: DataFrame, parts: int, sample: int = SAMPLE) -> np.ndarray:
     """Leading bytes that cut the anchors of ``sample`` texts, those with the smallest hash, into equal parts."""
     some = texts.orderBy(F.xxhash64("text")).limit(sample).select("text")
-    leads = np.sort([r.lead for r in some.mapInArrow(_leads, "lead bigint").collect()])
+    leads = np.sort([r.lead for r in some.mapInArrow(freed(_leads), "lead bigint").collect()])
     if not len(leads):
         return np.zeros(0, np.uint64)
     return leads[[len(leads) * i // parts for i in range(1, parts)]].astype(np.uint64)
@@ -523,14 +524,14 @@ def splitters(texts: DataFrame, parts: int, sample: int = SAMPLE) -> np.ndarray:
 def repeated_ranges(rows: DataFrame) -> DataFrame:
     """doc, ranges of every document with something to remove; ``rows`` has doc_id, text, doc."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.select("doc_id", "text").mapInArrow(_anchor_rows(tasks * PARTS_PER_TASK), "part int, met binary, known binary")
-    decided = met.repartition("part").sortWithinPartitions("part").mapInArrow(_decide, DECISION)
-    packed = rows.select("doc_id", "doc", "text").mapInArrow(_packed, DECISION)
+    met = rows.select("doc_id", "text").mapInArrow(freed(_anchor_rows(tasks * PARTS_PER_TASK)), "part int, met binary, known binary")
+    decided = met.repartition("part").sortWithinPartitions("part").mapInArrow(freed(_decide), DECISION)
+    packed = rows.select("doc_id", "doc", "text").mapInArrow(freed(_packed), DECISION)
     by_doc = decided.unionByName(packed).repartition("doc_id").sortWithinPartitions("doc_id", "kind")
     cuts = splitters(rows, tasks * 2)
-    suffixes = by_doc.mapInArrow(_suffixes(cuts), SUFFIX)
+    suffixes = by_doc.mapInArrow(freed(_suffixes(cuts)), SUFFIX)
     dealt = suffixes.repartition("bucket").sortWithinPartitions("bucket", "key")
-    found = materialise(dealt.mapInArrow(_resolve, REMOVED), "suffix-ranges")
+    found = materialise(dealt.mapInArrow(freed(_resolve), REMOVED), "suffix-ranges")
 
     own = found.where("string IS NULL").select("doc", "begin", "stop")
     # First strings of buckets that share leading bytes: the earliest of each stays.
@@ -566,7 +567,7 @@ def remove_repeated(
     schema = schema.add("kept_sha256", T.StringType()).add("kept", T.StringType() if as_text else T.BinaryType())
     for c in keep:
         schema = schema.add(f"given_{c}", documents.schema[c].dataType)
-    return joined.mapInArrow(_cut(given, as_text), schema)
+    return joined.mapInArrow(freed(_cut(given, as_text)), schema)
 
 
 def without_repeated(documents: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:

@@ -153,3 +153,25 @@ def test_columns_of_the_caller_stay(spark):
     docs = spark.createDataFrame(rows, ["doc_id", "text", *names[2:]])
     kept = jaccard.one_of_each_group(docs, k=2)
     assert kept.columns == names and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
+def test_shared_bitmaps_hold_what_two_sets_hold():
+    rng = np.random.default_rng(3)
+    for span in (1, 50, 1 << 40):
+        sets = [np.unique(rng.integers(0, span, n, np.uint64)) for n in (1, 7, 60, 60)]
+        every, counts = np.unique(np.concatenate(sets), return_counts=True)
+        shared = every[counts > 1]
+        for own, row in zip(sets, jaccard.shared_bitmaps(sets)):
+            bits = np.unpackbits(row.view(np.uint8), bitorder="little")
+            assert np.array_equal(np.flatnonzero(bits), np.flatnonzero(np.isin(shared, own)))
+
+
+def test_shared_bitmaps_hold_few_copies_of_the_sets():
+    import tracemalloc
+
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 60, 4000, np.uint64)) for i in range(200)]
+    tracemalloc.start()
+    jaccard.shared_bitmaps(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * sum(s.nbytes for s in sets)

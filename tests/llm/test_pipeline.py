@@ -1,3 +1,4 @@
+import pyarrow as pa
 import os
 
 import corpus_pipeline
@@ -44,3 +45,41 @@ def test_nulls_empty_and_extra_columns(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF_DIR)
     assert docs.count() == 0
+
+
+def test_batches_are_small_within_and_as_before_after(spark):
+    from termgauge.session import small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+    rows = spark.range(3000).selectExpr("repeat('x', 4000) AS t").repartition(1)
+    before = spark.conf.get(key)
+    with small_batches(spark, "1m"):
+        small = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(small) == 3000 and max(small) < 600 and spark.conf.get(key) == before
+
+
+def test_workers_give_memory_back(spark):
+    from termgauge.llm.memory import freed
+
+    def resident():
+        with open("/proc/self/status") as status:
+            return next(int(line.split()[1]) // 1024 for line in status if line.startswith("RssAnon"))
+
+    def run(batches):
+        before = resident()
+        for batch in batches:
+            held = [bytes(1000) for _ in range(200_000)]
+            most = resident()
+            kept, held = held[::5000], None  # the last of them holds the top of the heap
+            yield pa.RecordBatch.from_arrays([pa.array([before]), pa.array([most])], ["before", "most"])
+
+    def after(batches):
+        yield from batches
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([resident()])], ["before", "most"])
+
+    both = lambda batches: after(freed(run)(batches))
+    rows = {r.before: r.most for r in spark.range(1).repartition(1).mapInArrow(both, "before long, most long").collect()}
+    last = rows.pop(-1)
+    ((before, most),) = rows.items()
+    assert most > before + 150 and last < before + 100
