@@ -98,6 +98,34 @@ def test_counts_of_one_pass(corpus_of, spark):
     assert not counting.frequency_counts(corpus_of("no number"), [1], [1])[1][1].collect()
 
 
+def test_counts_of_a_block_travel_as_one_row_for_each_part(corpus_of, spark, monkeypatch):
+    """Spark groups no single keys, and the counts of all blocks are added up."""
+    monkeypatch.setattr(tuples, "BLOCK_BYTES", 1 << 12)
+    corpus = corpus_of(*[f"{i % 300} day {i % 7} and {i % 11} plus {i}" for i in range(3000)])
+    plan = tuples.count(corpus, ["n1"], lambda b: tuples.number_tuples(b, 1, 5), 5)._jdf.queryExecution().toString()
+    assert "Aggregate" not in plan and plan.count("MapInArrow") >= 2
+    plain, keyed = counting.frequency_counts(corpus, [1, 3], [2])
+    anchors = counting.number_anchors(corpus)
+    got = lambda counts: {tuple(r)[:-1]: r[-1] for r in counts.collect()}
+    assert got(plain[3]) == counted(counting.co_occurrence_keys(anchors, 3))
+    assert got(keyed[2]) == counted(counting.word_number_keys(anchors, 2))
+    assert len(got(plain[1])) == plain[1].count() == 3000
+
+
+def test_sums_of_parts(monkeypatch):
+    """Blocks whose lists of keywords differ; keys that are no integer; parts that lie across batches."""
+    import pyarrow as pa
+
+    blocks = [(["day", "plus"], [1, 0, 1]), (["plus"], [0, 0, 0])]
+    batches = []
+    for stems, words in blocks:
+        code, odd = pa.array([5, 5, None], pa.int64()), pa.array([None, None, "007 07"], pa.string())
+        batches += tuples._sent(1, stems, code, odd, np.array(words), np.array([1, 2, 4]), 1)
+        batches += tuples._sent(0, [], code.slice(0, 1), odd.slice(0, 1), None, np.array([1 << 40]), 1)
+    got = sorted((tuple(r.values()) for b in tuples._summed(iter(batches)) for r in b.to_pylist()), key=str)
+    assert got == [(0, 5, None, None, 2 << 40), (1, 5, None, "day", 2), (1, 5, None, "plus", 4), (1, None, "007 07", "plus", 8)]
+
+
 @pytest.fixture
 def given(spark, tmp_path):
     lines = [(o, p, s, o % 7, float(o % 50 + 1)) for o, p, s in ((i, i % 90, 3 if i % 10 else i % 40) for i in range(2000))]
