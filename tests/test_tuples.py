@@ -154,3 +154,10 @@ def test_lines_of_a_hot_supplier_are_divided(spark, given):
     assert sum(sizes) == 2001 and max(sizes) < 2001 / 2
     edges = rows.groupBy("part").agg(F.min("l_suppkey").alias("low"), F.max("l_suppkey").alias("high")).orderBy("low", "high").collect()
     assert all(a.high <= b.low for a, b in zip(edges, edges[1:]))
+
+
+def test_rows_are_dealt_without_a_sort(spark, given):
+    rows = derived.Tables(spark, given)._dealt("lineitem", derived.LINE_COLUMNS)
+    plan = rows._jdf.queryExecution().toString()
+    assert "hashpartitioning" in plan and "RoundRobin" not in plan
+    assert rows.count() == 2001
