@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,32 @@ def test_rows_are_dealt_without_a_sort(spark, given):
     plan = rows._jdf.queryExecution().toString()
     assert "hashpartitioning" in plan and "RoundRobin" not in plan
     assert rows.count() == 2001
+
+
+def test_rows_of_a_task_are_sorted_by_one_integer(spark, given):
+    plan = derived.Tables(spark, given)._by_supplier()._jdf.queryExecution().optimizedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Sort [" in line]
+    assert len(sorts) == 1 and sorts[0].count("ASC") == 1
+
+
+def by_rule_of_sql(documents):
+    """Documents as SQL writes them, token by token."""
+    rule = derived.WORD_RULE.replace("word", "w")
+    text = f"array_join(transform(tokens, (w, i) -> concat(CASE i % 16 WHEN 0 THEN '\n' WHEN 8 THEN '\u00a0' ELSE ' ' END, {rule})), '')"
+    meta = "concat('{\"lang\":\"', lang, '\",\"source\":\"', source, '\"}') AS meta"
+    return documents.select("*", tx.tokenize(F.col("text")).alias("tokens")).selectExpr("-1 - doc_id AS doc_id", f"{text} AS text", meta)
+
+
+def test_documents_are_written_as_in_sql_and_each_word_is_ruled_once(spark, rows_of, monkeypatch):
+    texts = [None, "", " \n\u00a0", "the", "the of and la der de that was The THE", "a zz zzz zzzz Zz \u00e9t z\u00fc 1a -ab ab-"]
+    texts += [" ".join(["wort", "so", "it", "UND"] * 20), "a\u2003b\x1cc\x85d\u3000 e\u200bf ", "\u0130 ma\u00dfe \u0661\u0662 x\x00y"]
+    rows = [(i if i != 3 else None, t, None if i == 4 else "en", "web") for i, t in enumerate(texts)] + [(7, texts[6], "en", None)] * 2
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    key = lambda rows: sorted(rows, key=repr)
+    written = derived.write_documents(documents)
+    assert key(written.collect()) == key(by_rule_of_sql(documents).collect())
+    assert written.dtypes == by_rule_of_sql(documents).dtypes
+    asked = []
+    monkeypatch.setattr(derived, "ruled", lambda w: asked.append(w) or w)
+    derived._written(pa.array(["one two one", "two one"]))
+    assert sorted(asked) == ["one", "two"]
