@@ -435,13 +435,18 @@ def one_of_each_group(
     group = F.struct("component_id", F.when(F.col("component_id").isNull() | (F.col("n_shingles") == 0), F.col("text_hash")))
     firsts = groups_of.groupBy(group.alias("group")).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     taken = {c.lower() for c in documents.columns}
-    own_key, own_hash, first_key, first_hash, number = (unused(taken, n) for n in ("own_key", "own_hash", "first_key", "first_hash", "number"))
+    names = ("own_key", "own_hash", "own_place", "first_key", "first_hash", "first_place", "number")
+    own_key, own_hash, own_place, first_key, first_hash, first_place, number = (unused(taken, n) for n in names)
     firsts = firsts.select(F.col("first.doc_id").alias(first_key), F.col("first.text_hash").alias(first_hash)).distinct()
+    firsts = firsts.withColumn(first_place, F.xxhash64(first_key, first_hash))
     own = documents.withColumns({own_key: F.col(f"`{key}`").cast("bigint"), own_hash: F.xxhash64(F.col(f"`{text}`"))})
-    own = squeezed(own, text)
-    kept = own.join(firsts, own[own_key].eqNullSafe(firsts[first_key]) & (own[own_hash] == firsts[first_hash]), "left_semi")
-    once = Window.partitionBy(own_key, own_hash).orderBy(F.lit(0))
-    kept = kept.withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).drop(own_key, own_hash, number)
+    own = squeezed(own.withColumn(own_place, F.xxhash64(own_key, own_hash)), text)
+    # One column deals the rows for the join and for the window, so texts move once; the others are compared after it.
+    same_key = F.when(own[own_key].isNull(), firsts[first_key].isNull()).otherwise(own[own_key] == firsts[first_key])
+    same = same_key & F.when(own[own_hash] == firsts[first_hash], True).otherwise(False)
+    kept = own.join(firsts, (own[own_place] == firsts[first_place]) & same, "left_semi")
+    once = Window.partitionBy(own_place, own_key, own_hash).orderBy(F.lit(0))
+    kept = kept.withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).drop(own_key, own_hash, own_place, number)
     return expanded(kept, text)
 
 

@@ -175,3 +175,20 @@ def test_shared_bitmaps_hold_few_copies_of_the_sets():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2.5 * sum(s.nbytes for s in sets)
+
+
+def test_texts_move_once_when_one_of_each_group_is_chosen(spark, rows_of):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f g"), (None, "x y"), (None, "x y"), (3, None), (3, None), (3, "")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.one_of_each_group(documents)
+        plan = kept._jdf.queryExecution().executedPlan().toString().splitlines()
+        window = next(i for i, line in enumerate(plan) if "Window [" in line)
+        join = next(i for i, line in enumerate(plan) if "LeftSemi" in line)
+        assert window < join and not any("Exchange" in line for line in plan[window:join])
+        found = kept.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(tuple, found), key=repr) == sorted([(1, "a b c d e f"), (None, "a b c d e f g"), (None, "x y"), (3, None), (3, "")], key=repr)
