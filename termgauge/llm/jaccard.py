@@ -3,21 +3,24 @@
 1. Every text gives its set of distinct shingles (64-bit hashes), the size and a fingerprint of
    the set. Texts with equal sets are one class and go on as one.
 2. Two sets of the wanted similarity share one of the first ``n - need + 1`` shingles of each, in
-   any order that all sets use: by hash, with those of very common slots (a fixed number of
-   counters over all sets) last. Rows (shingle, fingerprint, size) meet by shingle; shingles with
-   one class go, and shingles with the same classes become one bucket.
+   any order that all sets use: shingles of rare words first (a fixed number of counters of words
+   tells how common they are), then by hash. So few sets meet by chance, and not more of them in a
+   larger corpus. Rows (shingle, fingerprint, size) meet by shingle; shingles with
+   one class go, and shingles with the same classes become one bucket, as do those of at most ``FEW``
+   classes with the same smallest fingerprint, but for parts that keep a bucket to about ``BLOCK`` classes.
 3. In a bucket, signature trees decide which classes can be linked at all. A class has a bitmap of
-   at least as many bits as shingles; a node has the OR of its bitmaps and a range of sizes. Two
+   at least twice as many bits as shingles; a node has the OR of its bitmaps and a range of sizes. Two
    nodes are traversed together unless the largest overlap that bitmaps and sizes allow is too
    small, or everything below is connected already. Of each bucket only a star of each connected
    group goes on, never all pairs.
 4. The connected groups of all stars contain every linked group. Within each, the same traversal
    runs over exact bitmaps, with a bit for every shingle that two or more of the group's sets hold,
-   and gives stars of true links, whose components are the result.
+   and gives stars of true links, whose components are the result. Only one text of a class that can be
+   linked moves, compressed; a table of ``WANTED`` bits keeps back most others.
 
 Buckets and groups of more than ``BLOCK`` classes are cut into blocks by size and hash, and a task
-holds two blocks at most, so no task grows with a group. Nothing but a table of at most ``SLOTS``
-bits goes over the driver.
+holds two blocks at most, so no task grows with a group. Nothing but tables of at most ``SLOTS``
+numbers and ``WANTED`` bits goes over the driver.
 
 Defined results: letters A-Z are lower-cased; a text of fewer words than a shingle has its whole
 sequence as one shingle; NULL, empty and blank texts have size 0 and are linked with nothing;
@@ -43,16 +46,19 @@ from termgauge.session import materialise
 
 WORDS, PERCENT = 4, 85
 SLOTS = 1 << 16
-HOT_SHARE = 0.01
+WANTED = 1 << 23
 BLOCK = 4096
+FEW = 32
 LEAF, FANOUT = 32, 8
 
 
-def shingle_sets(column: pa.Array, k: int):
-    """(row, sorted distinct shingle hashes) of every text with a word."""
+def shingle_sets(column: pa.Array, k: int, counts: np.ndarray | None = None):
+    """(row, sorted distinct shingle hashes) of every text with a word; its words are added to ``counts``."""
     for lo, hi, data, offsets in textbuf.chunks(column):
         starts, ends, rows = textbuf.spans(data, offsets)
         hashes = textbuf.word_hashes(data, starts, ends, lower=True)
+        if counts is not None:
+            counts += np.bincount(word_slots(hashes), minlength=SLOTS)
         first, found = textbuf.windows(hashes, rows, k, short=True)
         cuts = np.searchsorted(rows[first], np.arange(hi - lo + 1))
         for row in range(hi - lo):
@@ -60,14 +66,34 @@ def shingle_sets(column: pa.Array, k: int):
                 yield lo + row, np.unique(found[cuts[row] : cuts[row + 1]])
 
 
+def ordered_sets(column: pa.Array, k: int, weights: np.ndarray):
+    """Like ``shingle_sets``, in the order of all sets: shingles of small ``weights`` of words first, then by hash."""
+    for lo, hi, data, offsets in textbuf.chunks(column):
+        starts, ends, rows = textbuf.spans(data, offsets)
+        hashes = textbuf.word_hashes(data, starts, ends, lower=True)
+        first, found = textbuf.windows(hashes, rows, k, short=True)
+        total = np.r_[0, np.cumsum(weights[word_slots(hashes)])]
+        sums = total[np.minimum(first + k, len(hashes))] - total[first]  # of a short text's one shingle, any will do
+        sums = np.minimum(sums, 0xFFFF).astype(np.uint16)
+        cuts = np.searchsorted(rows[first], np.arange(hi - lo + 1))
+        for row in range(hi - lo):
+            if cuts[row] < cuts[row + 1]:
+                own, at = np.unique(found[cuts[row] : cuts[row + 1]], return_index=True)
+                yield lo + row, own, np.argsort(sums[cuts[row] : cuts[row + 1]][at], kind="stable")
+
+
+def word_slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(48)).astype(np.int64)
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     total = textbuf.mix(hashes ^ np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64)
     return int(textbuf.mix(np.array([total ^ np.uint64(len(hashes))], np.uint64)).view(np.int64)[0])
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    """A bitmap of the hashes, with a power of two of bits, as many as hashes at least."""
-    bits = max(64, 1 << int(len(hashes) - 1).bit_length())
+    """A bitmap of the hashes, with a power of two of bits, twice as many as hashes at least."""
+    bits = max(64, 2 << int(len(hashes) - 1).bit_length())
     marks = np.zeros(bits, np.uint8)
     marks[(hashes & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(marks, bitorder="little").tobytes()
@@ -75,7 +101,7 @@ def signature(hashes: np.ndarray) -> bytes:
 
 # ------------------------------------------------------------------ sets and prefixes
 
-SIZED = "doc_id bigint, text_hash bigint, n bigint, fp bigint, sig binary, slot bigint, sets bigint"
+SIZED = "doc_id bigint, text_hash bigint, n bigint, fp bigint, sig binary, slot bigint, words bigint"
 SIZED_NAMES = [x.split()[0] for x in SIZED.split(", ")]
 
 
@@ -85,9 +111,8 @@ def _sizes(k: int):
         for batch in batches:
             n, fp = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             sig: list[bytes | None] = [None] * batch.num_rows
-            for row, own in shingle_sets(batch.column(1), k):
+            for row, own in shingle_sets(batch.column(1), k, slots):
                 n[row], fp[row], sig[row] = len(own), fingerprint(own), signature(own)
-                slots += np.bincount((own >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
             none = pa.nulls(batch.num_rows, pa.int64())
             columns = [batch.column(0), batch.column(2), pa.array(n), pa.array(fp), pa.array(sig, pa.binary()), none, none]
             yield pa.RecordBatch.from_arrays(columns, SIZED_NAMES)
@@ -99,19 +124,17 @@ def _sizes(k: int):
     return run
 
 
-def _prefixes(k: int, percent: int, hot: np.ndarray):
+def _prefixes(k: int, percent: int, weights: np.ndarray):
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             tokens, fps, sizes = [], [], []
-            for _, own in shingle_sets(batch.column(0), k):
+            for _, own, order in ordered_sets(batch.column(0), k, weights):
                 if (fp := fingerprint(own)) in seen:
                     continue
                 seen.add(fp)
                 n = len(own)
-                length = n - -(-percent * n // 100) + 1
-                late = hot[(own >> np.uint64(48)).astype(np.int64)]
-                own = np.concatenate([own[~late], own[late]])[:length] if late[:length].any() else own[:length]
+                own = own[order[: n - -(-percent * n // 100) + 1]]
                 tokens.append(own.view(np.int64))
                 fps.append(np.full(len(own), fp))
                 sizes.append(np.full(len(own), n))
@@ -140,6 +163,12 @@ def _buckets(percent: int):
         length = np.diff(at, append=len(fp))
         mixed = textbuf.mix(fp.view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93))
         members = textbuf.mix(np.add.reduceat(mixed, at) ^ length.astype(np.uint64)).view(np.int64)
+        least = np.minimum.reduceat(fp, at)
+        size = n[fp == np.repeat(least, length)]  # of the smallest class of each run
+        parts = (size - -(-percent * size // 100) + 1) * FEW // BLOCK + 1
+        part = textbuf.mix(token[at].view(np.uint64)) % parts.astype(np.uint64)
+        common = textbuf.mix(least.view(np.uint64) ^ textbuf.mix(part + np.uint64(1))).view(np.int64)
+        members = np.where(length <= FEW, common, members)
         wanted = np.repeat(length > 1, length)
         columns = [np.repeat(members, length)[wanted], fp[wanted], n[wanted]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "n"])
@@ -166,17 +195,25 @@ MEMBER = "key bigint, pair bigint, side int, id bigint, n bigint, hashes binary"
 
 
 def _members(k: int):
-    """From rows of a group with their squeezed text: the whole set, if the text is of the row's class."""
+    """From rows sorted by key and pair, with their squeezed text: the whole set, once, if the text is of the row's class."""
     names = [x.split()[0] for x in MEMBER.split(", ")]
 
     def run(batches):
         expand = zstandard.ZstdDecompressor().decompress
+        last, seen = None, set()
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
                 texts = pa.array([expand(x) for x in batch.column(5).to_pylist()], pa.binary())
                 ids = batch.column(3).to_numpy()
-                found = [(row, own.tobytes()) for row, own in shingle_sets(texts, k) if fingerprint(own) == ids[row]]
+                pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+                found = []
+                for row, own in shingle_sets(texts, k):
+                    if pairs[row] != last:
+                        last, seen = pairs[row], set()
+                    if fingerprint(own) == ids[row] and ids[row] not in seen:
+                        seen.add(ids[row])
+                        found.append((row, own.tobytes()))
                 rows = pa.array([row for row, _ in found], pa.int64())
                 columns = [batch.column(i).take(rows) for i in range(5)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([x for _, x in found], pa.binary())], names)
@@ -184,6 +221,22 @@ def _members(k: int):
     return run
 
 
+def _wanted_texts(bits: np.ndarray):
+    """From rows with the hash of their text: those whose hash has its bit, with the text squeezed."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for whole in batches:
+            at = whole.column(1).to_numpy().view(np.uint64) & np.uint64(WANTED - 1)
+            rows = np.flatnonzero(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+            for lo in range(0, len(rows), 1000):
+                key, text_hash, text = (c.take(pa.array(rows[lo : lo + 1000])) for c in whole.columns)
+                text = pa.array([squeeze(x.encode()) for x in text.to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([key, text_hash, text], ["doc_id", "text_hash", "text"])
+
+    return run
+
+
 # ------------------------------------------------------------------ signature trees
 
 
@@ -232,21 +285,22 @@ class Tree:
     """Members sorted by size, ``LEAF`` to a leaf, ``FANOUT`` nodes to a node.
 
     ``rows`` holds the members' bitmaps. If they are ``exact``, a bit stands for one shingle and
-    shingles without a bit are in one member only; else several shingles may share a bit.
+    shingles without a bit are in one member only; else several shingles may share a bit. Bitmaps of a
+    leaf have one width: folded to that of a smaller member, they would allow almost any overlap.
     """
 
     def __init__(self, members: np.ndarray, sizes: np.ndarray, rows: list[np.ndarray], exact: bool = False):
         self.members, self.sizes, self.exact = members, sizes, exact
-        self.leaves = []
+        self.leaves = {}
         nodes = []
-        for lo in range(0, len(members), LEAF):
-            hi = min(len(members), lo + LEAF)
-            words = min(len(x) for x in rows[lo:hi])
-            matrix = np.stack([fold(x, words) for x in rows[lo:hi]])
-            self.leaves.append(matrix)
+        widths = np.array([len(x) for x in rows])
+        runs = np.r_[0, np.flatnonzero(widths[1:] != widths[:-1]) + 1, len(rows)]
+        for lo, hi in [(lo, min(end, lo + LEAF)) for at, end in zip(runs, runs[1:]) for lo in range(at, end, LEAF)]:
+            matrix = np.stack(rows[lo:hi])
+            self.leaves[lo] = matrix
             n = sizes[lo:hi]
             slack = 0 if exact else int((n - np.bitwise_count(matrix).sum(1, dtype=np.int64)).max())
-            nodes.append(Node(lo, hi, np.bitwise_or.reduce(matrix), int(n[0]), int(n[-1]), slack, None))
+            nodes.append(Node(int(lo), int(hi), np.bitwise_or.reduce(matrix), int(n[0]), int(n[-1]), slack, None))
         while len(nodes) > 1:
             upper = []
             for at in range(0, len(nodes), FANOUT):
@@ -316,7 +370,7 @@ def traverse(a: Tree, b: Tree, forest: Forest, percent: int) -> None:
 
 
 def _leaves(a: Tree, b: Tree, p: Node, q: Node, forest: Forest, percent: int) -> None:
-    x, y = a.leaves[p.lo // LEAF], b.leaves[q.lo // LEAF]
+    x, y = a.leaves[p.lo], b.leaves[q.lo]
     words = min(x.shape[1], y.shape[1])
     x, y = fold(x, words), fold(y, words)
     n, m = a.sizes[p.lo : p.hi, None], b.sizes[None, q.lo : q.hi]
@@ -337,12 +391,16 @@ def _leaves(a: Tree, b: Tree, p: Node, q: Node, forest: Forest, percent: int) ->
         forest.join(int(mine[i]), int(other[j]))
 
 
-def _stars(percent: int, exact: bool):
-    """From rows sorted by key and pair: edges from the first member of each connected group."""
+def _stars(percent: int, k: int | None = None):
+    """From rows sorted by key and pair: edges from the first member of each connected group.
+
+    The last column holds signatures, or with ``k`` squeezed texts, whose sets are compared exactly.
+    """
+    exact = k is not None
 
     def run(batches):
         left, right, size = [], [], 0
-        for table in groups(batches, 2):
+        for table in groups(_members(k)(batches) if exact else batches, 2):
             side = table.column(2).to_numpy()
             ids, n = table.column(3).to_numpy(), table.column(4).to_numpy()
             order = np.lexsort((ids, n))
@@ -391,28 +449,30 @@ def jaccard_groups(
     rows = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
     sized = materialise(hashed.mapInArrow(freed(_sizes(k)), SIZED), "jaccard-sizes")
-    hot = _hot_slots(sized)
+    weights = _weights(sized)
     docs = sized.where("n IS NOT NULL").select("doc_id", "text_hash", "n", "fp")
-    classes = sized.where("n > 0").groupBy("fp").agg(
-        F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("sig").alias("sig")
-    )
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))  # NULL last
+    classes = sized.where("n > 0").groupBy("fp").agg(one.alias("one"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    classes = classes.select("fp", F.col("one.doc_id").alias("first"), F.col("one.text_hash").alias("first_hash"), "n", "sig")
     classes = materialise(classes, "jaccard-classes")
 
-    prefixes = rows.select("text").mapInArrow(freed(_prefixes(k, percent, hot)), "token bigint, id bigint, n bigint")
+    prefixes = rows.select("text").mapInArrow(freed(_prefixes(k, percent, weights)), "token bigint, id bigint, n bigint")
     met = prefixes.repartition("token").sortWithinPartitions("token", "n", "id")
     buckets = materialise(met.mapInArrow(freed(_buckets(percent)), "key bigint, id bigint, n bigint").distinct(), "jaccard-buckets")
 
     signed = block_pairs(buckets, BLOCK, ratio).join(classes.select(F.col("fp").alias("id"), "sig"), "id")
-    stars = _run_stars(signed.select("key", "pair", "side", "id", "n", "sig"), percent, False)
+    stars = _run_stars(signed.select("key", "pair", "side", "id", "n", "sig"), percent)
     able = components(stars, "jaccard-able")
 
     grouped = able.select(F.col("root").alias("key"), "id").join(classes.select(F.col("fp").alias("id"), "n"), "id")
     paired = block_pairs(grouped.select("key", "n", "id"), BLOCK, ratio)
-    wanted = paired.join(classes.select(F.col("fp").alias("id"), "first"), "id")
-    texts = squeezed(rows.where("text IS NOT NULL").select("doc_id", "text"))
-    whole = wanted.join(texts, wanted["first"].eqNullSafe(texts["doc_id"]))
-    whole = whole.select("key", "pair", "side", "id", "n", "text").mapInArrow(freed(_members(k)), MEMBER)
-    links = _run_stars(whole, percent, True)
+    firsts = classes.select(F.col("fp").alias("id"), "first", "first_hash")
+    bits = _wanted_bits(able.join(firsts, "id"))
+    wanted = paired.join(firsts, "id")
+    texts = hashed.where("text IS NOT NULL").select("doc_id", "text_hash", "text")
+    texts = texts.mapInArrow(freed(_wanted_texts(bits)), "doc_id bigint, text_hash bigint, text binary")
+    whole = wanted.join(texts, (wanted["first_hash"] == texts["text_hash"]) & wanted["first"].eqNullSafe(texts["doc_id"]))
+    links = _run_stars(whole.select("key", "pair", "side", "id", "n", "text"), percent, k)
     linked = components(links, "jaccard-links")
 
     named = linked.join(classes, linked["id"] == classes["fp"])
@@ -457,17 +517,24 @@ def unused(taken: set[str], name: str) -> str:
     return name
 
 
-def _run_stars(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
+def _run_stars(rows: DataFrame, percent: int, k: int | None = None) -> DataFrame:
     dealt = rows.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return dealt.mapInArrow(freed(_stars(percent, exact)), "a bigint, b bigint")
-
-
-def _hot_slots(sized: DataFrame) -> np.ndarray:
-    """Slots of the shingle hash with far more than the mean of sets; ``SLOTS`` numbers at most."""
-    slots = sized.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("sets").alias("sets"))
-    one = sized.where("n > 0").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles")).first()
-    hot = np.zeros(SLOTS, bool)
-    if one.n:
-        least = one.shingles / SLOTS + HOT_SHARE * one.n
-        hot[[r.slot for r in slots.where(F.col("sets") > least).collect()]] = True
-    return hot
+    return dealt.mapInArrow(freed(_stars(percent, k)), "a bigint, b bigint")
+
+
+def _weights(sized: DataFrame) -> np.ndarray:
+    """How common the words of each slot are, as a logarithm; ``SLOTS`` numbers at most go over the driver."""
+    words = sized.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("words").alias("words")).toArrow()
+    weights = np.zeros(SLOTS, np.int64)
+    weights[words["slot"].to_numpy()] = np.rint(4 * np.log2(words["words"].to_numpy()))
+    return weights
+
+
+def _wanted_bits(classes: DataFrame) -> np.ndarray:
+    """A bit for each hash of a text that is to be fetched, by its lowest bits; ``WANTED`` bits at most."""
+    at = F.col("first_hash").bitwiseAND(F.lit(WANTED - 1))
+    bit = F.expr("shiftleft(1L, cast(first_hash & 63 AS int))")
+    words = classes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(WANTED // 64, np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return bits.view(np.uint64)

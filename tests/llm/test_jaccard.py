@@ -192,3 +192,89 @@ def test_texts_move_once_when_one_of_each_group_is_chosen(spark, rows_of):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted(map(tuple, found), key=repr) == sorted([(1, "a b c d e f"), (None, "a b c d e f g"), (None, "x y"), (3, None), (3, "")], key=repr)
+
+
+def test_unrelated_sets_of_other_sizes_are_no_candidates():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in [100] * 3 + [1000] * 3 + [4000, 4100, 4200, 9000, 9500]]
+    n = np.array([len(s) for s in sets])
+    order = np.argsort(n, kind="stable")
+    rows = [np.frombuffer(jaccard.signature(sets[i]), np.uint64) for i in order]
+    tree, forest = jaccard.Tree(np.arange(len(n)), n[order], rows), jaccard.Forest(len(n))
+    jaccard.traverse(tree, tree, forest, 80)
+    assert forest.settle().tolist() == list(range(len(n)))
+
+
+def test_sets_of_half_the_shingles_in_common_are_no_candidates():
+    rng = np.random.default_rng(8)
+    both = rng.integers(0, 1 << 62, 650).astype(np.uint64)
+    sets = [np.unique(np.r_[both, rng.integers(0, 1 << 62, 370).astype(np.uint64)]) for _ in range(5)]
+    n = np.array([len(s) for s in sets])
+    tree = jaccard.Tree(np.arange(5), n, [np.frombuffer(jaccard.signature(s), np.uint64) for s in sets])
+    forest = jaccard.Forest(5)
+    jaccard.traverse(tree, tree, forest, 80)
+    assert forest.settle().tolist() == list(range(5))
+
+
+def test_near_copies_meet_in_few_buckets():
+    rng = np.random.default_rng(9)
+    ids, tokens = np.arange(20) * 1000 - 7, np.sort(rng.integers(-(1 << 62), 1 << 62, 80))
+    rows = [(t, i, 400 + i % 3) for t in tokens for i in ids if i == ids[0] or rng.random() < 0.9]
+    rows.sort(key=lambda r: (r[0], r[2], r[1]))
+    batch = jaccard._prefix_rows(*([np.array(c)] for c in zip(*rows)))
+    found = {tuple(r.values()) for b in jaccard._buckets(80)(iter([batch])) for r in b.to_pylist()}
+    assert {i for _, i, _ in found} == set(ids) and len(found) <= 2 * len(ids)
+    assert len({key for key, _, _ in found}) == 1
+
+
+def test_shingles_of_rare_words_come_first():
+    import pyarrow as pa
+
+    common = " ".join(f"c{i}" for i in range(12))
+    texts = pa.array([f"{common} r1 {common} {common}", f"{common} r2 r3 {common}", None, "", "x"])
+    counts = np.zeros(jaccard.SLOTS, np.int64)
+    sets = dict(jaccard.shingle_sets(texts, 3, counts))
+    assert counts.sum() == 37 + 26 + 1
+    ordered = {row: own[order] for row, own, order in jaccard.ordered_sets(texts, 3, counts)}
+    assert ordered.keys() == sets.keys() and all(np.array_equal(np.sort(ordered[r]), sets[r]) for r in sets)
+    shared = [[h for h in ordered[r] if h in set(ordered[1 - r])] for r in (0, 1)]
+    assert shared[0] == shared[1] and len(shared[0]) == 10
+    assert not set(ordered[0][:3]) & set(ordered[1])  # the three with the rare word
+    assert not set(ordered[1][:4]) & set(ordered[0])
+
+
+def test_only_one_text_of_each_candidate_moves(docs_of, monkeypatch):
+    words = [f"w{i}" for i in range(200)]
+    near = [" ".join(words[:i] + [f"e{i}"] + words[i + 1 :]) for i in range(20)]
+    texts = near + near + [" ".join(f"{n}x{i}" for i in range(40)) for n in range(30)] + [None, ""]
+    moved, real = [], jaccard._run_stars
+
+    def counted(rows, percent, k=None):
+        if k:
+            moved.append(rows.count())
+        return real(rows, percent, k)
+
+    monkeypatch.setattr(jaccard, "_run_stars", counted)
+    found = jaccard.jaccard_groups(docs_of(texts, [None] * 20 + list(range(len(texts) - 20))))
+    groups = {}
+    for r in found.collect():
+        groups.setdefault((r.component_id, r.n_shingles > 0), []).append(r.doc_id)
+    assert len(groups[0, True]) == 40 and moved == [20]
+    keyless = jaccard.jaccard_groups(docs_of(texts[20:], [None] * len(texts[20:])))
+    assert moved == [20, 20] and keyless.where("component_id IS NULL").count() == len(texts[20:])
+
+
+def test_a_repeated_row_is_one_member():
+    import zstandard
+    import pyarrow as pa
+
+    text = "a b c d e f"
+    own = next(jaccard.shingle_sets(pa.array([text]), 4))[1]
+    squeezed = zstandard.ZstdCompressor().compress(text.encode())
+    other = zstandard.ZstdCompressor().compress(b"another text of the same hash")
+    fp = jaccard.fingerprint(own)
+    rows = [(1, 0, 2, fp, 3, squeezed), (1, 0, 2, fp, 3, squeezed), (1, 0, 2, fp, 3, other), (2, 0, 2, fp, 3, squeezed)]
+    columns = [pa.array(c) for c in zip(*rows)]
+    batch = pa.RecordBatch.from_arrays(columns, ["key", "pair", "side", "id", "n", "text"])
+    found = [r for b in jaccard._members(4)(iter([batch.slice(0, 1), batch.slice(1)])) for r in b.to_pylist()]
+    assert [(r["key"], r["hashes"]) for r in found] == [(1, own.tobytes()), (2, own.tobytes())]
